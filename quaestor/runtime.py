@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +49,21 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so their Python can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quaestor_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quaestor-package-")  # read by the driver only, which serves it to executors
+    path = os.path.join(folder, "quaestor.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for base, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    archive.write(full, os.path.join("quaestor", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._quaestor_shipped = True
