@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.plans import quality
+from quaestor.plans import quality, scalars
 
-MODULES = (quality,)
+MODULES = (quality, scalars)
 FLAGSHIP = "p2_found"
 
 
