@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.plans import quality, scalars
+from quaestor.plans import changes, quality, scalars
 
-MODULES = (quality, scalars)
+MODULES = (quality, scalars, changes)
 FLAGSHIP = "p2_found"
 
 
