@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.plans import changes, quality, scalars
+from quaestor.plans import changes, quality, retrieval, scalars
 
-MODULES = (quality, scalars, changes)
-FLAGSHIP = "p2_found"
+MODULES = (retrieval, quality, scalars, changes)
+FLAGSHIP = "top_matches"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
