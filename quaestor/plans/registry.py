@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.plans import changes, quality, retrieval, scalars
+from quaestor.plans import changes, documents, quality, retrieval, scalars
 
-MODULES = (retrieval, quality, scalars, changes)
+MODULES = (retrieval, quality, scalars, changes, documents)
 FLAGSHIP = "top_matches"
 
 
