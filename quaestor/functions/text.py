@@ -37,8 +37,8 @@ def folding_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one + gone), "".join(other), longer
 
 
-#: Multi-letter foldings met in practice; others are rare enough to leave to the table above.
-LETTER_GROUPS = "ßŉĳ…ﬀﬁﬂﬃﬄﬅﬆ№™ﻻﻼﻷﻸﻹﻺﻵﻶ½¼¾℃"
+#: Characters that fold to several letters: all Latin ones, and ligatures and signs met in practice.
+LETTER_GROUPS = "".join(c for c in folding_tables()[2] if ord(c) < 0x250) + "…ﬀﬁﬂﬃﬄﬅﬆ№™ﻻﻼﻷﻸﻹﻺﻵﻶ℃"
 
 
 def collapse(text: Column) -> Column:

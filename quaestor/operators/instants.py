@@ -193,7 +193,7 @@ def segments_table(spark: SparkSession, zones: list[str]) -> DataFrame:
             first = dt.datetime.fromtimestamp(lo, dt.timezone.utc).year
             last = dt.datetime.fromtimestamp(hi - 1, dt.timezone.utc).year
             rows += [(zone, year, lo, hi, matches, offset) for year in range(first, last + 1)]
-    return spark.createDataFrame(rows, "zone string, year int, lo long, hi long, matches int, zone_offset long")
+    return spark.createDataFrame(rows, "_z_zone string, _z_year int, _z_lo long, _z_hi long, _z_matches int, _z_offset long")
 
 
 def to_instants(df: DataFrame, text: str, default_zone: str) -> DataFrame:
@@ -217,19 +217,19 @@ def to_instants(df: DataFrame, text: str, default_zone: str) -> DataFrame:
     local = F.col("_p.local")
     joined = parsed.withColumn("_year", F.year(F.timestamp_seconds(local))).join(
         F.broadcast(segments),
-        (F.col("_p.zone") == segments.zone) & (F.col("_year") == segments.year) & (local >= segments.lo) & (local < segments.hi),
+        (F.col("_p.zone") == F.col("_z_zone")) & (F.col("_year") == F.col("_z_year")) & (local >= F.col("_z_lo")) & (local < F.col("_z_hi")),
         "left",
     )
-    offset = F.coalesce(F.col("_p.offset"), F.col("zone_offset"))
+    offset = F.coalesce(F.col("_p.offset"), F.col("_z_offset"))
     clock = (
         F.when(F.col("_p.offset").isNotNull(), F.lit("once"))
-        .when(F.col("matches") == 1, F.lit("once"))
-        .when(F.col("matches") >= 2, F.lit("repeated"))
-        .when(F.col("matches") == 0, F.lit("skipped"))
+        .when(F.col("_z_matches") == 1, F.lit("once"))
+        .when(F.col("_z_matches") >= 2, F.lit("repeated"))
+        .when(F.col("_z_matches") == 0, F.lit("skipped"))
     )
     return joined.withColumn("utc", F.timestamp_seconds(local - offset)).withColumn(
         "clock", F.when(F.col("utc").isNotNull(), clock)
-    ).drop("_p", "_year", "zone", "year", "lo", "hi", "matches", "zone_offset")
+    ).drop("_p", "_year", "_z_zone", "_z_year", "_z_lo", "_z_hi", "_z_matches", "_z_offset")
 
 
 def normalised_fields(offers: DataFrame, fields: tuple[Field, ...] = OFFER_FIELDS) -> DataFrame:
