@@ -16,7 +16,7 @@ other Latin segments, else the document's, else their own likeliest.
 
 Defined results: pages without letters (or blocks) are ``fr``, confidence 0; null and empty
 texts have no segments; repeated block rows count once; a hint that names no language is
-missing; whole texts; extra columns are never read.
+missing; blocks without document or page are left out; whole texts; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -254,7 +254,7 @@ def judged_segments(blocks: DataFrame, judge: Discriminator) -> DataFrame:
                     rows.append((doc, page, block, n, a, b, arabic, latin, lang, margin, clear))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENT_ROW.split(", ")])
 
-    texts = blocks.where(F.length("text") > 0).select("doc_id", "page", F.col("id").alias("block_id"), "text")
+    texts = blocks.where((F.length("text") > 0) & F.col("doc_id").isNotNull() & F.col("page").isNotNull()).select("doc_id", "page", F.col("id").alias("block_id"), "text")
     return spread(texts, "doc_id", "block_id").mapInPandas(run, SEGMENT_ROW)
 
 

@@ -9,8 +9,8 @@ a passage that holds such a run scores at least as much. Weights are divided by
 threshold, which makes the threshold 1 for all and WAND applicable. Candidates are then
 verified word by word.
 
-Defined results: null and empty documents or items give nothing; items without words are
-left out; repeated rows count once; texts equal under several ids are each reported; whole
+Defined results: null and empty documents or items give nothing; items without words and
+rows without a key are left out; repeated rows count once; texts equal under several ids are each reported; whole
 texts of any length; extra columns are never read.
 """
 
@@ -196,8 +196,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, item_id bigint"
-    rows = documents.where(F.length(text) > 0).select(key, text)
-    local = ((r.item_id, r.text) for r in items.dropDuplicates(["item_id"]).orderBy("item_id").select("item_id", "text").toLocalIterator())
+    rows = documents.where((F.length(text) > 0) & F.col(key).isNotNull()).select(key, text)
+    local = ((r.item_id, r.text) for r in items.where(F.col("item_id").isNotNull()).dropDuplicates(["item_id"]).orderBy("item_id").select("item_id", "text").toLocalIterator())
     out = None
     for group in build_shards(local, shard_words):
         df = Counter(w for _, ws in group for w in set(ws))

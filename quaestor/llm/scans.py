@@ -16,7 +16,8 @@ Only a bounded set of the commonest words is broadcast, to keep known words from
 exploded; every other word is looked up in the whole lexicon by joins.
 
 Defined results: a document is scanned if any of its pages says so (nulls follow the
-others); null and empty texts have no noise; repeated block rows count once; a page without
+others); null and empty texts have no noise; repeated block rows count once; blocks without
+document or page are left out; a page without
 height is judged by type and flag only; whole texts; extra columns are never read.
 """
 
@@ -153,8 +154,8 @@ def prepared_blocks(spark: SparkSession, root: str) -> DataFrame:
     scanned = pages.groupBy("doc_id").agg(F.coalesce(F.max("is_scanned"), F.lit(False)).alias("scanned"))
     heights = pages.groupBy("doc_id", "page").agg(F.max("height").alias("height"))
     blocks = table(spark, root, "blocks").select(
-        "doc_id", F.col("id").alias("block_id"), "type", "page", "ord", F.col("bbox.y0").alias("y0"), "text", "is_furniture"
-    )
+        "doc_id", F.col("id").alias("block_id"), "type", "page", F.coalesce("ord", F.lit(0)).alias("ord"), F.col("bbox.y0").alias("y0"), "text", "is_furniture"
+    ).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
     return (
         blocks.dropDuplicates(["doc_id", "block_id"])
         .join(scanned, "doc_id")

@@ -9,7 +9,8 @@ Words of more than ``LONG_WORD`` bytes (unbroken runs, where a row per position
 would grow with the square) contract by the same rule on a heap.
 
 Defined results: null and empty texts give an empty list; special-token strings are
-ordinary text; whole texts of any length; repeated rows each give their ids; extra columns
+ordinary text; whole texts of any length; repeated rows each give their ids; rows without a key
+are left out; extra columns
 are dropped.
 """
 
@@ -171,4 +172,4 @@ def encode_texts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
                 at = stop
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInPandas(run, f"{key} {kind}, ids array<int>")
+    return df.where(F.col(key).isNotNull()).select(F.col(key), F.col(text)).mapInPandas(run, f"{key} {kind}, ids array<int>")
