@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.operators.skew import salted_left_join
+from quaestor.operators.skew import hot_keys, salted_left_join
 from quaestor.runtime import durable, table
 
 NONE, OK, ABSENT, WITHDRAWN, LATE = "none", "ok", "absent", "withdrawn", "late"
@@ -122,10 +122,10 @@ def _merge_children(old: DataFrame | None, new: DataFrame) -> DataFrame:
     )
 
 
-def _probe(children: DataFrame, parents: DataFrame) -> DataFrame:
+def _probe(children: DataFrame, parents: DataFrame, hot: list[str]) -> DataFrame:
     """Status of each reference against the parent index; hot parents are split."""
     index = parents.select("pkey", F.col("first_at").alias("_p_first"), F.col("swept").alias("_p_swept"))
-    joined = salted_left_join(children, index, "pkey", "record_id")
+    joined = salted_left_join(children, index, "pkey", "record_id", hot)
     status = (
         F.when(F.col("pkey").isNull(), F.lit(NONE))
         .when(F.col("_p_first").isNull(), F.lit(ABSENT))
@@ -143,21 +143,26 @@ class OrphanTracker:
         self.relation = relation
         self.parents: DataFrame | None = None
         self.children: DataFrame | None = None
+        self.hot: set[str] = set()
+        self.batches = 0
 
     def advance(self, child_rows: DataFrame, parent_rows: DataFrame, last: bool = False) -> "OrphanTracker":
         """Fold one batch in; the state is cut into the shared folder unless it is the last."""
         arrived = fold_parents(parent_rows, self.relation)
+        self.hot |= set(hot_keys(child_rows.select(self.relation.reference.alias("ref")), "ref"))
+        hot = sorted(self.hot)
         merged = _merge_children(self.children, fold_children(child_rows, self.relation))
         first = self.children is None
         self.parents = _merge_parents(self.parents, arrived)
         if first:
-            self.children = _probe(merged, self.parents)
+            self.children = _probe(merged, self.parents, hot)
         else:
             touched = arrived.select("pkey", F.lit(True).alias("_touched"))
-            marked = salted_left_join(merged, touched, "pkey", "record_id").drop("_right_key")
+            marked = salted_left_join(merged, touched, "pkey", "record_id", hot).drop("_right_key")
             again = F.col("status").isNull() | F.col("_touched").isNotNull()
             keep = marked.where(~again).drop("_touched")
-            self.children = keep.unionByName(_probe(marked.where(again).drop("_touched"), self.parents))
+            self.children = keep.unionByName(_probe(marked.where(again).drop("_touched"), self.parents, hot))
+        self.batches += 1
         if not last:
             self.parents, self.children = durable(self.parents), durable(self.children)
         return self
@@ -195,12 +200,10 @@ def _slices(rows: DataFrame, cuts: list[str]) -> Iterable[DataFrame]:
         yield part
 
 
-def track_documents(
-    spark: SparkSession, root: str, cuts: list[str] | None = None
-) -> list[tuple[OrphanTracker, list[DataFrame]]]:
+def track_documents(spark: SparkSession, root: str, cuts: list[str] | None = None) -> Iterable[OrphanTracker]:
     """Both relations of ``root`` folded in batches cut at the instants ``cuts`` (UTC).
 
-    Returns each tracker with its snapshots, one per batch.
+    Yields the tracker of a relation after each of its batches; ``tracker.batches`` counts them.
     """
     child_cols = ["id", "ingested_at", "swept_at"]
     tables = {
@@ -209,16 +212,11 @@ def track_documents(
         "offer_files": table(spark, root, "offer_files").select("offer_document_id", *child_cols),
     }
     files, documents = document_relations()
-    out = []
     cuts = cuts or []
     for relation, child, parent in ((files, "offer_files", "offer_documents"), (documents, "offer_documents", "offers")):
-        tracker, snapshots = OrphanTracker(relation), []
-        parts = list(zip(_slices(tables[child], cuts), _slices(tables[parent], cuts)))
-        for k, (children, parents) in enumerate(parts):
-            tracker.advance(children, parents, last=k == len(parts) - 1)
-            snapshots.append(tracker.snapshot())
-        out.append((tracker, snapshots))
-    return out
+        tracker = OrphanTracker(relation)
+        for k, (children, parents) in enumerate(zip(_slices(tables[child], cuts), _slices(tables[parent], cuts))):
+            yield tracker.advance(children, parents, last=k == len(cuts))
 
 
 #: The history is folded in two batches: an initial load and what came after it.
@@ -227,16 +225,16 @@ HISTORY_CUTS = ["2025-07-01T00:00:00Z"]
 
 def orphan_references(spark: SparkSession, root: str, cuts: list[str] | None = None) -> DataFrame:
     """Every orphan reference as (table_name, record_id, period)."""
-    trackers = track_documents(spark, root, HISTORY_CUTS if cuts is None else cuts)
-    first, second = (t.cases().select("table_name", "record_id", "period") for t, _ in trackers)
+    cuts = HISTORY_CUTS if cuts is None else cuts
+    done = [t for t in track_documents(spark, root, cuts) if t.batches == len(cuts) + 1]
+    first, second = (t.cases().select("table_name", "record_id", "period") for t in done)
     return first.unionByName(second)
 
 
 def orphan_snapshots(spark: SparkSession, root: str, cuts: list[str] | None = None) -> DataFrame:
     """Counts per table, period and reason after each batch (``batch`` from 1)."""
     out = None
-    for _, snapshots in track_documents(spark, root, HISTORY_CUTS if cuts is None else cuts):
-        for k, snap in enumerate(snapshots, start=1):
-            part = snap.select(F.lit(k).alias("batch"), "table_name", "period", "status", "orphans")
-            out = part if out is None else out.unionByName(part)
+    for t in track_documents(spark, root, HISTORY_CUTS if cuts is None else cuts):
+        part = t.snapshot().select(F.lit(t.batches).alias("batch"), "table_name", "period", "status", "orphans")
+        out = part if out is None else out.unionByName(part)
     return out
