@@ -139,12 +139,30 @@ def entries(value: str) -> list[list[str]]:
     return out
 
 
+def listed_kinds(names: Iterator[str]) -> set[str]:
+    """Kind words that listed names hold themselves and that must not be taken off."""
+    out: set[str] = set()
+    for name in names:
+        out |= _KIND_SET.intersection(_WORDS.findall(plain(name)))
+    return out
+
+
+def name_of(entry: str, kinds: set[str]) -> str:
+    """The entry's key without kind, part and country words; empty if nothing else is left."""
+    rest = [w for w in _WORDS.findall(plain(entry)) if w not in kinds]
+    while rest and rest[0] in _LINK_SET:
+        rest.pop(0)
+    while rest and rest[-1] in _LINK_SET:
+        rest.pop()
+    return "".join(rest)
+
+
 class Matcher:
     """Looks up entries in the trees of one shard of the reference list."""
 
-    def __init__(self, reference: list[tuple[int, str]]):
+    def __init__(self, reference: list[tuple[int, str]], kept_kinds: set[str] = frozenset()):
         named = [(letters(name), ident) for ident, name in sorted(reference) if name]
-        self.kinds = _KIND_SET - {w for _, name in reference for w in _WORDS.findall(plain(name or ""))}
+        self.kinds = _KIND_SET - set(kept_kinds)
         self.exact = {}
         for key, ident in named:
             self.exact.setdefault(key, ident)
@@ -152,47 +170,41 @@ class Matcher:
         self.spelled = BKTree([(folded(key), ident) for key, ident in named])
         self.look_up = lru_cache(maxsize=200_000)(self._look_up)
 
-    def name_of(self, entry: str) -> str:
-        """The entry's key without kind, part and country words; empty if nothing else is left."""
-        words = _WORDS.findall(plain(entry))
-        if letters(entry) in self.exact:
-            return letters(entry)
-        rest = [w for w in words if w not in self.kinds]
-        while rest and rest[0] in _LINK_SET:
-            rest.pop(0)
-        while rest and rest[-1] in _LINK_SET:
-            rest.pop()
-        return "".join(rest)
-
     def _look_up(self, key: str) -> tuple[int, int] | None:
         """(distance, place_id) of the nearest listed name, if near enough."""
-        if not key:
-            return None
         if key in self.exact:
             return 0, self.exact[key]
         most = allowed(key)
         found = self.typed.within(key, most) + [(d + 1, i) for d, i in self.spelled.within(folded(key), most)]
         return min(found) if found else None
 
-    def places(self, value: str) -> list[tuple[str, int, int]]:
-        """(entry, place_id, distance) for each entry; place_id 0 for none."""
+    def units(self, value: str) -> list[tuple[int, int, int, str, int, int]]:
+        """(group, part, width, entry, place_id, distance): every part of a value, and every two around a dash."""
         out = []
-        for parts in entries(value):
-            at = 0
-            while at < len(parts):
-                # two parts around a dash are one name if they match together
-                pair = " ".join(parts[at : at + 2])
-                hit = self.look_up(self.name_of(pair)) if len(parts) > at + 1 and self.name_of(pair) else None
-                if hit and not self.look_up(self.name_of(parts[at])) and not self.look_up(self.name_of(parts[at + 1])):
-                    out.append((pair, hit[1], hit[0]))
-                    at += 2
-                    continue
-                key = self.name_of(parts[at])
-                if key:
-                    hit = self.look_up(key)
-                    out.append((parts[at], hit[1], hit[0]) if hit else (parts[at], 0, -1))
-                at += 1
-        return out or [(value, 0, -1)]
+        for g, parts in enumerate(entries(value)):
+            for width in (1, 2):
+                for at in range(len(parts) - width + 1):
+                    entry = " ".join(parts[at : at + width])
+                    if key := name_of(entry, self.kinds):
+                        distance_, place = self.look_up(key) or (-1, 0)
+                        out.append((g, at, width, entry, place, distance_))
+        return out
+
+
+def resolved(value: str, units: list[tuple[int, int, int, str, int, int]]) -> list[tuple[str, int, int]]:
+    """(entry, place_id, distance) of a value: two parts around a dash are one name if only together they match."""
+    single = {(g, at): (entry, place, d) for g, at, width, entry, place, d in units if width == 1}
+    pair = {(g, at): (entry, place, d) for g, at, width, entry, place, d in units if width == 2 and place}
+    out, skip = [], set()
+    for g, at in sorted(set(single) | set(pair)):
+        if (g, at) in skip:
+            continue
+        if (g, at) in pair and not any(single.get((g, k), ("", 0, 0))[1] for k in (at, at + 1)):
+            out.append(pair[g, at])
+            skip.add((g, at + 1))
+        elif (g, at) in single:
+            out.append(single[g, at])
+    return out or [(value, 0, -1)]
 
 
 def typed_values(spark: SparkSession, root: str) -> DataFrame:
@@ -209,48 +221,58 @@ def typed_values(spark: SparkSession, root: str) -> DataFrame:
     return offers.unionByName(enterprises).where(F.trim(F.regexp_replace("value", r"[\s\u00a0]+", " ")) != "")
 
 
-OUT = "source_table string, record_key string, pos int, value string, entry_no int, entry string, place_id long, edits int"
+KEYS = ["source_table", "record_key", "pos", "value"]
+FOUND = "entry string, place_id long, edits int"
+UNIT = "g int, part int, width int, entry string, place_id long, edits int"
+_FRAME = "source_table string, record_key string, pos int, value string"
 
 
-def _shard_pass(values: DataFrame, reference: list[tuple[int, str]]) -> DataFrame:
-    shard = values.sparkSession.sparkContext.broadcast(reference)  # at most SHARD_ENTRIES names
+def _shard_pass(values: DataFrame, reference: list[tuple[int, str]], kept: set[str], whole: bool) -> DataFrame:
+    """One shard looked up for every value: resolved at once if it is the ``whole`` list, else as units."""
+    shared = values.sparkSession.sparkContext.broadcast((reference, kept))  # at most SHARD_ENTRIES names
+    columns = [c.split()[0] for c in f"{_FRAME}, {FOUND if whole else UNIT}".split(", ")]
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(shard.value)
+        matcher = Matcher(*shared.value)
         for batch in batches:
-            rows = [
-                (t, k, p, v, n, *hit)
-                for t, k, p, v in batch.itertuples(index=False)
-                for n, hit in enumerate(matcher.places(v))
-            ]
-            yield pd.DataFrame(rows, columns=["source_table", "record_key", "pos", "value", "entry_no", "entry", "place_id", "edits"])
+            rows = []
+            for t, k, p, v in batch.itertuples(index=False):
+                units = matcher.units(v)
+                rows += [(t, k, p, v, *x) for x in (resolved(v, units) if whole else units or [(0, 0, 0, v, 0, -1)])]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return values.select(*KEYS).mapInPandas(look_up, f"{_FRAME}, {FOUND if whole else UNIT}")
 
-    return values.select("source_table", "record_key", "pos", "value").mapInPandas(look_up, OUT)
+
+def _resolve_rows(values: pd.Series, units: pd.Series) -> pd.Series:
+    return pd.Series([resolved(v, [tuple(u[c] for c in ("g", "part", "width", "entry", "place_id", "edits")) for u in us if u["width"]]) for v, us in zip(values, units)])
 
 
 def map_places(values: DataFrame, places: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """Each entry of ``values`` with its nearest listed place (0 if none), see ``OUT``.
+    """Each entry of ``values`` with its nearest listed place (0 if none): KEYS, entry, place_id, edits.
 
-    The list is read in shards of bounded size; values spelled as listed are left out.
+    The list is read in shards of bounded size; values spelled as listed are left out. With
+    several shards the nearest of their winners is kept for every unit before a value's units
+    are resolved, so the result is that of one shard (repeated rows then come out once).
     """
     listed = places.where(F.col("name").isNotNull()).select(F.col("name").alias("value")).distinct()
     rest = values.join(listed, "value", "left_anti")
-    names = places.select("place_id", F.explode(F.array("name", "name_ar")).alias("name")).where(F.col("name").isNotNull())
+    names = places.select("place_id", F.explode(F.array("name", "name_ar")).alias("name")).where(F.col("name").isNotNull() & F.col("place_id").isNotNull())
     shards = max(1, -(-names.count() // shard_entries))
-    passes = []
+    kept = listed_kinds(r.name for r in names.select("name").toLocalIterator())
+    merged = None
     for k in range(shards):
         part = names if shards == 1 else names.where(F.pmod(F.xxhash64("place_id"), F.lit(shards)) == k)
-        passes.append(_shard_pass(rest, [(r.place_id, r.name) for r in part.collect()]))
+        found = _shard_pass(rest, [(r.place_id, r.name) for r in part.collect()], kept, shards == 1)
+        merged = found if merged is None else merged.unionByName(found)
     if shards == 1:
-        return passes[0]
-    merged = passes[0]
-    for other in passes[1:]:
-        merged = merged.unionByName(other)
+        return merged
     rank = F.struct(F.when(F.col("place_id") == 0, F.lit(1 << 30)).otherwise(F.col("edits")), F.col("place_id"))
-    keys = ["source_table", "record_key", "pos", "value", "entry"]
-    return merged.groupBy(*keys).agg(F.min_by(F.struct("entry_no", "place_id", "edits"), rank).alias("b")).select(
-        "source_table", "record_key", "pos", "value", "b.entry_no", "entry", "b.place_id", "b.edits"
-    )
+    unit = ["g", "part", "width", "entry"]
+    best = merged.groupBy(*KEYS, *unit).agg(F.min_by(F.struct("place_id", "edits"), rank).alias("b"))
+    units = best.groupBy(*KEYS).agg(F.collect_list(F.struct(*unit, "b.place_id", "b.edits")).alias("units"))
+    resolve = F.pandas_udf(_resolve_rows, "array<struct<entry:string,place_id:bigint,edits:int>>")
+    return units.select(*KEYS, F.explode(resolve("value", "units")).alias("r")).select(*KEYS, "r.*")
 
 
 def place_cases(spark: SparkSession, root: str) -> DataFrame:

@@ -16,6 +16,7 @@ clashing output names (``piece_no`` ...) are replaced; repeated rows of one key
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -50,16 +51,17 @@ def boundaries(text: str) -> list[list[int]]:
     return [[m.end() for m in rx.finditer(text) if 0 < m.end() < len(text)] for rx in (_STRONG, _SENTENCE, _CLAUSE, _WORD)]
 
 
-def _whole_character(text: str, at: int) -> int:
-    """``at`` moved back so that no mark or joiner is cut from its letter."""
-    import unicodedata
+def _inside_character(text: str, at: int) -> bool:
+    """Whether a cut at ``at`` would take a mark or joiner from its letter."""
+    return 0 < at < len(text) and (unicodedata.combining(text[at]) > 0 or text[at] in _JOINERS or text[at - 1] in _JOINERS)
 
-    back = at
-    while 0 < back < len(text) and (
-        unicodedata.combining(text[back]) or text[back] in _JOINERS or text[back - 1] in _JOINERS
-    ):
-        back -= 1
-    return back or at
+
+def _whole_character(text: str, at: int, step: int) -> int:
+    """``at`` moved by steps until no character is cut; ``at`` itself if there is no such place."""
+    moved = at
+    while _inside_character(text, moved):
+        moved += step
+    return moved if 0 < moved < len(text) else at
 
 
 def split_text(text: str, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[tuple[int, int]]:
@@ -84,12 +86,12 @@ def split_text(text: str, limit: int = LIMIT_TOKENS, overlap: int = OVERLAP_TOKE
                 break
         if not end:
             i = bisect_right(every, reach) - 1
-            end = every[i] if i >= 0 and every[i] > max(covered, start + (reach - start) // 4) else _whole_character(text, reach)
+            end = every[i] if i >= 0 and every[i] > max(covered, start + (reach - start) // 4) else _whole_character(text, reach, -1)
         out.append((start, end))
         covered = end
         earliest = bisect_left(prefix, prefix[end] - back)
         i = bisect_left(every, earliest)
-        start = every[i] if i < len(every) and every[i] < end else _whole_character(text, min(earliest, end))
+        start = every[i] if i < len(every) and every[i] < end else min(_whole_character(text, earliest, 1), end)
         if start <= out[-1][0]:
             start = end
 
