@@ -192,16 +192,28 @@ def with_running_lines(content: DataFrame, furniture: DataFrame) -> DataFrame:
 
 
 def page_joints(content: DataFrame) -> DataFrame:
-    """(doc_id, block_id, next_id, head): the last content block of each page and the start of the next page's."""
-    ends = content.groupBy("doc_id", "page").agg(
-        F.max_by("block_id", F.struct("ord", "block_id")).alias("block_id"),
-        F.max_by(F.substring("text", -60, 60), F.struct("ord", "block_id")).alias("tail"),
-        F.min_by("block_id", F.struct("ord", "block_id")).alias("first_id"),
-        F.min_by(F.substring("text", 1, 60), F.struct("ord", "block_id")).alias("head"),
+    """(doc_id, block_id, next_id, head): the last content block of each page that ends in a cut.
+
+    ``head`` is the start of the next page's first block of running text (headings and tables
+    stand between at times); null where the next page has none.
+    """
+    last = F.struct("ord", "block_id")
+    ends = content.groupBy("doc_id", "page").agg(F.max_by("block_id", last).alias("block_id"), F.max_by(F.substring("text", -60, 60), last).alias("tail"))
+    body = content.where(~F.col("type").isin("title", "table"))
+    starts = body.groupBy("doc_id", (F.col("page") - 1).alias("page")).agg(
+        F.min_by("block_id", last).alias("next_id"), F.min_by(F.substring("text", 1, 400), last).alias("head")
     )
-    starts = ends.select("doc_id", (F.col("page") - 1).alias("page"), F.col("first_id").alias("next_id"), "head")
     cut = F.col("tail").rlike(rf"\p{{L}}[-{SOFT_MARKS}]\s*$")
-    return ends.where(cut).select("doc_id", "page", "block_id").join(starts, ["doc_id", "page"]).select("doc_id", "block_id", "next_id", "head")
+    return ends.where(cut).select("doc_id", "page", "block_id").join(starts, ["doc_id", "page"], "left").select("doc_id", "block_id", "next_id", "head")
+
+
+def continuation(head: str | None, page: int, running: set[str]) -> str | None:
+    """The lower-case word that the next page's text starts with, past furniture lines."""
+    if not head:
+        return None
+    text, _ = without_furniture(head, page + 1, running)
+    first = _FIRST_WORD.match(text)
+    return first.group(1) if first else None
 
 
 FINDING = "doc_id bigint, block_id string, kind string, word string, alt string, before string, after string"
@@ -216,19 +228,28 @@ def first_findings(content: DataFrame, common: frozenset[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, block, page, text, running, head in batch.itertuples(index=False):
-                text, had = without_furniture(text, page, set(running) if running is not None else set())
+                lines = set(running) if running is not None else set()
+                text, had = without_furniture(text, page, lines)
                 if had:
                     rows.append((doc, block, "furniture", None, None, None, None))
                 cuts = [(m.group(1), m.group(2), m.group(3)) for m in _CUT.finditer(text)]
-                if head and (end := _CUT_AT_END.search(text)) and (first := _FIRST_WORD.match(head)):
-                    cuts.append((end.group(1), end.group(2), first.group(1)))
+                if end := _CUT_AT_END.search(text):
+                    if right := continuation(head, page, lines):
+                        cuts.append((end.group(1), end.group(2), right))
+                    else:
+                        last = end.group(1).split("'")[-1].split("’")[-1]
+                        kind = "endcut" if end.group(2) == "-" else "softcut"
+                        rows.append((doc, block, kind, last.lower(), f"{end.group(1)}-", last, ""))
                 for left, mark, right in cuts:
                     kind = "cut" if mark == "-" else "softcut"
                     last = left.split("'")[-1].split("’")[-1]
                     rows.append((doc, block, kind, (last + right).lower(), f"{left}-{right}", last, right))
                 joined = _CUT.sub(lambda m: m.group(1) + m.group(3) if m.group(2) != "-" or (m.group(1) + m.group(3)).lower() in known else m.group(), text)
                 found = [w.lower() for _, _, w in words_of(joined)]
-                seen = set()
+                # a word cut at a hyphen may be misread as well, which only the whole shows
+                wholes = {(m.group(1).split("'")[-1].split("’")[-1] + m.group(3)).lower() for m in _CUT.finditer(text) if m.group(2) == "-"}
+                seen = {w for w in wholes if w not in known and len(w) <= LONGEST_WORD}
+                rows += [(doc, block, "word", w, None, None, None) for w in sorted(seen)]
                 for k, w in enumerate(found):
                     if w not in known and w not in seen:
                         seen.add(w)
@@ -277,7 +298,7 @@ class ScanNoise:
         self.words = durable(lexicon(self.digital))
         common = self.words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").collect()
         self.findings = durable(first_findings(self.content, frozenset(r.word for r in common)))
-        self.kinds = {k: self.findings.where(F.col("kind") == k) for k in ("furniture", "cut", "softcut", "word")}
+        self.kinds = {k: self.findings.where(F.col("kind") == k) for k in ("furniture", "cut", "softcut", "endcut", "word")}
         unknown = self.kinds["word"].select("word").distinct().join(self.words, "word", "left_anti")
         self.candidates = durable(corrections(unknown, self.words))
 
@@ -294,7 +315,10 @@ class ScanNoise:
         )
         compound = (F.col("_lk").isNotNull() & F.col("_rk").isNotNull()) | F.col("after").rlike(r"^\p{Lu}")
         really = F.col("_joined").isNotNull() | ~compound
-        return judged.where(really).select("doc_id", "block_id", "word", "alt").unionByName(self.kinds["softcut"].select("doc_id", "block_id", "word", "alt"))
+        columns = ["doc_id", "block_id", "word", "alt"]
+        # without a continuation in sight, a first half that is no word by itself was cut
+        alone = self.kinds["endcut"].join(known, "word", "left_anti")
+        return judged.where(really).select(columns).unionByName(self.kinds["softcut"].select(columns)).unionByName(alone.select(columns))
 
     def misread(self) -> DataFrame:
         """(doc_id, block_id, word, before, after) of the words that have a correction."""
@@ -334,7 +358,7 @@ class ScanNoise:
         """(doc_id, block_id, page, ord, text): content blocks of scanned pages as continuous text."""
         repairs = self.picked().groupBy("doc_id", "block_id").agg(F.collect_list(F.struct("word", "meant")).alias("repairs"))
         cuts = self.cut_words().groupBy("doc_id", "block_id").agg(F.collect_set("alt").alias("cuts"))
-        heads = self.joints.select("doc_id", F.col("next_id").alias("block_id"), F.col("block_id").alias("from_id"))
+        heads = self.joints.where(F.col("next_id").isNotNull()).select("doc_id", F.col("next_id").alias("block_id"), F.col("block_id").alias("from_id"))
         moved = heads.join(self.cut_words().select("doc_id", F.col("block_id").alias("from_id"), "alt"), ["doc_id", "from_id"]).groupBy("doc_id", "block_id").agg(F.collect_set("alt").alias("moved"))
         keys = ["doc_id", "block_id"]
         rows = self.content.join(repairs, keys, "left").join(cuts, keys, "left").join(moved, keys, "left")
@@ -360,9 +384,8 @@ def repair_text(text: str, page: int, running: set[str], repairs: dict[str, str]
     if moved and (first := _FIRST_WORD.match(text)) and any(a.endswith("-" + first.group(1)) for a in moved):
         text = text[first.end() :].lstrip(" \n")
     text = _CUT.sub(lambda m: m.group(1) + m.group(3) if f"{m.group(1)}-{m.group(3)}" in cuts else f"{m.group(1)}-{m.group(3)}", text)
-    if head and (end := _CUT_AT_END.search(text)) and (first := _FIRST_WORD.match(head)):
-        glue = "" if f"{end.group(1)}-{first.group(1)}" in cuts else "-"
-        text = text[: end.end(1)] + glue + first.group(1)
+    if (end := _CUT_AT_END.search(text)) and (right := continuation(head, page, running)):
+        text = text[: end.end(1)] + ("" if f"{end.group(1)}-{right}" in cuts else "-") + right
     out, at = [], 0
     for a, b, w in words_of(text):
         if (meant := repairs.get(w.lower())) is not None:
