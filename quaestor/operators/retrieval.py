@@ -39,7 +39,8 @@ def bm25(index: DataFrame, query_terms: DataFrame, n_docs: DataFrame, key: str,
     """
     wanted = index.join(query_terms.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(n_docs)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    n = n_docs.select("n").scalar()
+    idf = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / MEAN_LENGTH))
     weighted = wanted.join(idf, "term").select(key, "term", weight.alias("w"))
     return weighted.join(query_terms, "term").groupBy(query, key).agg(F.round(F.sum("w"), 6).alias("score"))
