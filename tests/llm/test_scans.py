@@ -1,5 +1,3 @@
-from conftest import rows
-
 from quaestor.llm import scans
 
 FR = "Le titulaire désigne un responsable permanent pendant la durée du chantier. Les offres restent valables après l'ouverture des plis. Le sous-traitant présente le bordereau des prix et le programme dans le délai fixé."
