@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.runtime import table
+from quaestor.runtime import durable, table
 
 #: Characters that are in house form wherever they stand.
 PLAIN = (
@@ -178,7 +178,8 @@ def house_form(values: DataFrame) -> DataFrame:
     keys = ["source_table", "record_key", "field", "pos", "value"]
     rows = values.select(*keys)
     plain = rows.where(F.col("value").isNull() | ~F.col("value").rlike(SUSPECT)).withColumn("normal", F.col("value"))
-    flagged = rows.where(F.col("value").rlike(SUSPECT)).distinct().withColumn("s", first_stage("value"))
+    # a few per cent of the values; written to the shared folder since three branches read them
+    flagged = durable(rows.where(F.col("value").rlike(SUSPECT)).distinct().withColumn("s", first_stage("value")))
     repairs = chosen_readings(flagged, rows.where(F.col("value").isNotNull()))
     per_value = (
         flagged.where(F.size("s.tokens") > 0)
