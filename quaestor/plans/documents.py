@@ -31,6 +31,10 @@ def strip_furniture(spark: SparkSession, root: str) -> DataFrame:
     return op.strip_furniture(op.distinct_blocks(spark, root), table(spark, root, "doc_pages")).select("doc_id", "id")
 
 
+def strip_furniture_families(spark: SparkSession, root: str) -> DataFrame:
+    return op.strip_furniture_families(op.distinct_blocks(spark, root), table(spark, root, "doc_pages")).select("doc_id", "id")
+
+
 def margin_families(spark: SparkSession, root: str) -> DataFrame:
     return op.margin_families(op.banded(op.distinct_blocks(spark, root), table(spark, root, "doc_pages")))
 
@@ -71,7 +75,7 @@ def softmax_top(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (section_paths, markdown_spans, render_markdown, repeated_margin_texts, strip_furniture, margin_families, table_islands,
+    for f in (section_paths, markdown_spans, render_markdown, repeated_margin_texts, strip_furniture, strip_furniture_families, margin_families, table_islands,
               overlapping_blocks, blocks_per_page, renumbered, document_flags, softmax_top)
 }
 

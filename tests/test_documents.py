@@ -57,6 +57,45 @@ def test_furniture_and_families(spark, make_root):
     assert op.families(["abcdef", "abcdeg", "zzz"]) == [0, 0, 2] and op.families([]) == []
 
 
+def test_furniture_families_match_brute_force(spark, make_root):
+    import random
+    from difflib import SequenceMatcher
+
+    rng, pages, given = random.Random(11), [], []
+    for doc in range(12):
+        n = rng.choice([1, 2, 4, 5, 10, 11])
+        pages += [dict(doc_id=doc, page=p, width=600.0, height=800.0) for p in range(1, n + 1)]
+        for i in range(4 * n):
+            page = rng.randint(1, n)
+            text = rng.choice([f"CPS  n° {doc}/2025 - Page {page}/{n}", f"cps n° {doc}/2025 / version 2 p. {page}", "Commune  de X", f"lot {rng.randint(1, 500)}", f"n° {rng.randint(1, 99)}", str(page), f"Ouvrage {rng.random()}", "y" * 119 + str(page), "z" * 121])
+            y = rng.choice([20.0, 400.0, 780.0])
+            given.append(block(doc, i, rng.choice(["paragraph", "header", "footer", "table"]), text, page=page, y0=y, y1=y + 12))
+    root = make_root(doc_pages=pages, blocks=given)
+    b, p = op.distinct_blocks(spark, root), table(spark, root, "doc_pages")
+    want = set()
+    for doc in range(12):
+        own, n = [g for g in given if g["doc_id"] == doc], sum(x["doc_id"] == doc for x in pages)
+        own.sort(key=lambda g: (g["page"], g["ord"], g["id"]))
+        margin = [g for g in own if g["bbox"][1] != 400.0 and g["type"] != "table"]
+        key = lambda g: " ".join(g["text"].split()).lower()
+        on = {}
+        for g in margin:
+            if len(key(g)) <= 120:
+                on.setdefault(key(g), set()).add(g["page"])
+        group = {k: {k} for k in on}
+        for i, a in enumerate(on):
+            for c in list(on)[i + 1 :]:
+                if min(len(a), len(c)) / max(len(a), len(c)) >= 0.6 and SequenceMatcher(None, a, c, autojunk=False).ratio() >= 0.8:
+                    joined = group[a] | group[c]
+                    for k in joined:
+                        group[k] = joined
+        enough = max(2, round(n * 0.3))
+        gone = {k for k in on if n >= 2 and (len(on[k]) >= enough or len(group[k]) > 1 and len(set().union(*(on[x] for x in group[k]))) >= enough)}
+        want |= {(doc, g["id"]) for g in own if g not in margin or not (key(g) in gone or key(g).isdigit())}
+    assert {(r.doc_id, r.id) for r in op.strip_furniture_families(b, p).collect()} == want
+    assert len(want) < op.strip_furniture(b, p).count()
+
+
 def test_tables_over_pages(spark, make_root):
     pages = [dict(doc_id=1, page=p, width=600.0, height=800.0) for p in (1, 2, 3)]
     t = lambda n, page, y0, y1, cols=2: block(1, n, "table", "| " + " | ".join("ab"[:cols]) + " |\n| --- |", page=page, y0=y0, y1=y1)
