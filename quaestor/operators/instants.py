@@ -8,11 +8,11 @@ one local time mean it was repeated, none that it was skipped, one gives its off
 stretches are cut beforehand into disjoint segments, exploded by local year, so that the
 as-of join is an equi-join on (zone, year) with exactly one segment per row.
 
-Defined results: null and empty values give no row in ``cases``; blanks only, words,
-impossible dates and unknown zones are ``unreadable``; a repeated local time is the earlier
-instant, a skipped one keeps the offset in force before the gap; fractions are dropped
-(towards the past); repeated rows give repeated results in ``to_instants`` and one in
-``cases``; extra columns are kept and never read.
+Defined results: null and empty values give no row in ``cases``; Arabic-Indic digits are read
+as ASCII ones, but are not house form; blanks only, words, impossible dates and unknown zones
+are ``unreadable``; a repeated local time is the earlier instant, a skipped one keeps the
+offset in force before the gap; fractions are dropped (towards the past); repeated rows give
+repeated results in ``to_instants`` and one in ``cases``; extra columns are kept and never read.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ MONTHS = {
 }
 # Names that mean UTC itself.
 UTC_NAMES = ("z", "utc", "gmt", "ut")
+# Arabic-Indic digits and their extended forms, as the patterns know ASCII digits only.
+ARABIC_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "0123456789" * 2
 
 _ZONE = r"(?:\s*(?:\[([A-Za-z_]+(?:/[A-Za-z0-9_+\-]+)*)\]|([A-Za-z_]+/[A-Za-z0-9_+\-/]+|Z|UTC|GMT|UT)|([+-]\d{2}:?\d{2})))?"
 _CLOCK = r"(\d{1,2})(?:\s*[:.hH]\s*(\d{2}))(?:[:.](\d{2}))?(?:[.,]\d+)?\s*([AaPp]\.?[Mm]\.?)?"
@@ -203,7 +205,7 @@ def to_instants(df: DataFrame, text: str, default_zone: str) -> DataFrame:
     else ``once``; null where the value is unreadable. ``default_zone`` names a column.
     """
     spark = df.sparkSession
-    clean = F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0\u202f]+", " "))
+    clean = F.translate(F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0\u202f]+", " ")), ARABIC_DIGITS, ASCII_DIGITS)
     # bound in lambdas and behind a generator, each step is computed once and not copied into filters
     read = F.transform(F.array(clean), lambda t: F.struct(t.alias("t"), _captured(t).alias("f")))
     read = F.transform(

@@ -22,6 +22,12 @@ def test_publication_dates(spark, make_root):
     }
 
 
+def test_arabic_digits_are_read(spark, make_root):
+    got = _cases(spark, make_root, "date_publication", ["١٠/٠٤/٢٠٢٥", "۱۶ شتنبر ۲۰۲۵", "١٧٤٠٦٦٣٩٠٦", "٣١/٠٤/٢٠٢٥", "10/04/2025"])
+    assert got == {0: "2025-04-09T23:00:00Z", 1: "2025-09-15T23:00:00Z", 2: "2025-02-27T13:45:06Z", 3: "unreadable"}
+    assert _cases(spark, make_root, "date_limite", ["١٨/٠١/٢٠٢٦ ١٥:٣٠"]) == {0: "2026-01-18T14:30:00Z"}
+
+
 def test_doubtful_moroccan_hours(spark, make_root):
     # Ramadan 2025: the clock fell from 3:00 to 2:00 on 23 February and sprang from 2:00 to 3:00 on 6 April
     got = _cases(spark, make_root, "date_limite", ["23/02/2025 02:30", "06/04/2025 02:30", "06/04/2025 03:30", "13/09/2024 09:00 AM", "2026-03-29 02:30 Europe/Paris", "2026-01-01 10:00 Mars/Olympus"])
