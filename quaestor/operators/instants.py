@@ -6,7 +6,9 @@ matched as of their place in the zone's offset history: each zone is a sequence
 offset intervals, and an interval covers a stretch of local clock time. Two intervals over
 one local time mean it was repeated, none that it was skipped, one gives its offset. The
 stretches are cut beforehand into disjoint segments, exploded by local year, so that the
-as-of join is an equi-join on (zone, year) with exactly one segment per row.
+as-of join is an equi-join on (zone, year) with exactly one segment per row. Segments cover
+FIRST_YEAR to LAST_YEAR; before, every zone keeps its first offset, and after, rules repeat
+with the calendar, so a later year is looked up in a covered one of the same calendar.
 
 Defined results: null and empty values give no row in ``cases``; Arabic-Indic digits are read
 as ASCII ones, but are not house form; blanks only, words, impossible dates and unknown zones
@@ -62,6 +64,9 @@ _COUNT = r"^-?\d{9,11}(?:\.\d+)?$"
 _COUNT_MS = r"^-?\d{12,14}(?:\.\d+)?$"
 _COUNT_US = r"^-?\d{15,17}$"
 
+#: No zone changes before FIRST_YEAR + 1; the 28 years to LAST_YEAR hold every calendar a year can have and only changes by rule.
+FIRST_YEAR, LAST_YEAR = 1800, 2128
+
 
 @dataclass(frozen=True)
 class Field:
@@ -149,7 +154,7 @@ def _counted(text: Column) -> Column:
 
 
 @lru_cache(maxsize=None)
-def zone_segments(zone: str, first_year: int = 1950, last_year: int = 2100) -> tuple[tuple[int, int, int, int], ...]:
+def zone_segments(zone: str, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> tuple[tuple[int, int, int, int], ...]:
     """Disjoint local-time segments ``(lo, hi, matches, offset)`` of a zone's offset history.
 
     ``offset`` is the one to subtract: of two matching intervals the earlier instant's, of
@@ -167,8 +172,8 @@ def zone_segments(zone: str, first_year: int = 1950, last_year: int = 2100) -> t
     step = 7 * 86400
     for probe in range(start + step, end + step, step):
         # several changes may lie within a step only if they undo each other; a week is less than any rule has
-        if at(probe) != offset:
-            lo, hi = probe - step, probe
+        while at(probe) != offset:
+            lo, hi = max(probe - step, begun), probe
             while hi - lo > 1:
                 mid = (lo + hi) // 2
                 lo, hi = (lo, mid) if at(mid) != offset else (mid, hi)
@@ -184,6 +189,18 @@ def zone_segments(zone: str, first_year: int = 1950, last_year: int = 2100) -> t
     return tuple(out)
 
 
+def covered_local(local: Column) -> Column:
+    """A local time of the years covered by segments that meets the same offsets."""
+    year = F.year(F.timestamp_seconds(local))
+    kind = lambda y: (dt.date(y, 1, 1).weekday(), dt.date(y, 12, 31).timetuple().tm_yday)
+    like = {kind(y): y for y in range(LAST_YEAR - 27, LAST_YEAR + 1)}
+    same = F.lit([like[kind(LAST_YEAR + 1 + k)] for k in range(400)])  # calendars repeat after 400 years
+    start = lambda y: F.unix_date(F.make_date(y, F.lit(1), F.lit(1))).cast("long") * 86400
+    later = local - start(year) + start(F.get(same, (year - LAST_YEAR - 1) % 400))
+    early = int(dt.datetime(FIRST_YEAR, 7, 1, tzinfo=dt.timezone.utc).timestamp())
+    return F.when(year <= FIRST_YEAR, F.lit(early).cast("long")).when(year > LAST_YEAR, later).otherwise(local)
+
+
 def segments_table(spark: SparkSession, zones: list[str]) -> DataFrame:
     """The segments of ``zones`` exploded by local year.
 
@@ -216,10 +233,10 @@ def to_instants(df: DataFrame, text: str, default_zone: str) -> DataFrame:
     # names of zones in use: at most as many as there are IANA zones, since others are dropped here
     names = [r[0] for r in parsed.where(F.col("_p.zone").isNotNull() & F.col("_p.zone").isin(*sorted(known))).select("_p.zone").distinct().collect()]
     segments = segments_table(spark, sorted(names))
-    local = F.col("_p.local")
-    joined = parsed.withColumn("_year", F.year(F.timestamp_seconds(local))).join(
+    local, near = F.col("_p.local"), F.col("_near")
+    joined = parsed.withColumn("_near", covered_local(local)).withColumn("_year", F.year(F.timestamp_seconds(near))).join(
         F.broadcast(segments),
-        (F.col("_p.zone") == F.col("_z_zone")) & (F.col("_year") == F.col("_z_year")) & (local >= F.col("_z_lo")) & (local < F.col("_z_hi")),
+        (F.col("_p.zone") == F.col("_z_zone")) & (F.col("_year") == F.col("_z_year")) & (near >= F.col("_z_lo")) & (near < F.col("_z_hi")),
         "left",
     )
     offset = F.coalesce(F.col("_p.offset"), F.col("_z_offset"))
@@ -231,7 +248,7 @@ def to_instants(df: DataFrame, text: str, default_zone: str) -> DataFrame:
     )
     return joined.withColumn("utc", F.timestamp_seconds(local - offset)).withColumn(
         "clock", F.when(F.col("utc").isNotNull(), clock)
-    ).drop("_p", "_year", "_z_zone", "_z_year", "_z_lo", "_z_hi", "_z_matches", "_z_offset")
+    ).drop("_p", "_near", "_year", "_z_zone", "_z_year", "_z_lo", "_z_hi", "_z_matches", "_z_offset")
 
 
 def normalised_fields(offers: DataFrame, fields: tuple[Field, ...] = OFFER_FIELDS) -> DataFrame:

@@ -28,6 +28,15 @@ def test_arabic_digits_are_read(spark, make_root):
     assert _cases(spark, make_root, "date_limite", ["١٨/٠١/٢٠٢٦ ١٥:٣٠"]) == {0: "2026-01-18T14:30:00Z"}
 
 
+def test_far_years_agree_with_zoneinfo(spark, make_root):
+    assert _cases(spark, make_root, "date_publication", ["31/12/9999", "01/01/1900", "9999-12-31"]) == {2: "9999-12-30T23:00:00Z"}
+    given = [(f"{y:04}-{m:02}-{d:02} {h:02}:30:00", zone) for y in (2, 1799, 1800, 1913, 1940, 2100, 2128, 2129, 2200, 2399, 2400, 2999, 9998) for m, d in ((1, 1), (3, 29), (7, 1), (10, 28), (12, 31)) for h in (0, 2, 23) for zone in ("Europe/Paris", "Africa/Casablanca", "Australia/Sydney", "America/Santiago")]
+    got = to_instants(spark.createDataFrame(given, "v string, tz string"), "v", "tz").selectExpr("v", "tz", "unix_seconds(utc) AS s").collect()
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    want = {(v, z): (dt.datetime.fromisoformat(v).replace(tzinfo=ZoneInfo(z)) - epoch) // dt.timedelta(seconds=1) for v, z in given}
+    assert {(r.v, r.tz): r.s for r in got} == want
+
+
 def test_doubtful_moroccan_hours(spark, make_root):
     # Ramadan 2025: the clock fell from 3:00 to 2:00 on 23 February and sprang from 2:00 to 3:00 on 6 April
     got = _cases(spark, make_root, "date_limite", ["23/02/2025 02:30", "06/04/2025 02:30", "06/04/2025 03:30", "13/09/2024 09:00 AM", "2026-03-29 02:30 Europe/Paris", "2026-01-01 10:00 Mars/Olympus"])
