@@ -83,11 +83,11 @@ MESSAGES = [
 # Literals of which every text that matches one of the lists above holds one (the placeholders' as written, others in lower case).
 PLACEHOLDER_ANCHORS = ["{", "<", "[", "«", "%", "@@", "__", "TODO", "FIXME", "TBD", "TBC", "XXX", "XX/XX", "JJ/MM", "DD/MM", "undefined", "NaN", "null null", ": null"]
 FILLER_ANCHORS = (
-    "lorem ipsum dolor adipiscing sapien vivamus ligula mauris augue felis massa nulla tetur blabla azerty qwerty qsdfgh asdfgh wxcvbn zxcvbn".split()
+    "lorem ipsum dolor amet consec adipiscing elit sapien tempor vivamus ligula mauris augue felis massa porta orci erat nulla quam tetur sed sit blabla azerty qwerty qsdfgh asdfgh wxcvbn zxcvbn".split()
     + ["bla bla", "placeholder text", "text for", "text goes", "text only", "d'exemple", "d’exemple", "texte de remplissage", "texte fictif", "texte factice", "texto de", "نص تجريبي", "نص عشوائي", "نص لملء"]
 )
 MESSAGE_ANCHORS = [
-    "erreur", "error", "http", "not found", "gateway", "forbidden", "la page ", "ressource demandée", "retour à l", "droits nécessaires", "droits suffisants", "accès refusé", "accès interdit", "administrateur et",
+    "erreur", "error", "http", "not found", "502 service", "503 service", "504 service", "gateway", "forbidden", "la page ", "ressource demandée", "retour à l", "droits nécessaires", "droits suffisants", "accès refusé", "accès interdit", "administrateur et",
     "uncaught exception", "traceback", "pointer", "stack trace", "at line ", "your request", "too many requests", "slow down", "be reached", "denied", "indisponible",
     "réessayer", "en maintenance", "de maintenance", "nous serons de retour", "session a expiré", "reconnecter", "session has expired", "log in again", "javascript", "scripts", "cookies", "fonctions du portail",
     "navigateur en cours", "enable it and reload", "página no", "enlace solicitado", "acceso denegado", "الصفحة", "جافا", "صلاحية الجلسة", "الخدمة غير", "الخادم",

@@ -71,6 +71,50 @@ CONTENT = [
 ]
 
 
+def samples(pattern, rng, n):
+    """Texts that match a pattern, drawn from its parsed form, so that every alternative comes up."""
+    import re
+
+    plain = re.sub(r"\[([^\]]*)\\p\{L[u}][^\]]*\]", "[A-Za-z]", pattern).replace(r"\p{L}", "[a-z]")
+    plain = re.sub(r"\(\?iu?:", "(?:", re.sub(r"^\(\?iu?\)", "", plain))
+
+    def draw(parsed):
+        out = ""
+        for op, arg in parsed:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "IN":
+                choices = [chr(rng.randint(*a)) if str(o) == "RANGE" else chr(a) if str(o) == "LITERAL" else {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "7"}.get(str(a)) for o, a in arg if str(o) != "NEGATE"]
+                out += "q" if str(arg[0][0]) == "NEGATE" else rng.choice(choices)
+            elif kind == "BRANCH":
+                out += draw(rng.choice(arg[1]))
+            elif kind == "SUBPATTERN":
+                out += draw(arg[-1])
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                out += "".join(draw(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+            elif kind not in ("AT", "ASSERT", "ASSERT_NOT"):
+                raise ValueError(kind)
+        return out
+
+    parsed = re._parser.parse(plain)
+    return [draw(parsed) for _ in range(n)]
+
+
+def test_matches_hold_an_anchor():
+    rng, lost = random.Random(9), set()
+    for patterns, anchors, form in [(residue.PLACEHOLDERS, residue.PLACEHOLDER_ANCHORS, str), (residue._WORDED_FILLER, residue.FILLER_ANCHORS, str.lower), (residue.MESSAGES, residue.MESSAGE_ANCHORS, str.lower)]:
+        for p in patterns:
+            lost |= {t for t in samples(p, rng, 4000) if not any(a in form(t) for a in anchors)}
+    assert lost == set()
+
+
+def test_residue_without_other_anchors(spark):
+    texts = ["elit sed tempor quam porta", "503 Service Unavailable", "Le concurrent visite le site, sed lex."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source", "'o' AS org_acronyme")
+    assert rows(residue.residue_documents(df)) == [(0,), (1,)]
+
+
 def test_residue(spark, make_root):
     given = [dict(doc_id=i, text=t) for i, t in enumerate(RESIDUE + CONTENT)]
     # a message no pattern knows, alone under several hosts and once inside a document
