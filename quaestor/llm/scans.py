@@ -2,7 +2,7 @@
 
 * Furniture: blocks in the page margins that are short single lines, flagged or typed as
   furniture; and, inside content blocks, lines that repeat a running line of the document
-  (digits masked) or name the page's own number.
+  (digits masked), starts and ends of lines that do, or lines that name the page's own number.
 * Cut words: a mark at the end of a line or page that does not belong to the word. Soft
   marks never do; a hyphen does unless the corpus lexicon knows the joined word, or one half
   is no word by itself.
@@ -24,6 +24,7 @@ height is judged by type and flag only; whole texts; extra columns are never rea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -36,6 +37,8 @@ from quaestor.runtime import durable, table
 COMMON_WORDS = 20_000
 MARGIN = 0.06
 LONGEST_WORD = 40
+#: A running line beside other text is told from the text's own words by its length.
+LEAST_RUNNING = 10
 FURNITURE_TYPES = ("header", "footer", "page_number")
 
 # What a sequence read by the scanner may really be.
@@ -99,11 +102,34 @@ def words_of(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+@lru_cache(maxsize=10_000)
+def _running_ends(running: str) -> tuple[regex.Pattern, regex.Pattern]:
+    """Patterns of a running line before and after other text of the same line."""
+    body = regex.escape(running, literal_spaces=True).replace("0", r"\p{N}+").replace(" ", r"\s+")
+    # a sentence may begin with the buyer's name: what follows must begin anew, which letters without case do not show
+    begins = r"[\p{Lu}\p{Lo}\p{N}«\"]" if "0" in running else r"\p{Lu}"
+    return regex.compile(rf"(?i:^\s*{body})\s+(?={begins})"), regex.compile(rf"(?<=[.!?:;…؟])\s+(?i:{body}\s*$)")
+
+
+def without_running_ends(line: str, running: set[str]) -> str:
+    """The line without a running line of its document that it starts or ends with."""
+    masked = shape(line)
+    for r in sorted((r for r in running if LEAST_RUNNING <= len(r) < len(masked)), key=lambda r: (-len(r), r)):
+        if masked.startswith(r) or masked.endswith(r):
+            before, after = _running_ends(r)
+            line = after.sub("", before.sub("", line))
+            masked = shape(line)
+    return line
+
+
 def without_furniture(text: str, page: int, running: set[str]) -> tuple[str, bool]:
-    """The text without furniture lines, and whether it had any."""
+    """The text without furniture lines or running lines beside other text, and whether it had any."""
     lines = text.split("\n")
     keep = [x for x in lines if not (is_page_line(x, page) or (x.strip() and shape(x) in running))]
-    return ("\n".join(keep), True) if len(keep) < len(lines) and len(lines) > 1 else (text, False)
+    if len(lines) == 1:
+        keep = lines
+    cut = [without_running_ends(x, running) for x in keep] if running else keep
+    return ("\n".join(cut), True) if cut != lines else (text, False)
 
 
 _SEEN = [a for a, _ in CONFUSIONS]

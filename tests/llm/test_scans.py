@@ -37,6 +37,23 @@ def test_paragraphs(spark, make_root):
     assert "b0" not in got and "b6" not in got
 
 
+def test_running_lines_beside_text():
+    running = {"page 0 sur 0", "chambre d'agriculture de x - marché 0/hc/0", "commune de rabat", "page 0"}
+    cut = lambda text: scans.without_furniture(text, 2, running)
+    assert cut("Page 2 sur 12 L'estimation des coûts") == ("L'estimation des coûts", True)
+    assert cut("Chambre d'agriculture de X -  Marché 278/HC/2025 Sauf stipulation\ncontraire. Page 3 sur 12") == ("Sauf stipulation\ncontraire.", True)
+    assert cut("Page 2 sur 12\nPage 2 sur 12 يلتزم المقاول") == ("يلتزم المقاول", True)
+    for text in ["Commune de Rabat se réserve le droit", "voir page 2 sur 12 du dossier", "il est remis à la commune de Rabat", "Page 2 Les prix", "Page 2 sur 12e lot", "x\ny"]:
+        assert cut(text) == (text, False)
+
+
+def test_running_lines_beside_text_are_found(spark, make_root):
+    given = [block(2, 0, "Page 1 sur 12", y0=790.0), block(2, 1, "Page 2 sur 12 Le chantier reste ouvert.", page=2)]
+    root = make_root(doc_pages=[dict(doc_id=2, page=p, height=800.0, is_scanned=True) for p in (1, 2)], blocks=given)
+    assert {(r.block_id, r.noise) for r in scans.scan_noise(spark, root).collect()} == {("b0", "furniture"), ("b1", "furniture")}
+    assert [r.text for r in scans.scan_paragraphs(spark, root).collect()] == ["Le chantier reste ouvert."]
+
+
 def test_distance_is_cheap_for_confusions_only():
     assert scans.weighted_distance("traiternent", "traitement") == scans.CONFUSED_COST
     assert scans.weighted_distance("éclairée", "édairée") == scans.CONFUSED_COST
