@@ -8,7 +8,8 @@
   is no word by itself.
 * Misread characters: a symmetric-delete index over the frequency lexicon of the digital
   pages. From a lexicon word each confusable sequence is deleted in turn, from an unknown
-  word each sequence it may have been misread as; equal remainders make candidates. A
+  word each sequence it may have been misread as; equal remainders make candidates. Words
+  that find none are tried with two and then three sequences deleted. A
   weighted edit distance, cheap for confusion pairs, accepts them, and the words before and
   after (bigrams of the digital pages), then frequency, pick among several.
 
@@ -48,6 +49,7 @@ CONFUSIONS = [
     ("j", "ل"), ("l", "ا"), ("|", "ا"), ("ں", "ن"), ("ٯ", "ق"), ("ٮ", "ب"), ("o", "ه"), ("ی", "ي"), ("ک", "ك"),
 ]
 CONFUSED_COST, OTHER_COST, MOST_COST = 0.3, 1.0, 0.9
+MOST_MISREAD = 3  # MOST_COST / CONFUSED_COST
 
 SOFT_MARKS = "¬‐‑­"
 _CUT = regex.compile(rf"(\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*)([-{SOFT_MARKS}])[ \t]*\n(\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*)")
@@ -136,14 +138,18 @@ _SEEN = [a for a, _ in CONFUSIONS]
 _MEANT = [b for _, b in CONFUSIONS]
 
 
-def delete_keys(word: str, sequences: list[str]) -> set[str]:
-    """The word with one occurrence of one of the sequences deleted, its place marked."""
-    out = set()
-    for s in dict.fromkeys(sequences):
-        at = word.find(s)
-        while at >= 0:
-            out.add(word[:at] + "\x00" + word[at + len(s) :])
-            at = word.find(s, at + 1)
+def delete_keys(word: str, sequences: list[str], depth: int = 1) -> set[str]:
+    """The word with ``depth`` occurrences of the sequences deleted, their places marked."""
+    out = {word}
+    for _ in range(depth):
+        deeper = set()
+        for w in out:
+            for s in dict.fromkeys(sequences):
+                at = w.find(s)
+                while at >= 0:
+                    deeper.add(w[:at] + "\x00" + w[at + len(s) :])
+                    at = w.find(s, at + 1)
+        out = deeper
     return out
 
 
@@ -286,10 +292,10 @@ def first_findings(content: DataFrame, common: frozenset[str]) -> DataFrame:
     return rows.mapInPandas(run, FINDING)
 
 
-def _keyed(words: DataFrame, sequences: list[str], *carry: str) -> DataFrame:
+def _keyed(words: DataFrame, sequences: list[str], depth: int, *carry: str) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([list(delete_keys(w, sequences)) for w in batch])
+            yield pd.Series([list(delete_keys(w, sequences, depth)) for w in batch])
 
     keys = F.pandas_udf(run, "array<string>")
     return words.select("word", *carry, F.explode(keys("word")).alias("key"))
@@ -299,15 +305,27 @@ def _batch_distance(seen: pd.Series, meant: pd.Series) -> pd.Series:
     return pd.Series([weighted_distance(a, b) for a, b in zip(seen, meant)])
 
 
-def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, meant, cost, n) for every accepted candidate of every unknown word."""
-    index = _keyed(words.where(F.length("word") > 1), _MEANT, "n").withColumnRenamed("word", "meant")
-    queries = _keyed(unknown, _SEEN)
+def _candidates(unknown: DataFrame, words: DataFrame, depth: int) -> DataFrame:
+    index = _keyed(words.where(F.length("word") > depth), _MEANT, depth, "n").withColumnRenamed("word", "meant")
+    queries = _keyed(unknown.where(F.length("word") > depth), _SEEN, depth)
     distance = F.pandas_udf(_batch_distance, "double")
     candidates = queries.join(index, "key").select("word", "meant", "n").distinct().where(F.col("word") != F.col("meant"))
     return candidates.withColumn("cost", distance("word", "meant")).where(F.col("cost") <= MOST_COST)
 
 
+def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, meant, cost, n) for every accepted candidate of every unknown word.
+
+    Words with one misreading are looked up first; those without a candidate are then tried
+    with two and at last with three, the most that MOST_COST accepts.
+    """
+    found = durable(_candidates(unknown, words, 1))
+    for depth in range(2, MOST_MISREAD + 1):
+        rest = unknown.join(found.select("word").distinct(), "word", "left_anti")
+        found = found.unionByName(durable(_candidates(rest, words, depth)))
+    return found
+
+
 class ScanNoise:
     """What the scanned pages of ``root`` hold, found once and kept in the shared folder."""
 
@@ -326,7 +344,7 @@ class ScanNoise:
         self.findings = durable(first_findings(self.content, frozenset(r.word for r in common)))
         self.kinds = {k: self.findings.where(F.col("kind") == k) for k in ("furniture", "cut", "softcut", "endcut", "word")}
         unknown = self.kinds["word"].select("word").distinct().join(self.words, "word", "left_anti")
-        self.candidates = durable(corrections(unknown, self.words))
+        self.candidates = corrections(unknown, self.words)
 
     def cut_words(self) -> DataFrame:
         """(doc_id, block_id, word, alt) of the words really cut."""

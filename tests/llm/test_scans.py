@@ -54,6 +54,13 @@ def test_running_lines_beside_text_are_found(spark, make_root):
     assert [r.text for r in scans.scan_paragraphs(spark, root).collect()] == ["Le chantier reste ouvert."]
 
 
+def test_words_with_several_misreadings(spark):
+    words = spark.createDataFrame([("responsable", 5), ("permanent", 4), ("chantier", 3), ("lot", 9)], "word string, n long")
+    unknown = spark.createDataFrame([("rcsponsab1e",), ("pcrrnancnt",), ("chantjer",), ("rc5p0n5ab1e",), ("1ot",)], "word string")
+    got = {(r.word, r.meant): round(r.cost, 6) for r in scans.corrections(unknown, words).collect()}
+    assert got == {("rcsponsab1e", "responsable"): 0.6, ("pcrrnancnt", "permanent"): 0.9, ("1ot", "lot"): 0.3}
+
+
 def test_distance_is_cheap_for_confusions_only():
     assert scans.weighted_distance("traiternent", "traitement") == scans.CONFUSED_COST
     assert scans.weighted_distance("éclairée", "édairée") == scans.CONFUSED_COST
