@@ -11,7 +11,10 @@ Three kinds of evidence are combined:
   is a message too, wherever it stands.
 
 The corpus has no address column, so the title (first line) and the document's kind and
-references take the place of the address slug in the comparison with the body.
+references take the place of the address slug in the comparison with the body: a
+low-information document whose body takes up none of them is bare. A sentence of any wording
+that recurs in bare documents of several hosts marks those documents, but no others, as site
+chrome stands on pages of content too.
 
 Blanks for the bidder, bracketed references and formulas, and requirements that speak about
 such pages are content: they match no detector, and stand in documents that are not
@@ -102,6 +105,8 @@ HINTS = [
 CONTENT = r"\d{1,4}/[A-Z]{2}/\d{4}|(?iu:\bmarché\b|titulaire|concurrents|garantie|\bbidder\b|contract\b|licitador|contrato|الصفقة|العروض|bordereau|dirhams|درهم)"
 
 LOW_INFORMATION_CHARS = 600
+#: Shorter words of a title say nothing about its subject.
+TITLE_WORD = 5
 #: A hinted sentence is a message if so many low-information documents, and hosts, share it...
 SHARED_DOCUMENTS, SHARED_HOSTS = 3, 2
 #: ... and they are at least this share of the documents that have it.
@@ -162,28 +167,42 @@ def low_information(text: Column) -> Column:
     return (F.length(text) <= LOW_INFORMATION_CHARS) & ~text.rlike(CONTENT)
 
 
-def sentence_shapes(text: Column) -> Column:
-    """The sentences of a text that speak like a message, lower-cased, digits masked."""
+def bare(text: Column, doc_type: Column, consultation_id: Column) -> Column:
+    """Low-information, and the body takes up neither a word of the title nor the kind or reference."""
+    lines = F.filter(F.split(F.lower(text), r"\n+"), lambda x: F.trim(x) != "")
+    title = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    # chrome may stand above and below a message
+    body = words(F.array_join(F.filter(lines, lambda x: x != title), " "))
+    long_words = F.filter(words(title), lambda w: F.length(w) >= TITLE_WORD)
+    named = F.filter(F.array(F.lower(doc_type), F.lower(consultation_id)), lambda x: x.isNotNull() & (x != ""))
+    return low_information(text) & (title != "") & ~F.arrays_overlap(long_words, body) & ~F.arrays_overlap(named, words(F.lower(text)))
+
+
+def sentence_shapes(text: Column, hinted: bool = True) -> Column:
+    """The sentences of a text that speak like a message (or all), lower-cased, digits masked."""
     sentences = F.transform(F.split(text, r"\n+|(?<=[.!?…])\s+"), lambda s: F.lower(F.trim(s)))
-    hinted = F.filter(sentences, lambda s: (F.length(s) >= 8) & _holds(s, HINTS))
-    return F.array_distinct(F.transform(hinted, lambda s: F.regexp_replace(s, r"\p{N}+", "0")))
+    kept = F.filter(sentences, lambda s: (F.length(s) >= 8) & _holds(s, HINTS) if hinted else F.length(s) >= 8)
+    return F.array_distinct(F.transform(kept, lambda s: F.regexp_replace(s, r"\p{N}+", "0")))
 
 
 def marked_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, low, reasons, shapes) of the documents with any evidence, in one pass."""
+    """(doc_id, host, low, reasons, shapes, bare_shapes) of the documents with any evidence, in one pass."""
     found = documents.where(F.length("text") > 0).select(
         "doc_id",
         "text",
         F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("org_acronyme", F.lit(""))).alias("host"),
+        F.when(F.length("text") <= LOW_INFORMATION_CHARS, bare(F.col("text"), F.col("doc_type"), F.col("consultation_id"))).otherwise(False).alias("bare"),
         F.explode(F.array(reasons(F.col("text")))).alias("reasons"),
     )
     hinted = F.array_contains("reasons", "hinted")
-    return found.where(F.size("reasons") > 0).select(
+    return found.where((F.size("reasons") > 0) | F.col("bare")).select(
         "doc_id",
         "host",
         F.when(hinted, low_information(F.col("text"))).alias("low"),
         F.filter("reasons", lambda r: r != "hinted").alias("reasons"),
         F.when(hinted, sentence_shapes(F.col("text"))).alias("shapes"),
+        F.when(F.col("bare"), sentence_shapes(F.col("text"), hinted=False)).alias("bare_shapes"),
     )
 
 
@@ -203,19 +222,28 @@ def message_shapes(marked: DataFrame) -> DataFrame:
     )
 
 
+def bare_messages(marked: DataFrame) -> DataFrame:
+    """(doc_id) of the bare documents with a sentence that enough bare documents and hosts share."""
+    rows = marked.select("doc_id", "host", F.explode("bare_shapes").alias("shape"))
+    per_host = rows.groupBy("shape", "host").agg(F.count("*").alias("n"))
+    shared = per_host.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where((F.col("n") >= SHARED_DOCUMENTS) & (F.col("hosts") >= SHARED_HOSTS))
+    return rows.join(shared.select("shape"), "shape", "left_semi").select("doc_id")
+
+
 def residue_evidence(documents: DataFrame) -> DataFrame:
     """(doc_id, reason) of every residue document: placeholder, filler, message or shared message.
 
     The evidence is written to the shared folder once (a few per cent of the rows, without
     texts) and read for both the counts and the result.
     """
-    marked = durable(marked_documents(documents.select("doc_id", "text", "source", "org_acronyme")))
+    marked = durable(marked_documents(documents.select("doc_id", "text", "source", "org_acronyme", "doc_type", "consultation_id")))
     shared = (
         marked.select("doc_id", F.explode("shapes").alias("shape"))
         .join(message_shapes(marked).select("shape"), "shape", "left_semi")
         .select("doc_id", F.lit("shared message").alias("reason"))
     )
-    return marked.select("doc_id", F.explode("reasons").alias("reason")).unionByName(shared).distinct()
+    alone = bare_messages(marked).select("doc_id", F.lit("shared message").alias("reason"))
+    return marked.select("doc_id", F.explode("reasons").alias("reason")).unionByName(shared).unionByName(alone).distinct()
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:

@@ -111,10 +111,22 @@ def test_matches_hold_an_anchor():
 
 def test_residue_without_other_anchors(spark):
     texts = ["elit sed tempor quam porta", "503 Service Unavailable", "Le concurrent visite le site, sed lex."]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source", "'o' AS org_acronyme")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source", "'o' AS org_acronyme", "'avis' AS doc_type", "'1' AS consultation_id")
     assert rows(residue.residue_documents(df)) == [(0,), (1,)]
 
 
+def test_repeated_sentences_without_hints(spark, make_root):
+    given = [dict(doc_id=k, text=f"Menu Aide\n\nContenu retiré {k}.", source=f"s{k}", doc_type="cps", consultation_id=f"77{k}") for k in range(4)]
+    # the body takes up the title, the kind or the reference; one host only; a document of content
+    given += [dict(doc_id=10 + k, text=f"Fourniture de mobilier\n\nLe mobilier est décrit en pièce jointe {k}.", source=f"s{k}") for k in range(4)]
+    given += [dict(doc_id=20 + k, text="Le présent avis est publié ici.", source=f"s{k}", doc_type="avis") for k in range(4)]
+    given += [dict(doc_id=30 + k, text=f"Dossier 88{k} remis au guichet.", source=f"s{k}", consultation_id=f"88{k}") for k in range(4)]
+    given += [dict(doc_id=40 + k, text="Remise contre reçu.", source="s") for k in range(4)]
+    given += [dict(doc_id=50, text="Marché 12/AB/2025 du titulaire. Contenu retiré 9.", source="s")]
+    documents = table(spark, make_root(documents=given), "documents")
+    assert sorted(r.doc_id for r in residue.residue_documents(documents).collect()) == [0, 1, 2, 3]
+
+
 def test_residue(spark, make_root):
     given = [dict(doc_id=i, text=t) for i, t in enumerate(RESIDUE + CONTENT)]
     # a message no pattern knows, alone under several hosts and once inside a document
