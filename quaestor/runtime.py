@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def scan_partitions(df: DataFrame) -> int:
-    """Tasks of the first stage of ``df`` (planning only, nothing is run)."""
+    """Tasks of the first stage of ``df``; for bare scans, whose planning runs nothing."""
     return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
@@ -51,6 +52,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, compressed and read back by column.
+
+    Unlike a checkpoint its size is known to the planner; ``by`` names a column to split it by.
+    """
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so their Python can import it."""
     sc = spark.sparkContext
