@@ -1,28 +1,29 @@
 """Template residue and error-page text in a corpus.
 
-Three kinds of evidence are combined:
-
-* placeholder detectors: fields, instructions and failed substitutions that a template or
-  its drafter left behind, and filler text;
-* messages: sentences that a server or script sends in place of content;
-* host evidence: sentences that only speak like such messages are compared, digits masked,
-  over all documents. One that recurs, under several organisations or sources, mainly in
-  low-information responses (short bodies without a title or terms of the document's kind)
-  is a message too, wherever it stands.
-
-The corpus has no address column, so the title (first line) and the document's kind and
-references take the place of the address slug in the comparison with the body: a
-low-information document whose body takes up none of them is bare. A sentence of any wording
-that recurs in bare documents of several hosts marks those documents, but no others, as site
-chrome stands on pages of content too.
+Each document is taken as the answer of a host: its first line is its title, the rest its
+body, and its kind and reference stand for the address slug, which the corpus lacks.
+
+* Terms: the words that at least ``TYPICAL_SHARE`` of the corpus's rich documents use are its
+  typical terms. A body with few of them, that mostly consists of other words, holds little
+  information; one that takes up less than half of its title's words, and neither kind nor
+  reference, is mismatched. Both together make a document a suspect answer.
+* Host evidence: the sentences of suspects, digits masked, are counted over the whole corpus.
+  One that suspects of several hosts share, and that is not mainly found elsewhere, is a
+  message or filler whatever its wording, and marks every document that has it, alone or as
+  a piece of content.
+* Detectors: fields, instructions and failed substitutions that a template left behind,
+  filler words; and, in suspects only, words of servers and scripts.
 
 Blanks for the bidder, bracketed references and formulas, and requirements that speak about
-such pages are content: they match no detector, and stand in documents that are not
-low-information.
+such pages are content: they match no detector, and stand among typical terms.
 
-Defined results: null and empty texts are not residue; repeated rows count once; whole
+The typical terms are broadcast: at most ``1 / TYPICAL_SHARE`` times the mean number of
+distinct terms of a document, whatever the corpus size. Sentences are compared by 64-bit hashes.
+
+Defined results: null and empty texts are not residue; repeated rows give one row; whole
 texts are read; ties are of no effect (thresholds are inclusive); extra columns are never
-read; an empty table gives no rows.
+read; an empty table gives no rows; a corpus without rich documents has no typical terms, so
+its suspects are told by the mismatch alone.
 """
 
 from __future__ import annotations
@@ -30,87 +31,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.runtime import durable
+from quaestor.runtime import written
 
-_NAME = r"[\p{L}_][\p{L}\p{N}_.\-]{0,60}"
+_NAME = r"[\p{L}_][\p{L}\p{N}_.\-]*"
 # How templates mark fields, and what drafters leave to be filled in.
 PLACEHOLDERS = [
-    rf"\{{\{{\s*[^{{}}\n]{{1,80}}\}}\}}",
-    rf"\{{%\s*[^%\n]{{1,80}}%\}}|<%[=\-]?\s*[^%\n]{{1,80}}%>",
-    rf"[$#]\{{\s*[^{{}}\n]{{1,80}}\}}",
-    rf"<<\s*[^<>\n]{{1,80}}>>",
-    rf"\[\[\s*[^\[\]\n]{{1,80}}\]\]",
+    r"\{\{\s*[^{}\n]+\}\}",
+    r"\{%\s*[^%\n]+%\}|<%[=\-]?\s*[^%\n]+%>",
+    r"[$#]\{\s*[^{}\n]+\}",
+    r"<<\s*[^<>\n]+>>",
+    r"\[\[\s*[^\[\]\n]+\]\]",
     rf"@@{_NAME}@@",
-    rf"(?<![\p{{L}}\p{{N}}_.])__[\p{{L}}][\p{{L}}\p{{N}}_.]{{0,60}}__(?![\p{{L}}\p{{N}}_])",
-    rf"(?<![\p{{L}}\p{{N}}%])%[\p{{L}}][\p{{L}}\p{{N}}_.]{{1,60}}%(?![\p{{L}}\p{{N}}])",
+    r"(?<![\p{L}\p{N}_.])__[\p{L}][\p{L}\p{N}_.]*?__(?![\p{L}\p{N}_])",
+    r"(?<![\p{L}\p{N}%])%[\p{L}][\p{L}\p{N}_.]+%(?![\p{L}\p{N}])",
     rf"«{_NAME}»",
-    rf"<(?:{_NAME}|(?i:à|a|to be|insert|insérer|nom|name|date|montant)\s[^<>\n]{{1,60}})>",
+    rf"<(?:{_NAME}|(?i:à|a|to be|insert|insérer|nom|name|date|montant)\s[^<>\n]+)>",
     r"\{\d{1,2}\}",
-    r"\[(?iu:à|a)\s(?iu:compl[ée]ter|pr[ée]ciser|renseigner|d[ée]finir|remplir|ins[ée]rer|indiquer|fixer)[^\[\]\n]{0,80}\]",
-    r"\[(?iu:ins[ée]rer|insert|indiquer|renseigner|compl[ée]ter|pr[ée]ciser|remplir|enter|fill in|to be|tbd|tbc|type|choose|saisir|mettre|ajouter|your|votre)\b[^\[\]\n]{0,80}\]",
-    r"\[[^\[\]\n]{1,60}\s(?iu:à|to be)\s(?iu:compl[ée]ter|reporter|pr[ée]ciser|renseigner|d[ée]finir|ins[ée]rer|completed|filled|inserted|defined)[^\[\]\n]{0,40}\]",
-    r"\[(?:NOM|NAME|DATE|LIEU|ADRESSE|MONTANT|TITRE|OBJET|VILLE|ORGANISME|ACHETEUR|BUYER|PLACE|AMOUNT)(?:[\s'’][\p{Lu}'’\s]{0,60})?\]",
-    r"\[(?:اسم|تاريخ|مبلغ|عنوان|مكان|يملأ|يكتب)[^\[\]\n]{0,80}\]",
+    r"\[(?iu:à|a)\s(?iu:compl[ée]ter|pr[ée]ciser|renseigner|d[ée]finir|remplir|ins[ée]rer|indiquer|fixer)[^\[\]\n]*\]",
+    r"\[(?iu:ins[ée]rer|insert|indiquer|renseigner|compl[ée]ter|pr[ée]ciser|remplir|enter|fill in|to be|tbd|tbc|type|choose|saisir|mettre|ajouter|your|votre)\b[^\[\]\n]*\]",
+    r"\[[^\[\]\n]+\s(?iu:à|to be)\s(?iu:compl[ée]ter|reporter|pr[ée]ciser|renseigner|d[ée]finir|ins[ée]rer|completed|filled|inserted|defined)[^\[\]\n]*\]",
+    r"\[(?:NOM|NAME|DATE|LIEU|ADRESSE|MONTANT|TITRE|OBJET|VILLE|ORGANISME|ACHETEUR|BUYER|PLACE|AMOUNT)(?:[\s'’][\p{Lu}'’\s]*)?\]",
+    r"\[(?:اسم|تاريخ|مبلغ|عنوان|مكان|يملأ|يكتب)[^\[\]\n]*\]",
     r"\b(?:TODO|FIXME|TBD|TBC|XXX)\b",
     r"\bX{2}/X{2}/(?:20)?X{2,4}\b|\bJJ/MM/AAAA\b|\bDD/MM/YYYY\b",
     r"\bundefined\b|\bNaN\b|\bnull null\b|: null\b",
     r"\[object Object\]",
 ]
+# Words of the usual Latin filler text.
+LATIN = (
+    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo "
+    "consequat aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum "
+    "sapien vivamus ligula mauris augue felis massa porta orci erat quam vestibulum curabitur pellentesque tincidunt"
+)
+_LATIN = "(?:" + "|".join(LATIN.split()) + ")"
 # Filler text.
 FILLER = [
-    r"(?i)\b(?:lorem|ipsum|dolor|amet|consectetur|consec|adipiscing|elit|sapien|tempor|vivamus|ligula|mauris|augue|felis|massa|porta|orci|erat|nulla|quam|tetur|sedo|sed|sit)\b(?:[\s,.]+\b(?:lorem|ipsum|dolor|amet|consectetur|consec|adipiscing|elit|sapien|tempor|vivamus|ligula|mauris|augue|felis|massa|porta|orci|erat|nulla|quam|tetur|sedo|sed|sit)\b){3}",
-    r"(?iu)\b(\p{L}{3,}+)(?:[\s,]++\1\b){2}",
+    # four filler words, with no more than two others between any two of them
+    rf"(?iu)\b{_LATIN}\b(?:[\s,.]+(?:\p{{L}}+[\s,.]+){{0,2}}?{_LATIN}\b){{3}}",
+    # a sentence that begins with the same word three times; inside a sentence it may be chance
+    r"(?iu)(?:^|[\n.!?:])\s*(\p{L}{3,}+)(?:[\s,]++\1\b){2}",
     r"(?i)\bblabla\b|\bbla bla\b",
     r"(?i)\b(?:azerty|qwerty|qsdfgh|asdfgh|wxcvbn|zxcvbn)\b",
     r"(?i)\bplaceholder text\b|\b(?:sample|dummy|filler) text (?:for|goes|only)\b",
     r"(?iu)\bcontenu d['’]exemple\b|\btexte (?:d['’]exemple|de remplissage|fictif|factice)\b|\btexto de (?:ejemplo|relleno)\b",
     r"نص تجريبي|نص عشوائي|نص لملء",
 ]
-# What servers and scripts say in place of content.
-MESSAGES = [
-    r"(?iu)\b(?:erreur|error)\s?\d{3}\s?[:\-–]\s?|\bHTTP(?:/\d(?:\.\d)?)?\s?\d{3}\b|\b(?:404 not found|500 internal server error|internal server error|50[234] (?:bad gateway|service|gateway)|bad gateway|gateway time-?out|403 forbidden)\b",
-    r"(?iu)la page (?:que vous demandez|demandée|que vous cherchez)[^.\n]{0,30}(?:est introuvable|n['’]existe|n['’]a pas)",
-    r"(?iu)la ressource demandée n['’]existe|retour à l['’]accueil\.",
-    r"(?iu)vous n['’]avez pas les droits (?:nécessaires|suffisants)|(?:^|[.\n]\s*)accès (?:refusé|interdit)\s*[.!]",
-    r"(?iu)une erreur (?:inattendue |technique |interne )?s['’]est produite|contactez l['’]administrateur et communiquez",
-    r"(?i)fatal error:|uncaught exception|traceback \(most recent call last\)|\b(?:key|value|type|name|index|attribute)error:\s|null ?pointer ?exception|stack trace:|at line \d+ in /",
-    r"(?i)could not complete your request|too many requests|please slow down and retry|this site can['’]t be reached|page not found|access denied\.",
-    r"(?iu)service (?:temporairement )?indisponible|merci de réessayer dans|le portail est (?:actuellement )?en (?:cours de )?maintenance|nous serons de retour vers",
-    r"(?iu)votre session a expiré|veuillez vous reconnecter|your session has expired|please log in again",
-    r"(?iu)(?:veuillez|merci d['’])\s?(?:activer|autoriser)\s(?:javascript|les scripts|les cookies)|javascript est désactivé\s*[.!]|certaines fonctions du portail ne seront pas",
-    r"(?iu)pour continuer, autorisez les (?:cookies|scripts)|si la page reste blanche|vérification du navigateur en cours|les scripts doivent être autorisés",
-    r"(?iu)(?:needs|requires) javascript to (?:run|work)|enable (?:javascript|it) and reload|turn (?:scripts|javascript) on to view|javascript is (?:disabled|required)\s*[.!]",
-    r"(?iu)active javascript para|página no encontrada|el enlace solicitado ya no existe|habilite javascript|acceso denegado\s*[.!]|error del servidor",
-    r"الصفحة المطلوبة غير موجودة|العودة إلى الصفحة الرئيسية|تفعيل جافا|انتهت صلاحية الجلسة|الخدمة غير متوفرة|خطأ في الخادم",
-]
 # Literals of which every text that matches one of the lists above holds one (the placeholders' as written, others in lower case).
 PLACEHOLDER_ANCHORS = ["{", "<", "[", "«", "%", "@@", "__", "TODO", "FIXME", "TBD", "TBC", "XXX", "XX/XX", "JJ/MM", "DD/MM", "undefined", "NaN", "null null", ": null"]
-FILLER_ANCHORS = (
-    "lorem ipsum dolor amet consec adipiscing elit sapien tempor vivamus ligula mauris augue felis massa porta orci erat nulla quam tetur sed sit blabla azerty qwerty qsdfgh asdfgh wxcvbn zxcvbn".split()
-    + ["bla bla", "placeholder text", "text for", "text goes", "text only", "d'exemple", "d’exemple", "texte de remplissage", "texte fictif", "texte factice", "texto de", "نص تجريبي", "نص عشوائي", "نص لملء"]
-)
-MESSAGE_ANCHORS = [
-    "erreur", "error", "http", "not found", "502 service", "503 service", "504 service", "gateway", "forbidden", "la page ", "ressource demandée", "retour à l", "droits nécessaires", "droits suffisants", "accès refusé", "accès interdit", "administrateur et",
-    "uncaught exception", "traceback", "pointer", "stack trace", "at line ", "your request", "too many requests", "slow down", "be reached", "denied", "indisponible",
-    "réessayer", "en maintenance", "de maintenance", "nous serons de retour", "session a expiré", "reconnecter", "session has expired", "log in again", "javascript", "scripts", "cookies", "fonctions du portail",
-    "navigateur en cours", "enable it and reload", "página no", "enlace solicitado", "acceso denegado", "الصفحة", "جافا", "صلاحية الجلسة", "الخدمة غير", "الخادم",
-]
-# Words by which a sentence may be such a message; weak evidence on its own.
-HINTS = [
-    "javascript", "scripts", "cookie", "navigateur", "browser", "navegador", "la page", "cette page", "this page", "page not", "página", "الصفحة", "متصفح", "erreur", "error", "خطأ", "session", "sesión", "الجلسة",
-    "serveur", "server", "servidor", "الخادم", "portail", "réessayer", "retry", "chargement", "loading", "proxy", "gateway", "accès refusé", "access ", "introuvable", "indisponible", "unavailable", "en maintenance", "de maintenance",
-    "too many", "incident ", "/srv/", "/var/", ".php", ".py\"",
+FILLER_ANCHORS = LATIN.split() + "blabla azerty qwerty qsdfgh asdfgh wxcvbn zxcvbn".split() + [
+    "bla bla", "placeholder text", "text for", "text goes", "text only", "d'exemple", "d’exemple", "texte de remplissage", "texte fictif", "texte factice", "texto de", "نص تجريبي", "نص عشوائي", "نص لملء",
 ]
-#: A tender reference or the terms of a notice; a response has none of them.
-CONTENT = r"\d{1,4}/[A-Z]{2}/\d{4}|(?iu:\bmarché\b|titulaire|concurrents|garantie|\bbidder\b|contract\b|licitador|contrato|الصفقة|العروض|bordereau|dirhams|درهم)"
+# Words of servers and scripts, in four languages; evidence in suspect documents only.
+CUES = [
+    r"(?iu)\bhttp\b|javascript|\bscripts?\b|\bcookies?\b|\bproxy\b|gateway|navigateur|browser|navegador|\bserve(?:ur|r)\b|servidor|introuvable|not found|no encontrada|indisponible|unavailable|forbidden|denied|too many|reconnecter|log in again",
+    r"(?iu)erreur|\berror\b|exception|traceback|\bla page\b|\bthis page\b|página|\bsession\b|sesión|maintenance\b|chargement|loading|réessayer|retry",
+    r"الصفحة|المتصفح|متصفح|الجلسة|الخادم|خطأ|جافا|الخدمة غير",
+]
 
-LOW_INFORMATION_CHARS = 600
-#: Shorter words of a title say nothing about its subject.
-TITLE_WORD = 5
-#: A hinted sentence is a message if so many low-information documents, and hosts, share it...
+#: A term is typical if this share of the rich documents has it; rich ones have so many distinct terms.
+TYPICAL_SHARE, RICH_TERMS = 0.01, 20
+#: A body holds little information with at most so many typical terms, and at most this share of its own terms.
+FEW_TERMS, LOW_TYPICAL = 7, 0.5
+#: A title's words count from this length; a body that has less than this share of them mismatches.
+TITLE_WORD, TITLE_SHARE = 5, 0.5
+#: A sentence is a message if so many suspects, and hosts, share it...
 SHARED_DOCUMENTS, SHARED_HOSTS = 3, 2
 #: ... and they are at least this share of the documents that have it.
-LOW_SHARE = 0.3
+SUSPECT_SHARE = 0.3
+_TERM = r"\p{L}{4,}"
 
 
 def any_of(patterns: list[str]) -> str:
@@ -125,124 +113,116 @@ def _holds(lowered: Column, literals: list[str]) -> Column:
     return out
 
 
-def _matches(text: Column, patterns: list[str]) -> Column:
-    # a pattern with a back-reference counts its group from inside its own pattern
-    out = text.rlike(any_of([p for p in patterns if r"\1" not in p]))
-    for p in patterns:
-        if r"\1" in p:
-            out = out | text.rlike(p)
-    return out
-
-
 #: Same word three times in a row has no literal to look for and is tried on every text.
 _REPEATED = next(p for p in FILLER if r"\1" in p)
 _WORDED_FILLER = [p for p in FILLER if p != _REPEATED]
+#: One of the anchors; an alternation of literals is one scan, where as many searches are many.
+_FILLER_ANCHOR = r"\b(?:" + "|".join(LATIN.split()) + ")|" + "|".join(a for a in FILLER_ANCHORS if a not in LATIN.split())
+
+
+def detected(text: Column, lowered: Column) -> Column:
+    """array of the detectors that a text trips: placeholder, filler."""
+    worded = lowered.rlike(_FILLER_ANCHOR) & text.rlike(any_of(_WORDED_FILLER))
+    return F.filter(
+        F.array(
+            F.when(_holds(text, PLACEHOLDER_ANCHORS) & text.rlike(any_of(PLACEHOLDERS)), F.lit("placeholder")),
+            F.when(worded | text.rlike(_REPEATED), F.lit("filler")),
+        ),
+        lambda r: r.isNotNull(),
+    )
 
 
-def reasons(text: Column) -> Column:
-    """array of the direct reasons of a text: placeholder, filler, message; and ``hinted``.
+def terms(lowered: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(_TERM), F.lit(0)))
 
-    The lower-cased text is bound once in a lambda, and literals are looked for before any
-    pattern is tried, since most texts hold none of them.
-    """
 
-    def found(x: Column) -> Column:
-        whole, lowered = x["whole"], x["lowered"]
-        return F.filter(
-            F.array(
-                F.when(_holds(whole, PLACEHOLDER_ANCHORS) & _matches(whole, PLACEHOLDERS), F.lit("placeholder")),
-                F.when((_holds(lowered, FILLER_ANCHORS) & _matches(whole, _WORDED_FILLER)) | whole.rlike(_REPEATED), F.lit("filler")),
-                F.when(_holds(lowered, MESSAGE_ANCHORS) & _matches(whole, MESSAGES), F.lit("message")),
-                F.when(_holds(lowered, HINTS), F.lit("hinted")),
-            ),
-            lambda r: r.isNotNull(),
-        )
+def typical_terms(documents: DataFrame) -> list[str]:
+    """The terms that at least ``TYPICAL_SHARE`` of the rich documents use.
 
-    bound = F.array(F.struct(text.alias("whole"), F.lower(text).alias("lowered")))
-    return F.element_at(F.transform(bound, found), 1)
+    They are at most the mean number of distinct terms over that share. Poor documents are
+    left out, so that copies of one error page do not make its words typical.
+    """
+    rich = documents.select(terms(F.lower("text")).alias("t")).where(F.size("t") >= RICH_TERMS)
+    # the empty term stands for the number of documents
+    counts = rich.select(F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = F.max(F.when(F.col("term") == "", F.col("df")))
+    n = counts.select(total.alias("n")).scalar()
+    return [r.term for r in counts.where((F.col("df") >= TYPICAL_SHARE * n) & (F.col("term") != "")).select("term").collect()]
 
 
-def low_information(text: Column) -> Column:
-    """Short, and neither title nor body has a reference or a term of tenders."""
-    return (F.length(text) <= LOW_INFORMATION_CHARS) & ~text.rlike(CONTENT)
+def sentence_shapes(text: Column) -> Column:
+    """64-bit hashes of the sentences of a text, lower-cased, digits masked; short ones left out."""
+    masked = F.regexp_replace(F.lower(text), r"\p{N}+", "0")
+    sentences = F.transform(F.split(masked, r"\s*\n\s*|(?<=[.!?…؟])\s+"), lambda s: F.trim(s))
+    return F.array_distinct(F.transform(F.filter(sentences, lambda s: F.length(s) >= 8), lambda s: F.xxhash64(s)))
 
 
-def bare(text: Column, doc_type: Column, consultation_id: Column) -> Column:
-    """Low-information, and the body takes up neither a word of the title nor the kind or reference."""
-    lines = F.filter(F.split(F.lower(text), r"\n+"), lambda x: F.trim(x) != "")
-    title = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    words = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    # chrome may stand above and below a message
-    body = words(F.array_join(F.filter(lines, lambda x: x != title), " "))
-    long_words = F.filter(words(title), lambda w: F.length(w) >= TITLE_WORD)
-    named = F.filter(F.array(F.lower(doc_type), F.lower(consultation_id)), lambda x: x.isNotNull() & (x != ""))
-    return low_information(text) & (title != "") & ~F.arrays_overlap(long_words, body) & ~F.arrays_overlap(named, words(F.lower(text)))
-
-
-def sentence_shapes(text: Column, hinted: bool = True) -> Column:
-    """The sentences of a text that speak like a message (or all), lower-cased, digits masked."""
-    sentences = F.transform(F.split(text, r"\n+|(?<=[.!?…])\s+"), lambda s: F.lower(F.trim(s)))
-    kept = F.filter(sentences, lambda s: (F.length(s) >= 8) & _holds(s, HINTS) if hinted else F.length(s) >= 8)
-    return F.array_distinct(F.transform(kept, lambda s: F.regexp_replace(s, r"\p{N}+", "0")))
-
-
-def marked_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, low, reasons, shapes, bare_shapes) of the documents with any evidence, in one pass."""
-    found = documents.where(F.length("text") > 0).select(
-        "doc_id",
-        "text",
-        F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("org_acronyme", F.lit(""))).alias("host"),
-        F.when(F.length("text") <= LOW_INFORMATION_CHARS, bare(F.col("text"), F.col("doc_type"), F.col("consultation_id"))).otherwise(False).alias("bare"),
-        F.explode(F.array(reasons(F.col("text")))).alias("reasons"),
-    )
-    hinted = F.array_contains("reasons", "hinted")
-    return found.where((F.size("reasons") > 0) | F.col("bare")).select(
-        "doc_id",
-        "host",
-        F.when(hinted, low_information(F.col("text"))).alias("low"),
-        F.filter("reasons", lambda r: r != "hinted").alias("reasons"),
-        F.when(hinted, sentence_shapes(F.col("text"))).alias("shapes"),
-        F.when(F.col("bare"), sentence_shapes(F.col("text"), hinted=False)).alias("bare_shapes"),
-    )
+def _quoted(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(words)) or "''"
 
 
-def message_shapes(marked: DataFrame) -> DataFrame:
-    """(shape, n_docs, n_low, n_hosts) of the hinted sentences that host evidence makes messages."""
-    rows = marked.select("host", "low", F.explode("shapes").alias("shape"))
+def judged(documents: DataFrame, typical: list[str]) -> DataFrame:
+    """(doc_id, host, suspect, cued, reasons, shapes) of every document with a text.
+
+    ``shapes`` are those of a suspect's body, null for others. The steps are bound one by one
+    behind generators, so that none is computed twice.
+    """
+    host = F.xxhash64(F.coalesce("source", F.lit("")), F.coalesce("org_acronyme", F.lit("")))
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    base = documents.where(F.length("text") > 0).select(
+        "doc_id", host.alias("host"), "text", F.explode(F.array(F.lower("text"))).alias("lowered"),
+        F.filter(F.array(F.lower("doc_type"), F.lower("consultation_id")), lambda x: x.isNotNull() & (x != "")).alias("slug"),
+    )
+    # the title is the first line, if others follow
+    split_ = F.split(F.ltrim(F.regexp_replace("lowered", r"^\s+", "")), r"\s*\n\s*", 2)
+    titled = base.withColumn("parts", F.explode(F.array(F.when(F.size(F.filter(split_, lambda p: p != "")) == 2, split_).otherwise(F.array(F.lit(""), F.col("lowered"))))))
+    body = F.col("parts")[1]
+    found = titled.withColumn("t", F.explode(F.array(terms(body))))
+    known = F.expr(f"size(filter(t, w -> w IN ({_quoted(typical)})))")
+    found = found.withColumn("known", F.explode(F.array(known)))
+    few = (F.col("known") <= FEW_TERMS) & (F.col("known") <= LOW_TYPICAL * F.size("t"))
+    title_words = F.array_distinct(F.filter(words(F.col("parts")[0]), lambda w: F.length(w) >= TITLE_WORD))
+    taken_up = F.size(F.array_intersect(title_words, words(body))) >= F.greatest(F.lit(1.0), TITLE_SHARE * F.size(title_words))
+    mismatch = ~taken_up & ~F.arrays_overlap("slug", words(F.col("lowered")))
+    suspect = F.when(few, mismatch).otherwise(False)
+    marked = found.withColumn("suspect", F.explode(F.array(suspect)))
+    return marked.select(
+        "doc_id", "host", "suspect",
+        F.when(F.col("suspect"), F.col("text").rlike(any_of(CUES))).otherwise(False).alias("cued"),
+        F.explode(F.array(detected(F.col("text"), F.col("lowered")))).alias("reasons"),
+        F.when(F.col("suspect"), sentence_shapes(body)).alias("shapes"),
+    )
+
+
+def candidate_shapes(marked: DataFrame) -> DataFrame:
+    """(shape, suspects): the sentences that enough suspects of enough hosts share."""
+    rows = marked.where("suspect").select("host", F.explode("shapes").alias("shape"))
     # per shape and host first, so that a shape of many documents is combined before it is gathered
-    per_host = rows.groupBy("shape", "host").agg(F.count("*").alias("n"), F.sum(F.col("low").cast("int")).alias("low"))
+    per_host = rows.groupBy("shape", "host").agg(F.count("*").alias("n"))
     return (
         per_host.groupBy("shape")
-        .agg(F.sum("n").alias("n_docs"), F.sum("low").alias("n_low"), F.sum((F.col("low") > 0).cast("int")).alias("n_hosts"))
-        .where(
-            (F.col("n_low") >= SHARED_DOCUMENTS)
-            & (F.col("n_hosts") >= SHARED_HOSTS)
-            & (F.col("n_low") >= LOW_SHARE * F.col("n_docs"))
-        )
+        .agg(F.sum("n").alias("suspects"), F.count("*").alias("hosts"))
+        .where((F.col("suspects") >= SHARED_DOCUMENTS) & (F.col("hosts") >= SHARED_HOSTS))
+        .select("shape", "suspects")
     )
 
 
-def bare_messages(marked: DataFrame) -> DataFrame:
-    """(doc_id) of the bare documents with a sentence that enough bare documents and hosts share."""
-    rows = marked.select("doc_id", "host", F.explode("bare_shapes").alias("shape"))
-    per_host = rows.groupBy("shape", "host").agg(F.count("*").alias("n"))
-    shared = per_host.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("hosts")).where((F.col("n") >= SHARED_DOCUMENTS) & (F.col("hosts") >= SHARED_HOSTS))
-    return rows.join(shared.select("shape"), "shape", "left_semi").select("doc_id")
-
-
 def residue_evidence(documents: DataFrame) -> DataFrame:
     """(doc_id, reason) of every residue document: placeholder, filler, message or shared message.
 
-    The evidence is written to the shared folder once (a few per cent of the rows, without
-    texts) and read for both the counts and the result.
+    Three passes over the texts: term counts, suspects and detectors, sentences that suspects
+    share. What the last two keep (a few per cent of the rows, without texts) is written to
+    the shared folder; its known size lets the planner broadcast the sentences if they are few.
     """
-    marked = durable(marked_documents(documents.select("doc_id", "text", "source", "org_acronyme", "doc_type", "consultation_id")))
-    shared = (
-        marked.select("doc_id", F.explode("shapes").alias("shape"))
-        .join(message_shapes(marked).select("shape"), "shape", "left_semi")
-        .select("doc_id", F.lit("shared message").alias("reason"))
-    )
-    alone = bare_messages(marked).select("doc_id", F.lit("shared message").alias("reason"))
+    rows = documents.select("doc_id", "text", "source", "org_acronyme", "doc_type", "consultation_id").where(F.col("doc_id").isNotNull())
+    marked = written(judged(rows, typical_terms(rows)).where(F.col("suspect") | (F.size("reasons") > 0)))
+    shapes = written(candidate_shapes(marked))
+    sentences = rows.where(F.length("text") > 0).select("doc_id", F.explode(sentence_shapes(F.col("text"))).alias("shape"))
+    hits = written(sentences.join(shapes.select("shape"), "shape"))
+    elsewhere = hits.groupBy("shape").agg(F.count("*").alias("n"))
+    messages = shapes.join(elsewhere, "shape").where(F.col("suspects") >= SUSPECT_SHARE * F.col("n")).select("shape")
+    shared = hits.join(messages, "shape", "left_semi").select("doc_id", F.lit("shared message").alias("reason"))
+    alone = marked.where("cued").select("doc_id", F.lit("message").alias("reason"))
     return marked.select("doc_id", F.explode("reasons").alias("reason")).unionByName(shared).unionByName(alone).distinct()
 
 
