@@ -7,19 +7,27 @@
   marks never do; a hyphen does unless the corpus lexicon knows the joined word, or one half
   is no word by itself.
 * Misread characters: a symmetric-delete index over the frequency lexicon of the digital
-  pages. From a lexicon word each confusable sequence is deleted in turn, from an unknown
-  word each sequence it may have been misread as; equal remainders make candidates. Words
-  that find none are tried with two and then three sequences deleted. A
-  weighted edit distance, cheap for confusion pairs, accepts them, and the words before and
-  after (bigrams of the digital pages), then frequency, pick among several.
-
-Only a bounded set of the commonest words is broadcast, to keep known words from being
-exploded; every other word is looked up in the whole lexicon by joins.
+  pages. Every character, and every sequence that scanners confuse, is deleted in turn from
+  unknown and from lexicon words; equal remainders make candidates. Words that find none are
+  tried with two and then three confused sequences deleted. A weighted edit distance, cheap
+  for confusion pairs, ranks the candidates. The words before and after (bigrams of the
+  digital pages) decide: a confusion of letters needs a neighbour that the candidate is seen
+  with, or a candidate so frequent that chance is no explanation; any other edit needs both
+  neighbours; a known word is questioned too where a far commoner one fits both neighbours
+  and it fits neither.
+
+The blocks' texts are shuffled once, by document (hot documents salted), with what is known
+of each document: whether it is scanned, the heights of its pages, its running lines and the
+blocks that go on over a page. The result is a table in the shared folder, split into digital
+and scanned text. Lexicon, keys and bigrams are of the size of the vocabulary. Only a bounded
+set of the commonest words is broadcast, to keep known words from being exploded; every other
+word is looked up in the whole lexicon by joins.
 
 Defined results: a document is scanned if any of its pages says so (nulls follow the
 others); null and empty texts have no noise; repeated block rows count once; blocks without
 document or page are left out; a page without
-height is judged by type and flag only; whole texts; extra columns are never read.
+height is judged by type and flag only; whole texts; extra columns are never read. Words of
+more than LONG_WORD letters are tried with one misreading, shorter ones with up to three.
 """
 
 from __future__ import annotations
@@ -32,12 +40,23 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.runtime import durable, table
+from quaestor.operators.skew import hot_keys
+from quaestor.runtime import table, written
 
 #: Commonest lexicon words kept in every worker (a filter; others are joined).
 COMMON_WORDS = 20_000
 MARGIN = 0.06
-LONGEST_WORD = 40
+#: A running header, footer or page number is one line of at most so many characters.
+LONGEST_LINE = 150
+#: Longer words get two keys (start and end) instead of one per letter.
+LONG_WORD = 64
+#: Words shorter than this have too many neighbours for edits that are no known confusion.
+SHORTEST_OPEN = 4
+#: A candidate this frequent needs no neighbour to vouch for a confusion of letters.
+FREQUENT = 5
+#: How many times commoner a word must be to question a known one.
+FAR_COMMONER = 20
+SALTS = 16
 #: A running line beside other text is told from the text's own words by its length.
 LEAST_RUNNING = 10
 FURNITURE_TYPES = ("header", "footer", "page_number")
@@ -50,6 +69,7 @@ CONFUSIONS = [
 ]
 CONFUSED_COST, OTHER_COST, MOST_COST = 0.3, 1.0, 0.9
 MOST_MISREAD = 3  # MOST_COST / CONFUSED_COST
+_FOUND_COLUMNS = ["doc_id", "block_id", "word", "alt", "before", "after"]
 
 SOFT_MARKS = "¬‐‑­"
 _CUT = regex.compile(rf"(\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*)([-{SOFT_MARKS}])[ \t]*\n(\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*)")
@@ -58,6 +78,10 @@ _FIRST_WORD = regex.compile(r"^\s*(\p{Ll}[\p{L}\p{N}†!@|'’]*|\p{Arabic}+)")
 _CHUNK = regex.compile(r"[^\s\-–—/]+")
 _ELISION = regex.compile(r"^(?:[ldsnmtcjLDSNMTCJ1]|[Qq]u|[Ll]orsqu|[Jj]usqu|[Pp]uisqu)['’]")
 _OUTER = ".,;:()«»\"“”[]{}•…؛،؟?*<>="
+#: The same in the JVM, on lower-cased text: chunks, then outer marks, elisions and a closing apostrophe off.
+_J_CHUNK = r"[\s\-–—/]+"
+_J_OUTER = r"^[.,;:()«»\"“”\[\]{}•…؛،؟?*<>=]+|[.,;:()«»\"“”\[\]{}•…؛،؟?*<>=]+$"
+_J_ELISION = r"^(?:(?:[ldsnmtcj1]|qu|lorsqu|jusqu|puisqu)['’])+|(?<!e)['’]$"
 _DIGITS = regex.compile(r"\p{N}+")
 _HAS_LETTER = regex.compile(r"\p{L}")
 
@@ -74,36 +98,58 @@ def shape_column(text: Column) -> Column:
 def is_page_line(line: str, page: int) -> bool:
     """Whether a line of its own only names the page's number."""
     bare = line.strip()
-    if len(bare) > 60 or not bare:
+    if not bare or str(page) not in bare:
         return False
     pattern = (
         rf"(?i)(?:[-–—·]\s*)?{page}(?:\s*[-–—·])?"
         rf"|{page}\s*(?:/|sur|of|de|من)\s*\d+"
-        rf"|(?:.{{0,40}}[\s–—-])?(?:page|p\.|pág(?:ina|\.)?|página|صفحة|ص)\s*{page}(?:\s*(?:/|sur|of|de|من)\s*\d+)?"
+        rf"|(?:.*[\s–—-])?(?:page|p\.|pág(?:ina|\.)?|página|صفحة|ص)\s*{page}(?:\s*(?:/|sur|of|de|من)\s*\d+)?"
     )
     return regex.fullmatch(pattern, bare) is not None
 
 
-def words_of(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, word) of every word that may be misread: outer marks and elisions taken off."""
+def _chunk_words(chunk: str) -> tuple[tuple[int, int, str], ...]:
+    """(start, end, word) of one chunk: outer marks and elisions taken off."""
     out = []
+    at = len(chunk) - len(chunk.lstrip(_OUTER))
+    word = chunk.strip(_OUTER)
+    while e := _ELISION.match(word):
+        if "1" in e.group():
+            out.append((at, at + e.end(), word[: e.end()]))
+        at += e.end()
+        word = word[e.end() :]
+    if word.endswith(("'", "’")) and not word[:-1].lower().endswith("e"):
+        word = word[:-1]
+    if len(word) > 1 and _HAS_LETTER.search(word):
+        out.append((at, at + len(word), word))
+    return tuple(out)
+
+
+_CHUNK_WORDS: dict[str, tuple[tuple[int, int, str], ...]] = {}
+
+
+def words_of(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, word) of every word that may be misread; chunks are cut up once per worker."""
+    out, known = [], _CHUNK_WORDS
+    if len(known) > 300_000:
+        known.clear()
     for m in _CHUNK.finditer(text):
-        chunk, at = m.group(), m.start()
-        left = len(chunk) - len(chunk.lstrip(_OUTER))
-        word = chunk.strip(_OUTER)
-        at += left
-        while e := _ELISION.match(word):
-            if "1" in e.group():
-                out.append((at, at + e.end(), word[: e.end()]))
-            at += e.end()
-            word = word[e.end() :]
-        if word.endswith(("'", "’")) and not word[:-1].endswith("e"):
-            word = word[:-1]
-        if 1 < len(word) <= LONGEST_WORD and _HAS_LETTER.search(word):
-            out.append((at, at + len(word), word))
+        chunk, base = m.group(), m.start()
+        found = known.get(chunk)
+        if found is None:
+            found = known[chunk] = _chunk_words(chunk)
+        for a, b, w in found:
+            out.append((base + a, base + b, w))
     return out
 
 
+def tokens(text: Column) -> Column:
+    """The words of ``words_of`` in lower case, cut in the JVM (without elisions read as ``1'``)."""
+    chunks = F.split(F.lower(text), _J_CHUNK)
+    bare = F.transform(chunks, lambda c: F.regexp_replace(F.regexp_replace(c, _J_OUTER, ""), _J_ELISION, ""))
+    return F.filter(bare, lambda w: (F.length(w) > 1) & w.rlike(r"\p{L}"))
+
+
 @lru_cache(maxsize=10_000)
 def _running_ends(running: str) -> tuple[regex.Pattern, regex.Pattern]:
     """Patterns of a running line before and after other text of the same line."""
@@ -153,90 +199,125 @@ def delete_keys(word: str, sequences: list[str], depth: int = 1) -> set[str]:
     return out
 
 
+def open_keys(word: str) -> set[str]:
+    """The word, and the word without each of its characters; start and end alone of a long one."""
+    if len(word) > LONG_WORD:
+        half = LONG_WORD // 2
+        return {"\x01" + word[:half], "\x02" + word[-half:]}
+    return {word} | {word[:k] + word[k + 1 :] for k in range(len(word))} if len(word) >= SHORTEST_OPEN else set()
+
+
+_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _a, _b in CONFUSIONS:
+    _BY_FIRST.setdefault(_a[0], []).append((_a, _b))
+
+
 def weighted_distance(seen: str, meant: str) -> float:
-    """Edit distance in which confusion pairs are cheap."""
+    """Edit distance in which confusion pairs are cheap.
+
+    Common starts and ends are left out but for two characters, which a pair may reach into.
+    """
+    start, stop = 0, 0
+    least = min(len(seen), len(meant))
+    while start < least and seen[start] == meant[start]:
+        start += 1
+    while stop < least - start and seen[-1 - stop] == meant[-1 - stop]:
+        stop += 1
+    start, stop = max(0, start - 2), max(0, stop - 2)
+    seen, meant = seen[start : len(seen) - stop], meant[start : len(meant) - stop]
     n, m = len(seen), len(meant)
     inf = float("inf")
     cost = [[inf] * (m + 1) for _ in range(n + 1)]
     cost[0][0] = 0.0
     for i in range(n + 1):
+        row = cost[i]
+        pairs = _BY_FIRST.get(seen[i], ()) if i < n else ()
         for j in range(m + 1):
-            here = cost[i][j]
+            here = row[j]
             if here == inf:
                 continue
-            if i < n and j < m:
-                step = 0.0 if seen[i] == meant[j] else OTHER_COST
-                cost[i + 1][j + 1] = min(cost[i + 1][j + 1], here + step)
             if i < n:
-                cost[i + 1][j] = min(cost[i + 1][j], here + OTHER_COST)
-            if j < m:
-                cost[i][j + 1] = min(cost[i][j + 1], here + OTHER_COST)
-            for a, b in CONFUSIONS:
+                below = cost[i + 1]
+                if j < m:
+                    step = here if seen[i] == meant[j] else here + OTHER_COST
+                    if step < below[j + 1]:
+                        below[j + 1] = step
+                if here + OTHER_COST < below[j]:
+                    below[j] = here + OTHER_COST
+            if j < m and here + OTHER_COST < row[j + 1]:
+                row[j + 1] = here + OTHER_COST
+            for a, b in pairs:
                 if seen.startswith(a, i) and meant.startswith(b, j):
-                    cost[i + len(a)][j + len(b)] = min(cost[i + len(a)][j + len(b)], here + CONFUSED_COST)
+                    k, l = i + len(a), j + len(b)
+                    if here + CONFUSED_COST < cost[k][l]:
+                        cost[k][l] = here + CONFUSED_COST
     return cost[n][m]
 
 
 # ------------------------------------------------------------------ Spark side
 
 
-def prepared_blocks(spark: SparkSession, root: str) -> DataFrame:
-    """Distinct blocks with page height and whether their document is scanned."""
-    pages = table(spark, root, "doc_pages")
-    scanned = pages.groupBy("doc_id").agg(F.coalesce(F.max("is_scanned"), F.lit(False)).alias("scanned"))
-    heights = pages.groupBy("doc_id", "page").agg(F.max("height").alias("height"))
-    blocks = table(spark, root, "blocks").select(
-        "doc_id", F.col("id").alias("block_id"), "type", "page", F.coalesce("ord", F.lit(0)).alias("ord"), F.col("bbox.y0").alias("y0"), "text", "is_furniture"
-    ).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull())
-    return (
-        blocks.dropDuplicates(["doc_id", "block_id"])
-        .join(scanned, "doc_id")
-        .join(heights, ["doc_id", "page"], "left")
-        .where(F.length("text") > 0)
-        .withColumn("furniture", furniture_block())
+def document_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, scanned, heights by page), one row per document."""
+    per_page = pages.where(F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.max("height").alias("height"), F.max("is_scanned").alias("is_scanned"))
+    return per_page.groupBy("doc_id").agg(
+        F.coalesce(F.max("is_scanned"), F.lit(False)).alias("scanned"), F.map_from_entries(F.collect_list(F.struct("page", "height"))).alias("heights")
     )
 
 
+def salted_blocks(blocks: DataFrame, hot: list[int]) -> DataFrame:
+    """The columns read of ``blocks``; ``salt`` spreads the blocks of hot documents."""
+    salt = F.when(F.col("doc_id").isin(*hot), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0)
+    return blocks.select(
+        "doc_id", F.col("id").alias("block_id"), "type", "page", F.coalesce("ord", F.lit(0)).alias("ord"), F.col("bbox.y0").alias("y0"), "text", "is_furniture", salt.alias("salt")
+    ).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull() & (F.length("text") > 0))
+
+
+def with_document(blocks: DataFrame, documents: DataFrame, hot: list[int]) -> DataFrame:
+    """Blocks joined to their document's row, which is repeated once per salt for hot documents."""
+    copies = F.explode(F.when(F.col("doc_id").isin(*hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
+    joined = blocks.join(documents.withColumn("salt", copies), ["doc_id", "salt"])
+    return joined.withColumn("height", F.try_element_at("heights", F.col("page"))).withColumn("furniture", furniture_block()).drop("heights", "height")
+
+
 def furniture_block() -> Column:
     """Whether a whole block is furniture."""
     margin = (F.col("y0") < MARGIN * F.col("height")) | (F.col("y0") > (1 - MARGIN) * F.col("height"))
-    short = (F.length("text") <= 150) & ~F.trim("text").contains("\n")
+    short = (F.length("text") <= LONGEST_LINE) & ~F.trim("text").contains("\n")
     told = F.col("type").isin(*FURNITURE_TYPES) | F.coalesce(F.col("is_furniture"), F.lit(False))
     return told | F.coalesce(margin & short & ~F.col("type").isin("title", "table"), F.lit(False))
 
 
 def lexicon(digital: DataFrame) -> DataFrame:
     """(word, n) of the digital pages; words cut at line ends are left out."""
-    whole = F.regexp_replace(F.lower("text"), rf"\p{{L}}+[-{SOFT_MARKS}][ \t]*\n\s*\p{{L}}+", " ")
-    return (
-        digital.select(F.explode(F.regexp_extract_all(whole, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-        .where(F.length("word") <= LONGEST_WORD)
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-    )
+    return digital.select(F.explode(tokens(whole_lines(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def whole_lines(text: Column) -> Column:
+    """The text without words that a mark cuts at a line end."""
+    return F.regexp_replace(text, rf"\p{{L}}+[-{SOFT_MARKS}][ \t]*\n\s*\p{{L}}+", " ")
 
 
-def with_running_lines(content: DataFrame, furniture: DataFrame) -> DataFrame:
-    """Content blocks with the masked running lines of their document (few, as digits are masked)."""
-    running = furniture.select("doc_id", shape_column(F.col("text")).alias("shape")).where(F.length("shape") >= 6)
-    per_doc = running.distinct().groupBy("doc_id").agg(F.collect_list("shape").alias("running"))
-    return content.join(per_doc, "doc_id", "left")
+def running_lines(scanned: DataFrame) -> DataFrame:
+    """(doc_id, running): the masked furniture lines of each document (few, as digits are masked)."""
+    shapes = scanned.where("furniture").select("doc_id", shape_column(F.col("text")).alias("shape")).where(F.length("shape") > 0)
+    return shapes.groupBy("doc_id").agg(F.collect_set("shape").alias("running"))
 
 
-def page_joints(content: DataFrame) -> DataFrame:
-    """(doc_id, block_id, next_id, head): the last content block of each page that ends in a cut.
+def page_joints(scanned: DataFrame) -> DataFrame:
+    """(doc_id, joints): which block goes on where, for the last content block of each page that ends in a cut.
 
-    ``head`` is the start of the next page's first block of running text (headings and tables
-    stand between at times); null where the next page has none.
+    The next page's first block of running text is meant (headings and tables stand between
+    at times); null where the next page has none.
     """
-    last = F.struct("ord", "block_id")
-    ends = content.groupBy("doc_id", "page").agg(F.max_by("block_id", last).alias("block_id"), F.max_by(F.substring("text", -60, 60), last).alias("tail"))
-    body = content.where(~F.col("type").isin("title", "table"))
-    starts = body.groupBy("doc_id", (F.col("page") - 1).alias("page")).agg(
-        F.min_by("block_id", last).alias("next_id"), F.min_by(F.substring("text", 1, 400), last).alias("head")
+    content, at = scanned.where(~F.col("furniture")), F.struct("ord", "block_id")
+    body = F.when(~F.coalesce(F.col("type").isin("title", "table"), F.lit(False)), F.col("block_id"))
+    pages = content.groupBy("doc_id", "page").agg(
+        F.max_by("block_id", at).alias("last"), F.max_by("cut", at).alias("cut"), F.min_by(body, F.when(body.isNotNull(), at)).alias("first_body")
     )
-    cut = F.col("tail").rlike(rf"\p{{L}}[-{SOFT_MARKS}]\s*$")
-    return ends.where(cut).select("doc_id", "page", "block_id").join(starts, ["doc_id", "page"], "left").select("doc_id", "block_id", "next_id", "head")
+    ends = pages.where("cut").select("doc_id", (F.col("page") + 1).alias("page"), "last")
+    joints = ends.join(pages.select("doc_id", "page", "first_body"), ["doc_id", "page"], "left")
+    return joints.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("last", "first_body"))).alias("joints"))
 
 
 def continuation(head: str | None, page: int, running: set[str]) -> str | None:
@@ -251,36 +332,40 @@ def continuation(head: str | None, page: int, running: set[str]) -> str | None:
 FINDING = "doc_id bigint, block_id string, kind string, word string, alt string, before string, after string"
 
 
+def _last_part(word: str) -> str:
+    return word.split("'")[-1].split("’")[-1]
+
+
 def first_findings(content: DataFrame, common: frozenset[str]) -> DataFrame:
-    """Per block: furniture lines, cut words, and words that are not among the common ones."""
+    """Per block: furniture lines, cut words, and words that are not among the common ones.
+
+    A word cut at the block's end is a ``tail``: left part and mark, to be continued elsewhere.
+    """
     shared = content.sparkSession.sparkContext.broadcast(common)  # at most COMMON_WORDS words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
             rows = []
-            for doc, block, page, text, running, head in batch.itertuples(index=False):
-                lines = set(running) if running is not None else set()
-                text, had = without_furniture(text, page, lines)
+            for doc, block, page, text, running, goes_on in batch.itertuples(index=False):
+                text, had = without_furniture(text, page, set(running) if running is not None else set())
                 if had:
                     rows.append((doc, block, "furniture", None, None, None, None))
-                cuts = [(m.group(1), m.group(2), m.group(3)) for m in _CUT.finditer(text)]
+                cuts = [(m.group(1), m.group(2), m.group(3)) for m in _CUT.finditer(text)] if "\n" in text else []
                 if end := _CUT_AT_END.search(text):
-                    if right := continuation(head, page, lines):
-                        cuts.append((end.group(1), end.group(2), right))
-                    else:
-                        last = end.group(1).split("'")[-1].split("’")[-1]
-                        kind = "endcut" if end.group(2) == "-" else "softcut"
-                        rows.append((doc, block, kind, last.lower(), f"{end.group(1)}-", last, ""))
+                    rows.append((doc, block, "tail", end.group(1), end.group(2), None, None))
                 for left, mark, right in cuts:
-                    kind = "cut" if mark == "-" else "softcut"
-                    last = left.split("'")[-1].split("’")[-1]
-                    rows.append((doc, block, kind, (last + right).lower(), f"{left}-{right}", last, right))
-                joined = _CUT.sub(lambda m: m.group(1) + m.group(3) if m.group(2) != "-" or (m.group(1) + m.group(3)).lower() in known else m.group(), text)
-                found = [w.lower() for _, _, w in words_of(joined)]
-                # a word cut at a hyphen may be misread as well, which only the whole shows
-                wholes = {(m.group(1).split("'")[-1].split("’")[-1] + m.group(3)).lower() for m in _CUT.finditer(text) if m.group(2) == "-"}
-                seen = {w for w in wholes if w not in known and len(w) <= LONGEST_WORD}
+                    last = _last_part(left)
+                    rows.append((doc, block, "cut" if mark == "-" else "softcut", (last + right).lower(), f"{left}-{right}", last, right))
+                joined, seen = text, set()
+                if cuts:
+                    joined = _CUT.sub(lambda m: m.group(1) + m.group(3) if m.group(2) != "-" or (m.group(1) + m.group(3)).lower() in known else m.group(), text)
+                    # a word cut at a hyphen may be misread as well, which only the whole shows
+                    seen = {w for left, mark, right in cuts if mark == "-" and (w := (_last_part(left) + right).lower()) not in known}
+                # halves of words cut at a page end are no words
+                start = first.end() if goes_on and (first := _FIRST_WORD.match(joined)) else 0
+                stop = tail.start(1) if end and (tail := _CUT_AT_END.search(joined)) else len(joined)
+                found = [w.lower() for _, _, w in words_of(joined[start:stop])]
                 rows += [(doc, block, "word", w, None, None, None) for w in sorted(seen)]
                 for k, w in enumerate(found):
                     if w not in known and w not in seen:
@@ -288,24 +373,58 @@ def first_findings(content: DataFrame, common: frozenset[str]) -> DataFrame:
                         rows.append((doc, block, "word", w, None, found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FINDING.split(", ")])
 
-    rows = content.select("doc_id", "block_id", "page", "text", "running", "head")
-    return rows.mapInPandas(run, FINDING)
+    return content.select("doc_id", "block_id", "page", "text", "running", "goes_on").mapInPandas(run, FINDING)
+
+
+def continued_tails(tails: DataFrame, content: DataFrame) -> DataFrame:
+    """Findings of the words cut at a block's end, put together with the next page where it goes on."""
+    starts = content.where("goes_on").select("doc_id", F.col("block_id").alias("next_id"), "page", "text", "running")
+    nexts = content.where(F.col("next_id").isNotNull()).select("doc_id", "block_id", "next_id")
+    rows = tails.join(nexts, ["doc_id", "block_id"], "left").join(starts, ["doc_id", "next_id"], "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, block, left, mark, page, head, running in batch.itertuples(index=False):
+                last = _last_part(left)
+                right = continuation(head, int(page) - 1, set(running) if running is not None else set()) if isinstance(head, str) else None
+                if right:
+                    out.append((doc, block, "cut" if mark == "-" else "softcut", (last + right).lower(), f"{left}-{right}", last, right))
+                    # the whole may be misread as well
+                    out.append((doc, block, "word", (last + right).lower(), None, None, None))
+                else:
+                    out.append((doc, block, "endcut" if mark == "-" else "softcut", last.lower(), f"{left}-", last, ""))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FINDING.split(", ")])
+
+    return rows.select("doc_id", "block_id", "word", "alt", "page", "text", "running").mapInPandas(run, FINDING)
 
 
 def _keyed(words: DataFrame, sequences: list[str], depth: int, *carry: str) -> DataFrame:
+    """Words with the hashes of their marked keys."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([list(delete_keys(w, sequences, depth)) if depth == 1 or len(w) <= LONG_WORD else [] for w in batch])
+
+    keys = F.pandas_udf(run, "array<string>")
+    return words.select("word", *carry, F.explode(keys("word")).alias("key")).select("word", *carry, F.xxhash64("key").alias("key"))
+
+
+def _opened(words: DataFrame, *carry: str) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([list(delete_keys(w, sequences, depth)) for w in batch])
+            yield pd.Series([list(open_keys(w)) for w in batch])
 
     keys = F.pandas_udf(run, "array<string>")
-    return words.select("word", *carry, F.explode(keys("word")).alias("key"))
+    return words.select("word", *carry, F.explode(keys("word")).alias("key")).select("word", *carry, F.xxhash64("key").alias("key"))
 
 
 def _batch_distance(seen: pd.Series, meant: pd.Series) -> pd.Series:
     return pd.Series([weighted_distance(a, b) for a, b in zip(seen, meant)])
 
 
-def _candidates(unknown: DataFrame, words: DataFrame, depth: int) -> DataFrame:
+def confused(unknown: DataFrame, words: DataFrame, depth: int) -> DataFrame:
+    """(word, meant, n, cost) by confusion pairs alone. Keys of short words are few, as distinct words are joined."""
     index = _keyed(words.where(F.length("word") > depth), _MEANT, depth, "n").withColumnRenamed("word", "meant")
     queries = _keyed(unknown.where(F.length("word") > depth), _SEEN, depth)
     distance = F.pandas_udf(_batch_distance, "double")
@@ -313,44 +432,77 @@ def _candidates(unknown: DataFrame, words: DataFrame, depth: int) -> DataFrame:
     return candidates.withColumn("cost", distance("word", "meant")).where(F.col("cost") <= MOST_COST)
 
 
+def one_edit(unknown: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, meant, n, cost) by one edit of any characters."""
+    index = _opened(words, "n").withColumnRenamed("word", "meant")
+    pairs = _opened(unknown).join(index, "key").select("word", "meant", "n").distinct()
+    return pairs.where(F.levenshtein("word", "meant", 1) == 1).withColumn("cost", F.lit(OTHER_COST))
+
+
 def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, meant, cost, n) for every accepted candidate of every unknown word.
+    """(word, meant, n, cost) for every candidate of every unknown word, cheapest cost of each.
 
     Words with one misreading are looked up first; those without a candidate are then tried
     with two and at last with three, the most that MOST_COST accepts.
     """
-    found = durable(_candidates(unknown, words, 1))
+    found = written(confused(unknown, words, 1))
     for depth in range(2, MOST_MISREAD + 1):
         rest = unknown.join(found.select("word").distinct(), "word", "left_anti")
-        found = found.unionByName(durable(_candidates(rest, words, depth)))
-    return found
+        found = found.unionByName(written(confused(rest, words, depth)))
+    # a known confusion explains a word better than an edit of any kind
+    rest = unknown.join(found.select("word").distinct(), "word", "left_anti")
+    return found.unionByName(written(one_edit(rest, words)))
+
+
+def questioned(words: DataFrame) -> DataFrame:
+    """(word, meant, n, cost) of known words that one confusion turns into a far commoner one."""
+    pairs = confused(words.select("word"), words, 1).where(F.col("cost") <= CONFUSED_COST)
+    own = words.select("word", F.col("n").alias("own"))
+    return pairs.join(own, "word").where(F.col("n") >= FAR_COMMONER * F.col("own")).drop("own")
 
 
 class ScanNoise:
     """What the scanned pages of ``root`` hold, found once and kept in the shared folder."""
 
     def __init__(self, spark: SparkSession, root: str):
-        blocks = prepared_blocks(spark, root)
-        self.blocks = blocks
-        scanned = blocks.where("scanned")
-        self.furniture = scanned.where("furniture")
-        content = scanned.where(~F.col("furniture"))
-        self.joints = page_joints(content)
-        with_lines = with_running_lines(content, self.furniture)
-        self.content = with_lines.join(self.joints, ["doc_id", "block_id"], "left")
-        self.digital = blocks.where(~F.col("scanned"))
-        self.words = durable(lexicon(self.digital))
-        common = self.words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").collect()
-        self.findings = durable(first_findings(self.content, frozenset(r.word for r in common)))
-        self.kinds = {k: self.findings.where(F.col("kind") == k) for k in ("furniture", "cut", "softcut", "endcut", "word")}
+        pages, blocks = document_pages(table(spark, root, "doc_pages")), table(spark, root, "blocks")
+        hot = hot_keys(blocks, "doc_id")
+        rows = salted_blocks(blocks, hot)
+        line = F.col("type").isin(*FURNITURE_TYPES) | F.coalesce("is_furniture", F.lit(False)) | ((F.length("text") <= LONGEST_LINE) & ~F.trim("text").contains("\n"))
+        # what tells of a document, without its texts but for single lines
+        light = rows.withColumn("cut", F.col("text").rlike(rf"\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*[-{SOFT_MARKS}][ \t]*$")).withColumn("text", F.when(line, F.col("text")))
+        light = light.withColumn("text", F.coalesce("text", F.lit("\n\n")))  # no line
+        scanned = with_document(light, pages.where("scanned"), hot)
+        told = written(
+            scanned.select("doc_id", "block_id", "page", "ord", "type", "cut", "furniture", F.when(F.col("furniture"), F.col("text")).alias("text"))
+        )
+        documents = pages.join(running_lines(told), "doc_id", "left").join(page_joints(told), "doc_id", "left")
+        whole = with_document(rows, documents, hot).dropDuplicates(["doc_id", "salt", "block_id"])
+        part = F.when(~F.col("scanned"), "digital").when(F.col("furniture"), "furniture").otherwise("content")
+        kept = whole.withColumn("part", part).withColumn("next_id", F.try_element_at("joints", F.col("block_id")))
+        goes_on = F.coalesce(F.array_contains(F.map_values("joints"), F.col("block_id")), F.lit(False))
+        parts = written(kept.select("doc_id", "block_id", "page", "ord", "text", "running", "next_id", goes_on.alias("goes_on"), "part"), by="part")
+        self.digital, self.furniture, self.content = (parts.where(F.col("part") == p) for p in ("digital", "furniture", "content"))
+        self.words = written(lexicon(self.digital))
+        common = self.words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
+        doubtful = written(questioned(self.words))
+        asked = common.join(doubtful.select("word").distinct(), "word", "left_anti").select("word").collect()
+        self.findings = written(first_findings(self.content, frozenset(r.word for r in asked)), by="kind")
+        self.kinds = {k: self.findings.where(F.col("kind") == k) for k in ("furniture", "cut", "softcut", "tail", "word")}
+        self.tails = written(continued_tails(self.kinds["tail"], self.content))
+        self.kinds["word"] = self._cut_rows("word").withColumn("kind", F.lit("word"))
         unknown = self.kinds["word"].select("word").distinct().join(self.words, "word", "left_anti")
-        self.candidates = corrections(unknown, self.words)
+        self.candidates = corrections(unknown, self.words).withColumn("known", F.lit(False)).unionByName(doubtful.withColumn("known", F.lit(True)))
+        self.accepted = written(self._accepted())
+
+    def _cut_rows(self, kind: str) -> DataFrame:
+        return self.kinds[kind].select(_FOUND_COLUMNS).unionByName(self.tails.where(F.col("kind") == kind).select(_FOUND_COLUMNS))
 
     def cut_words(self) -> DataFrame:
         """(doc_id, block_id, word, alt) of the words really cut."""
-        known, cut = self.words.select("word"), self.kinds["cut"]
+        known, cut = self.words.select("word"), self._cut_rows("cut")
         # of a hyphen at a line end, compounds are kept: both halves are words and the joined one is not
-        joined = known.unionByName(self.candidates.select("word")).distinct().withColumn("_joined", F.lit(True))
+        joined = known.unionByName(self.candidates.where("NOT known AND cost < 1").select("word")).distinct().withColumn("_joined", F.lit(True))
         left, right = known.select(F.col("word").alias("_l"), F.lit(True).alias("_lk")), known.select(F.col("word").alias("_r"), F.lit(True).alias("_rk"))
         judged = (
             cut.join(joined, "word", "left")
@@ -361,12 +513,50 @@ class ScanNoise:
         really = F.col("_joined").isNotNull() | ~compound
         columns = ["doc_id", "block_id", "word", "alt"]
         # without a continuation in sight, a first half that is no word by itself was cut
-        alone = self.kinds["endcut"].join(known, "word", "left_anti")
-        return judged.where(really).select(columns).unionByName(self.kinds["softcut"].select(columns)).unionByName(alone.select(columns))
+        alone = self.tails.where("kind = 'endcut'").join(known, "word", "left_anti")
+        return judged.where(really).select(columns).unionByName(self._cut_rows("softcut").select(columns)).unionByName(alone.select(columns))
+
+    def _bigrams(self, options: DataFrame) -> DataFrame:
+        """(first, second, b): how often two words follow each other in the digital pages, for words in question."""
+        wanted = written(options.select(F.explode(F.array("meant", "word")).alias("w")).distinct())
+        follow = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda k: F.struct(F.get("t", k - 1).alias("first"), F.get("t", k).alias("second"))
+        )
+        lines = self.digital.select(F.explode(F.array(tokens(whole_lines(F.col("text"))))).alias("t")).where(F.size("t") > 1)
+        pairs = lines.select(F.explode(follow).alias("p")).select("p.*")
+        # counted before the joins, so that they meet distinct pairs only
+        counted = pairs.groupBy("first", "second").agg(F.count("*").alias("b"))
+        ahead = counted.join(wanted.withColumnRenamed("w", "first"), "first", "left_semi")
+        behind = counted.join(wanted.withColumnRenamed("w", "second"), "second", "left_semi")
+        return ahead.unionByName(behind).distinct()
+
+    def _accepted(self) -> DataFrame:
+        """(doc_id, block_id, word, meant, cost, n, fit): the corrections that context or certainty bears out."""
+        options = written(self.kinds["word"].drop("kind", "alt").join(self.candidates, "word"))
+        pairs = written(self._bigrams(options))
+
+        def beside(rows: DataFrame, first: str, second: str, name: str) -> DataFrame:
+            own = pairs.select(F.col("first").alias("_f"), F.col("second").alias("_s"), F.col("b").alias(name))
+            return rows.join(own, (F.col(first) == F.col("_f")) & (F.col(second) == F.col("_s")), "left").drop("_f", "_s")
+
+        rows = beside(beside(options, "before", "meant", "b_before"), "meant", "after", "b_after")
+        rows = beside(beside(rows, "before", "word", "o_before"), "word", "after", "o_after")
+        left, right = F.coalesce("b_before", F.lit(0)), F.coalesce("b_after", F.lit(0))
+        sides = (left > 0).cast("int") + (right > 0).cast("int")
+        # neighbours may be missing at the ends of a block, or be misread themselves
+        asked = F.col("before").isNotNull().cast("int") + F.col("after").isNotNull().cast("int")
+        never = F.col("o_before").isNull() & F.col("o_after").isNull()
+        strange = F.col("word").rlike(r"[^\p{L}'’\-]")
+        take = (
+            F.when(F.col("known"), (sides == 2) & never)
+            .when(F.col("cost") <= MOST_COST, strange & (F.col("word").rlike(r"\p{L}{2}")) | (sides > 0) | (F.col("n") >= FREQUENT))
+            .otherwise((sides == asked) & (asked > 0) & (F.col("n") >= FREQUENT))
+        )
+        return rows.where(take).select("doc_id", "block_id", "word", "meant", "cost", "n", (left + right).alias("fit"))
 
     def misread(self) -> DataFrame:
-        """(doc_id, block_id, word, before, after) of the words that have a correction."""
-        return self.kinds["word"].join(self.candidates.select("word").distinct(), "word", "left_semi")
+        """(doc_id, block_id, word) of the words that have an accepted correction."""
+        return self.accepted.select("doc_id", "block_id", "word").distinct()
 
     def found(self) -> DataFrame:
         """(doc_id, block_id, noise)."""
@@ -384,31 +574,28 @@ class ScanNoise:
 
     def picked(self) -> DataFrame:
         """(doc_id, block_id, word, meant): of several candidates, the one that fits its neighbours."""
-        many = self.candidates.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word")
-        wanted = self.candidates.join(many, "word", "left_semi").select(F.col("meant").alias("cur")).distinct()
-        tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-        pairs = self.digital.select(F.explode(F.arrays_zip(tokens.alias("cur"), F.slice(F.concat(F.array(F.lit("")), tokens), F.lit(1), F.size(tokens)).alias("before"))).alias("p")).select("p.*")
-        bigrams = pairs.join(wanted, "cur", "left_semi").groupBy("cur", "before").agg(F.count("*").alias("b"))
-        options = self.kinds["word"].join(self.candidates, "word")
-        scored = options.join(
-            bigrams.withColumnsRenamed({"cur": "_cur", "before": "_before"}),
-            (F.col("meant") == F.col("_cur")) & (F.col("before") == F.col("_before")),
-            "left",
-        )
-        rank = F.struct(F.coalesce("b", F.lit(0)), -F.col("cost"), F.col("n"), F.col("meant"))
-        return scored.groupBy("doc_id", "block_id", "word").agg(F.max_by("meant", rank).alias("meant"))
+        rank = F.struct("fit", -F.col("cost"), F.col("n"), F.col("meant"))
+        return self.accepted.groupBy("doc_id", "block_id", "word").agg(F.max_by("meant", rank).alias("meant"))
 
     def paragraphs(self) -> DataFrame:
-        """(doc_id, block_id, page, ord, text): content blocks of scanned pages as continuous text."""
-        repairs = self.picked().groupBy("doc_id", "block_id").agg(F.collect_list(F.struct("word", "meant")).alias("repairs"))
-        cuts = self.cut_words().groupBy("doc_id", "block_id").agg(F.collect_set("alt").alias("cuts"))
-        heads = self.joints.where(F.col("next_id").isNotNull()).select("doc_id", F.col("next_id").alias("block_id"), F.col("block_id").alias("from_id"))
-        moved = heads.join(self.cut_words().select("doc_id", F.col("block_id").alias("from_id"), "alt"), ["doc_id", "from_id"]).groupBy("doc_id", "block_id").agg(F.collect_set("alt").alias("moved"))
-        keys = ["doc_id", "block_id"]
-        rows = self.content.join(repairs, keys, "left").join(cuts, keys, "left").join(moved, keys, "left")
-        return rows.select(*keys, "page", "ord", "text", "running", "head", "repairs", "cuts", "moved").mapInPandas(
-            repair_batches, "doc_id bigint, block_id string, page int, ord int, text string"
-        )
+        """(doc_id, block_id, page, ord, text): content blocks of scanned pages as continuous text.
+
+        What is to be done to a block is gathered in one row first and joined to its text once.
+        """
+        keys, text = ["doc_id", "block_id"], F.lit(None).cast("string")
+        cuts = written(self.cut_words().select(*keys, "alt"))
+        tails = self.tails.where(F.col("after") != "").select(*keys, "alt")
+        nexts = self.content.where(F.col("next_id").isNotNull()).select("doc_id", "block_id", "next_id")
+        moved = nexts.join(cuts, keys).select("doc_id", F.col("next_id").alias("block_id"), "alt")
+        todo = (
+            self.picked().select(*keys, F.lit("repair").alias("what"), "word", F.col("meant").alias("alt"))
+            .unionByName(cuts.select(*keys, F.lit("cut").alias("what"), text.alias("word"), "alt"))
+            .unionByName(moved.select(*keys, F.lit("moved").alias("what"), text.alias("word"), "alt"))
+            .unionByName(tails.select(*keys, F.lit("tail").alias("what"), text.alias("word"), "alt"))
+        )
+        per_block = todo.groupBy(*keys).agg(F.collect_set(F.struct("what", "word", "alt")).alias("todo"))
+        rows = self.content.join(per_block, keys, "left")
+        return rows.select(*keys, "page", "ord", "text", "running", "todo").mapInPandas(repair_batches, "doc_id bigint, block_id string, page int, ord int, text string")
 
 
 _ITEM = regex.compile(r"^\s*(?:[-•*–|]|\d+[.)])\s?|^\s*$")
@@ -422,14 +609,14 @@ def as_seen(word: str, meant: str) -> str:
     return meant[:1].upper() + meant[1:] if word[:1].isupper() else meant
 
 
-def repair_text(text: str, page: int, running: set[str], repairs: dict[str, str], cuts: set[str], head: str | None, moved: set[str]) -> str:
-    """One block as continuous text."""
+def repair_text(text: str, page: int, running: set[str], repairs: dict[str, str], cuts: set[str], tail: str | None, moved: set[str]) -> str:
+    """One block as continuous text; ``tail`` is its last word, cut, as left part, hyphen, continuation."""
     text, _ = without_furniture(text, page, running)
     if moved and (first := _FIRST_WORD.match(text)) and any(a.endswith("-" + first.group(1)) for a in moved):
         text = text[first.end() :].lstrip(" \n")
     text = _CUT.sub(lambda m: m.group(1) + m.group(3) if f"{m.group(1)}-{m.group(3)}" in cuts else f"{m.group(1)}-{m.group(3)}", text)
-    if (end := _CUT_AT_END.search(text)) and (right := continuation(head, page, running)):
-        text = text[: end.end(1)] + ("" if f"{end.group(1)}-{right}" in cuts else "-") + right
+    if tail and (end := _CUT_AT_END.search(text)) and tail.startswith(f"{end.group(1)}-"):
+        text = text[: end.end(1)] + ("" if tail in cuts else "-") + tail[len(end.group(1)) + 1 :]
     out, at = [], 0
     for a, b, w in words_of(text):
         if (meant := repairs.get(w.lower())) is not None:
@@ -449,9 +636,18 @@ def repair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for r in batch.itertuples(index=False):
-            repairs = {p["word"]: p["meant"] for p in r.repairs} if r.repairs is not None else {}
-            sets = [set(x) if x is not None else set() for x in (r.running, r.cuts, r.moved)]
-            rows.append((r.doc_id, r.block_id, r.page, r.ord, repair_text(r.text, r.page, sets[0], repairs, sets[1], r.head, sets[2])))
+            repairs, cuts, moved, tail = {}, set(), set(), None
+            for x in r.todo if r.todo is not None else ():
+                if x["what"] == "repair":
+                    repairs[x["word"]] = x["alt"]
+                elif x["what"] == "cut":
+                    cuts.add(x["alt"])
+                elif x["what"] == "moved":
+                    moved.add(x["alt"])
+                else:
+                    tail = x["alt"]
+            running = set(r.running) if r.running is not None else set()
+            rows.append((r.doc_id, r.block_id, r.page, r.ord, repair_text(r.text, r.page, running, repairs, cuts, tail, moved)))
         yield pd.DataFrame(rows, columns=["doc_id", "block_id", "page", "ord", "text"])
 
 

@@ -56,9 +56,64 @@ def test_running_lines_beside_text_are_found(spark, make_root):
 
 def test_words_with_several_misreadings(spark):
     words = spark.createDataFrame([("responsable", 5), ("permanent", 4), ("chantier", 3), ("lot", 9)], "word string, n long")
-    unknown = spark.createDataFrame([("rcsponsab1e",), ("pcrrnancnt",), ("chantjer",), ("rc5p0n5ab1e",), ("1ot",)], "word string")
+    unknown = spark.createDataFrame([("rcsponsab1e",), ("pcrrnancnt",), ("chantjer",), ("rc5p0n5ab1e",), ("1ot",), ("zz",)], "word string")
     got = {(r.word, r.meant): round(r.cost, 6) for r in scans.corrections(unknown, words).collect()}
-    assert got == {("rcsponsab1e", "responsable"): 0.6, ("pcrrnancnt", "permanent"): 0.9, ("1ot", "lot"): 0.3}
+    # an edit outside the confusions is a candidate too, which its neighbours must bear out
+    assert got == {("rcsponsab1e", "responsable"): 0.6, ("pcrrnancnt", "permanent"): 0.9, ("1ot", "lot"): 0.3, ("chantjer", "chantier"): 1.0}
+
+
+def test_candidates_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    known = sorted({"".join(rng.choice("abcelmnrit") for _ in range(rng.randint(2, 9))) for _ in range(150)} | {"x" * 90 + "lettre"})
+    spoilt = set()
+    for w in known:
+        for a, b in rng.sample(scans.CONFUSIONS, 12):
+            if b in w and rng.random() < 0.5:
+                spoilt.add(w.replace(b, a, 1))
+        at = rng.randrange(len(w))
+        spoilt |= {w[:at] + rng.choice("abz") + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + "s" + w[at:]}
+    spoilt = sorted(x for x in spoilt - set(known) if len(x) > 1)
+    words, unknown = spark.createDataFrame([(w, 1) for w in known], "word string, n long"), spark.createDataFrame([(w,) for w in spoilt], "word string")
+    distance = {(a, b): scans.weighted_distance(a, b) for a in spoilt for b in known}
+    want = {p: round(c, 6) for p, c in distance.items() if c <= scans.CONFUSED_COST}
+    got = {(r.word, r.meant): round(r.cost, 6) for r in scans.confused(unknown, words, 1).collect()}
+    assert {p: c for p, c in got.items() if c <= scans.CONFUSED_COST} == want and len(want) > 100
+    edits = {(a, b) for a in spoilt for b in known if min(len(a), len(b)) >= scans.SHORTEST_OPEN and plain_distance(a, b) == 1}
+    assert {(r.word, r.meant) for r in scans.one_edit(unknown, words).collect()} == edits and len(edits) > 50
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_one_tokenizer(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["l'offre d’un plan A0, n°12 (HA12) : «lorsqu'il» qu'elle aujourd'hui 3x4 — e' é’ L'", "sous-traitant/maître 'mot' [x] a"]
+    texts += ["".join(rng.choice("abeL'’ .,«»-/\n1é") for _ in range(60)) for _ in range(200)]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", scans.tokens(scans.F.col("text")).alias("t")).collect()
+    for r in got:
+        # elisions read with a one are told apart from words on scanned pages only
+        assert list(r.t) == [w.lower() for _, _, w in scans.words_of(r.text) if not (w[0] == "1" and w[1:] in ("'", "’"))], r.text
+
+
+def test_context_and_digits(spark, make_root):
+    pages = [dict(doc_id=1, page=1, height=800.0, is_scanned=False), dict(doc_id=2, page=1, height=800.0, is_scanned=True)]
+    digital = [block(1, k, FR + " Le plan au format A0 est remis. Les prix unitaires restent fermes. Il note le cas.") for k in range(8)] + [block(1, 20, "le ca5 et le cos zéro")]
+    # A0 is a word; an edit of any kind needs both neighbours; a name without neighbours stays
+    scanned = [block(2, 0, "Le plan au format A0 est remis."), block(2, 1, "Les prix unitxires restent fermes."), block(2, 2, "Monsieur Unitxires habite ici."), block(2, 3, "Les prix un1taires restent fermes.")]
+    root = make_root(doc_pages=pages, blocks=digital + scanned)
+    noise = scans.ScanNoise(spark, root)
+    assert {(r.block_id, r.noise) for r in noise.found().collect()} == {("b1", "chars"), ("b3", "chars")}
+    assert {r.block_id: r.text for r in noise.paragraphs().collect()}["b1"] == "Les prix unitaires restent fermes."
 
 
 def test_distance_is_cheap_for_confusions_only():
