@@ -8,40 +8,42 @@
   is no word by itself.
 * Misread characters: a symmetric-delete index over the frequency lexicon of the digital
   pages. Every character, and every sequence that scanners confuse, is deleted in turn from
-  unknown and from lexicon words; equal remainders make candidates. Words that find none are
-  tried with two and then three confused sequences deleted. A weighted edit distance, cheap
-  for confusion pairs, ranks the candidates. The words before and after (bigrams of the
-  digital pages) decide: a confusion of letters needs a neighbour that the candidate is seen
-  with, or a candidate so frequent that chance is no explanation; any other edit needs both
-  neighbours; a known word is questioned too where a far commoner one fits both neighbours
-  and it fits neither.
+  unknown and from lexicon words; equal remainders make candidates. Words with several
+  misreadings meet their original under one more key, in which all confusable sequences are
+  alike. A weighted edit distance, cheap for confusion pairs, ranks the candidates. The words
+  before and after (bigrams of the digital pages) decide: a confusion of letters needs a
+  neighbour that the candidate is seen with, or a candidate so frequent that chance is no
+  explanation; any other edit needs both neighbours; a known word is questioned too where a
+  far commoner one fits both neighbours and it fits neither.
 
 The blocks' texts are shuffled once, by document (hot documents salted), with what is known
 of each document: whether it is scanned, the heights of its pages, its running lines and the
 blocks that go on over a page. The result is a table in the shared folder, split into digital
-and scanned text. Lexicon, keys and bigrams are of the size of the vocabulary. Only a bounded
-set of the commonest words is broadcast, to keep known words from being exploded; every other
-word is looked up in the whole lexicon by joins.
+and scanned text. Words and their bigrams are counted in one pass over the digital text, and
+combined in each task before they are shuffled. Only a bounded set of the commonest words is
+broadcast, to keep known words from being exploded; every other word is looked up in the
+whole lexicon by joins on hashed keys.
 
 Defined results: a document is scanned if any of its pages says so (nulls follow the
 others); null and empty texts have no noise; repeated block rows count once; blocks without
 document or page are left out; a page without
 height is judged by type and flag only; whole texts; extra columns are never read. Words of
-more than LONG_WORD letters are tried with one misreading, shorter ones with up to three.
+more than LONG_WORD letters are compared by start, end and confusable sequences only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaestor.operators.skew import hot_keys
-from quaestor.runtime import table, written
+from quaestor.runtime import spread, table, written
 
 #: Commonest lexicon words kept in every worker (a filter; others are joined).
 COMMON_WORDS = 20_000
@@ -68,7 +70,6 @@ CONFUSIONS = [
     ("j", "ل"), ("l", "ا"), ("|", "ا"), ("ں", "ن"), ("ٯ", "ق"), ("ٮ", "ب"), ("o", "ه"), ("ی", "ي"), ("ک", "ك"),
 ]
 CONFUSED_COST, OTHER_COST, MOST_COST = 0.3, 1.0, 0.9
-MOST_MISREAD = 3  # MOST_COST / CONFUSED_COST
 _FOUND_COLUMNS = ["doc_id", "block_id", "word", "alt", "before", "after"]
 
 SOFT_MARKS = "¬‐‑­"
@@ -78,10 +79,6 @@ _FIRST_WORD = regex.compile(r"^\s*(\p{Ll}[\p{L}\p{N}†!@|'’]*|\p{Arabic}+)")
 _CHUNK = regex.compile(r"[^\s\-–—/]+")
 _ELISION = regex.compile(r"^(?:[ldsnmtcjLDSNMTCJ1]|[Qq]u|[Ll]orsqu|[Jj]usqu|[Pp]uisqu)['’]")
 _OUTER = ".,;:()«»\"“”[]{}•…؛،؟?*<>="
-#: The same in the JVM, on lower-cased text: chunks, then outer marks, elisions and a closing apostrophe off.
-_J_CHUNK = r"[\s\-–—/]+"
-_J_OUTER = r"^[.,;:()«»\"“”\[\]{}•…؛،؟?*<>=]+|[.,;:()«»\"“”\[\]{}•…؛،؟?*<>=]+$"
-_J_ELISION = r"^(?:(?:[ldsnmtcj1]|qu|lorsqu|jusqu|puisqu)['’])+|(?<!e)['’]$"
 _DIGITS = regex.compile(r"\p{N}+")
 _HAS_LETTER = regex.compile(r"\p{L}")
 
@@ -143,13 +140,6 @@ def words_of(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def tokens(text: Column) -> Column:
-    """The words of ``words_of`` in lower case, cut in the JVM (without elisions read as ``1'``)."""
-    chunks = F.split(F.lower(text), _J_CHUNK)
-    bare = F.transform(chunks, lambda c: F.regexp_replace(F.regexp_replace(c, _J_OUTER, ""), _J_ELISION, ""))
-    return F.filter(bare, lambda w: (F.length(w) > 1) & w.rlike(r"\p{L}"))
-
-
 @lru_cache(maxsize=10_000)
 def _running_ends(running: str) -> tuple[regex.Pattern, regex.Pattern]:
     """Patterns of a running line before and after other text of the same line."""
@@ -159,46 +149,74 @@ def _running_ends(running: str) -> tuple[regex.Pattern, regex.Pattern]:
     return regex.compile(rf"(?i:^\s*{body})\s+(?={begins})"), regex.compile(rf"(?<=[.!?:;…؟])\s+(?i:{body}\s*$)")
 
 
-def without_running_ends(line: str, running: set[str]) -> str:
+def beside_text(running: frozenset[str]) -> list[str]:
+    """The running lines long enough to be told from text on the same line, longest first."""
+    return sorted((r for r in running if len(r) >= LEAST_RUNNING), key=lambda r: (-len(r), r))
+
+
+def without_running_ends(line: str, masked: str, ends: list[str]) -> str:
     """The line without a running line of its document that it starts or ends with."""
-    masked = shape(line)
-    for r in sorted((r for r in running if LEAST_RUNNING <= len(r) < len(masked)), key=lambda r: (-len(r), r)):
-        if masked.startswith(r) or masked.endswith(r):
+    for r in ends:
+        if len(r) < len(masked) and (masked.startswith(r) or masked.endswith(r)):
             before, after = _running_ends(r)
             line = after.sub("", before.sub("", line))
             masked = shape(line)
     return line
 
 
-def without_furniture(text: str, page: int, running: set[str]) -> tuple[str, bool]:
+@lru_cache(maxsize=1000)
+def _running(lines: tuple[str, ...]) -> tuple[frozenset[str], list[str]]:
+    known = frozenset(lines)
+    return known, beside_text(known)
+
+
+def without_furniture(text: str, page: int, running: tuple[str, ...] | set[str]) -> tuple[str, bool]:
     """The text without furniture lines or running lines beside other text, and whether it had any."""
-    lines = text.split("\n")
-    keep = [x for x in lines if not (is_page_line(x, page) or (x.strip() and shape(x) in running))]
-    if len(lines) == 1:
-        keep = lines
-    cut = [without_running_ends(x, running) for x in keep] if running else keep
-    return ("\n".join(cut), True) if cut != lines else (text, False)
+    known, ends = _running(tuple(running))
+    lines, out = text.split("\n"), []
+    for x in lines:
+        masked = shape(x) if known else ""
+        if len(lines) > 1 and (is_page_line(x, page) or (masked and masked in known)):
+            continue
+        out.append(without_running_ends(x, masked, ends) if ends else x)
+    return ("\n".join(out), True) if out != lines else (text, False)
 
 
 _SEEN = [a for a, _ in CONFUSIONS]
 _MEANT = [b for _, b in CONFUSIONS]
 
 
-def delete_keys(word: str, sequences: list[str], depth: int = 1) -> set[str]:
-    """The word with ``depth`` occurrences of the sequences deleted, their places marked."""
-    out = {word}
-    for _ in range(depth):
-        deeper = set()
-        for w in out:
-            for s in dict.fromkeys(sequences):
-                at = w.find(s)
-                while at >= 0:
-                    deeper.add(w[:at] + "\x00" + w[at + len(s) :])
-                    at = w.find(s, at + 1)
-        out = deeper
+def delete_keys(word: str, sequences: list[str]) -> set[str]:
+    """The word with each occurrence of a sequence deleted in turn, its place marked."""
+    out = set()
+    for s in sequences:
+        at = word.find(s)
+        while at >= 0:
+            out.add(word[:at] + "\x00" + word[at + len(s) :])
+            at = word.find(s, at + 1)
     return out
 
 
+def _alike() -> dict[str, str]:
+    """Each character of a one-to-one confusion and the one that stands for all it may be confused with."""
+    group: dict[str, str] = {}
+    for a, b in CONFUSIONS:
+        if len(a) == len(b) == 1:
+            joined = {x for x in {**group, a: a, b: b} if group.get(x, x) in (group.get(a, a), group.get(b, b))}
+            group.update(dict.fromkeys(joined, min(joined)))
+    return group
+
+
+_GROUP = str.maketrans(_alike())
+_LONGER = {a: b for pair in CONFUSIONS for a, b in (pair, pair[::-1]) if len(a) > 1 and len(b) == 1}
+_SEQUENCE = regex.compile("|".join(regex.escape(x) for x in _LONGER))
+
+
+def skeleton(word: str) -> str:
+    """The word with all sequences that may be confused made alike, whatever their number."""
+    return _SEQUENCE.sub(lambda m: _LONGER[m.group()], word).translate(_GROUP)
+
+
 def open_keys(word: str) -> set[str]:
     """The word, and the word without each of its characters; start and end alone of a long one."""
     if len(word) > LONG_WORD:
@@ -207,6 +225,11 @@ def open_keys(word: str) -> set[str]:
     return {word} | {word[:k] + word[k + 1 :] for k in range(len(word))} if len(word) >= SHORTEST_OPEN else set()
 
 
+def all_keys(word: str, sequences: list[str]) -> list[str]:
+    """The keys under which a word is looked up, their first letter telling the kind: confused, open, alike."""
+    return [f"c{k}" for k in delete_keys(word, sequences)] + [f"o{k}" for k in open_keys(word)] + [f"a{skeleton(word)}"]
+
+
 _BY_FIRST: dict[str, list[tuple[str, str]]] = {}
 for _a, _b in CONFUSIONS:
     _BY_FIRST.setdefault(_a[0], []).append((_a, _b))
@@ -288,14 +311,35 @@ def furniture_block() -> Column:
     return told | F.coalesce(margin & short & ~F.col("type").isin("title", "table"), F.lit(False))
 
 
-def lexicon(digital: DataFrame) -> DataFrame:
-    """(word, n) of the digital pages; words cut at line ends are left out."""
-    return digital.select(F.explode(tokens(whole_lines(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+_BROKEN = regex.compile(rf"\p{{L}}+[-{SOFT_MARKS}][ \t]*\n\s*\p{{L}}+")
+#: Distinct words and bigrams that a task gathers before it passes their counts on.
+GATHERED = 400_000
+
 
+def word_counts(digital: DataFrame) -> DataFrame:
+    """(first, second, n): words (second null) and bigrams of the digital pages; words cut at line ends are left out."""
 
-def whole_lines(text: Column) -> Column:
-    """The text without words that a mark cuts at a line end."""
-    return F.regexp_replace(text, rf"\p{{L}}+[-{SOFT_MARKS}][ \t]*\n\s*\p{{L}}+", " ")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ones: Counter = Counter()
+        pairs: Counter = Counter()
+
+        def gathered() -> pd.DataFrame:
+            rows = [(w, None, n) for w, n in ones.items()] + [(a, b, n) for (a, b), n in pairs.items()]
+            ones.clear()
+            pairs.clear()
+            return pd.DataFrame(rows, columns=["first", "second", "n"])
+
+        for batch in batches:
+            for text in batch["text"]:
+                found = [w.lower() for _, _, w in words_of(_BROKEN.sub(" ", text) if "\n" in text else text)]
+                ones.update(found)
+                pairs.update(zip(found, found[1:]))
+                if len(pairs) > GATHERED:
+                    yield gathered()
+        yield gathered()
+
+    counted = digital.select("text").mapInPandas(run, "first string, second string, n bigint")
+    return counted.groupBy("first", "second").agg(F.sum("n").alias("n"))
 
 
 def running_lines(scanned: DataFrame) -> DataFrame:
@@ -348,7 +392,7 @@ def first_findings(content: DataFrame, common: frozenset[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, block, page, text, running, goes_on in batch.itertuples(index=False):
-                text, had = without_furniture(text, page, set(running) if running is not None else set())
+                text, had = without_furniture(text, page, tuple(running) if running is not None else ())
                 if had:
                     rows.append((doc, block, "furniture", None, None, None, None))
                 cuts = [(m.group(1), m.group(2), m.group(3)) for m in _CUT.finditer(text)] if "\n" in text else []
@@ -387,7 +431,7 @@ def continued_tails(tails: DataFrame, content: DataFrame) -> DataFrame:
             out = []
             for doc, block, left, mark, page, head, running in batch.itertuples(index=False):
                 last = _last_part(left)
-                right = continuation(head, int(page) - 1, set(running) if running is not None else set()) if isinstance(head, str) else None
+                right = continuation(head, int(page) - 1, tuple(running) if running is not None else ()) if isinstance(head, str) else None
                 if right:
                     out.append((doc, block, "cut" if mark == "-" else "softcut", (last + right).lower(), f"{left}-{right}", last, right))
                     # the whole may be misread as well
@@ -399,66 +443,54 @@ def continued_tails(tails: DataFrame, content: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_id", "word", "alt", "page", "text", "running").mapInPandas(run, FINDING)
 
 
-def _keyed(words: DataFrame, sequences: list[str], depth: int, *carry: str) -> DataFrame:
-    """Words with the hashes of their marked keys."""
+def keyed(words: DataFrame, sequences: list[str], confused_only: bool = False) -> DataFrame:
+    """The words' rows, one for each of their keys (hashed); ``words`` is a bare scan."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([list(delete_keys(w, sequences, depth)) if depth == 1 or len(w) <= LONG_WORD else [] for w in batch])
+            yield pd.Series([[f"c{k}" for k in delete_keys(w, sequences)] if confused_only else all_keys(w, sequences) for w in batch])
 
     keys = F.pandas_udf(run, "array<string>")
-    return words.select("word", *carry, F.explode(keys("word")).alias("key")).select("word", *carry, F.xxhash64("key").alias("key"))
+    rows = spread(words, "word").select("*", F.explode(keys("word")).alias("key"))
+    return rows.withColumn("sure", ~F.col("key").startswith("o")).withColumn("key", F.xxhash64("key"))
 
 
-def _opened(words: DataFrame, *carry: str) -> DataFrame:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([list(open_keys(w)) for w in batch])
-
-    keys = F.pandas_udf(run, "array<string>")
-    return words.select("word", *carry, F.explode(keys("word")).alias("key")).select("word", *carry, F.xxhash64("key").alias("key"))
+def lexicon_index(words: DataFrame) -> DataFrame:
+    """(meant, n, key) of the lexicon."""
+    return keyed(words, _MEANT).select(F.col("word").alias("meant"), "n", "key")
 
 
 def _batch_distance(seen: pd.Series, meant: pd.Series) -> pd.Series:
     return pd.Series([weighted_distance(a, b) for a, b in zip(seen, meant)])
 
 
-def confused(unknown: DataFrame, words: DataFrame, depth: int) -> DataFrame:
-    """(word, meant, n, cost) by confusion pairs alone. Keys of short words are few, as distinct words are joined."""
-    index = _keyed(words.where(F.length("word") > depth), _MEANT, depth, "n").withColumnRenamed("word", "meant")
-    queries = _keyed(unknown.where(F.length("word") > depth), _SEEN, depth)
-    distance = F.pandas_udf(_batch_distance, "double")
-    candidates = queries.join(index, "key").select("word", "meant", "n").distinct().where(F.col("word") != F.col("meant"))
-    return candidates.withColumn("cost", distance("word", "meant")).where(F.col("cost") <= MOST_COST)
-
-
-def one_edit(unknown: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, meant, n, cost) by one edit of any characters."""
-    index = _opened(words, "n").withColumnRenamed("word", "meant")
-    pairs = _opened(unknown).join(index, "key").select("word", "meant", "n").distinct()
-    return pairs.where(F.levenshtein("word", "meant", 1) == 1).withColumn("cost", F.lit(OTHER_COST))
+def _met(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(word, meant, n, sure): distinct pairs of a common key. Never broadcast, as keys outgrow the words they are made of."""
+    pairs = queries.join(index.hint("merge"), "key").where(F.col("word") != F.col("meant"))
+    return pairs.groupBy("word", "meant", "n").agg(F.max("sure").alias("sure"))
 
 
-def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, meant, n, cost) for every candidate of every unknown word, cheapest cost of each.
+def corrections(unknown: DataFrame, index: DataFrame) -> DataFrame:
+    """(word, meant, n, cost) for every candidate of every unknown word.
 
-    Words with one misreading are looked up first; those without a candidate are then tried
-    with two and at last with three, the most that MOST_COST accepts.
+    Edits outside the confusions are candidates only of words that no confusion explains.
     """
-    found = written(confused(unknown, words, 1))
-    for depth in range(2, MOST_MISREAD + 1):
-        rest = unknown.join(found.select("word").distinct(), "word", "left_anti")
-        found = found.unionByName(written(confused(rest, words, depth)))
-    # a known confusion explains a word better than an edit of any kind
-    rest = unknown.join(found.select("word").distinct(), "word", "left_anti")
-    return found.unionByName(written(one_edit(rest, words)))
+    distance = F.pandas_udf(_batch_distance, "double")
+    met = written(_met(keyed(unknown.select("word"), _SEEN), index))
+    sure = met.where("sure").withColumn("cost", distance("word", "meant")).where(F.col("cost") <= MOST_COST)
+    long = F.least(F.length("word"), F.length("meant")) >= SHORTEST_OPEN
+    other = met.where(long & (F.levenshtein("word", "meant", 1) == 1)).withColumn("cost", F.lit(OTHER_COST))
+    both = sure.unionByName(other).groupBy("word", "meant", "n").agg(F.min("cost").alias("cost"))
+    least = F.min("cost").over(Window.partitionBy("word"))
+    return both.withColumn("_least", least).where((F.col("cost") < OTHER_COST) | (F.col("_least") == OTHER_COST)).drop("_least")
 
 
-def questioned(words: DataFrame) -> DataFrame:
+def questioned(words: DataFrame, index: DataFrame) -> DataFrame:
     """(word, meant, n, cost) of known words that one confusion turns into a far commoner one."""
-    pairs = confused(words.select("word"), words, 1).where(F.col("cost") <= CONFUSED_COST)
-    own = words.select("word", F.col("n").alias("own"))
-    return pairs.join(own, "word").where(F.col("n") >= FAR_COMMONER * F.col("own")).drop("own")
+    distance = F.pandas_udf(_batch_distance, "double")
+    own = words.withColumnRenamed("n", "own")
+    pairs = keyed(own, _SEEN, confused_only=True).join(index.hint("merge"), "key").where((F.col("word") != F.col("meant")) & (F.col("n") >= FAR_COMMONER * F.col("own")))
+    return pairs.select("word", "meant", "n").distinct().withColumn("cost", distance("word", "meant")).where(F.col("cost") <= CONFUSED_COST)
 
 
 class ScanNoise:
@@ -483,16 +515,21 @@ class ScanNoise:
         goes_on = F.coalesce(F.array_contains(F.map_values("joints"), F.col("block_id")), F.lit(False))
         parts = written(kept.select("doc_id", "block_id", "page", "ord", "text", "running", "next_id", goes_on.alias("goes_on"), "part"), by="part")
         self.digital, self.furniture, self.content = (parts.where(F.col("part") == p) for p in ("digital", "furniture", "content"))
-        self.words = written(lexicon(self.digital))
+        counts = written(word_counts(self.digital).withColumn("kind", F.when(F.col("second").isNull(), "word").otherwise("pair")), by="kind")
+        self.words = counts.where("kind = 'word'").select(F.col("first").alias("word"), "n")
+        self.pairs = counts.where("kind = 'pair'").select("first", "second", F.col("n").alias("b"))
+        index = written(lexicon_index(self.words))
         common = self.words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
-        doubtful = written(questioned(self.words))
+        doubtful = written(questioned(self.words, index))
         asked = common.join(doubtful.select("word").distinct(), "word", "left_anti").select("word").collect()
         self.findings = written(first_findings(self.content, frozenset(r.word for r in asked)), by="kind")
         self.kinds = {k: self.findings.where(F.col("kind") == k) for k in ("furniture", "cut", "softcut", "tail", "word")}
         self.tails = written(continued_tails(self.kinds["tail"], self.content))
         self.kinds["word"] = self._cut_rows("word").withColumn("kind", F.lit("word"))
         unknown = self.kinds["word"].select("word").distinct().join(self.words, "word", "left_anti")
-        self.candidates = corrections(unknown, self.words).withColumn("known", F.lit(False)).unionByName(doubtful.withColumn("known", F.lit(True)))
+        unknown = written(unknown)
+        found = corrections(unknown, index).withColumn("known", F.lit(False))
+        self.candidates = written(found.unionByName(doubtful.withColumn("known", F.lit(True))))
         self.accepted = written(self._accepted())
 
     def _cut_rows(self, kind: str) -> DataFrame:
@@ -519,15 +556,8 @@ class ScanNoise:
     def _bigrams(self, options: DataFrame) -> DataFrame:
         """(first, second, b): how often two words follow each other in the digital pages, for words in question."""
         wanted = written(options.select(F.explode(F.array("meant", "word")).alias("w")).distinct())
-        follow = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda k: F.struct(F.get("t", k - 1).alias("first"), F.get("t", k).alias("second"))
-        )
-        lines = self.digital.select(F.explode(F.array(tokens(whole_lines(F.col("text"))))).alias("t")).where(F.size("t") > 1)
-        pairs = lines.select(F.explode(follow).alias("p")).select("p.*")
-        # counted before the joins, so that they meet distinct pairs only
-        counted = pairs.groupBy("first", "second").agg(F.count("*").alias("b"))
-        ahead = counted.join(wanted.withColumnRenamed("w", "first"), "first", "left_semi")
-        behind = counted.join(wanted.withColumnRenamed("w", "second"), "second", "left_semi")
+        ahead = self.pairs.join(wanted.withColumnRenamed("w", "first"), "first", "left_semi")
+        behind = self.pairs.join(wanted.withColumnRenamed("w", "second"), "second", "left_semi")
         return ahead.unionByName(behind).distinct()
 
     def _accepted(self) -> DataFrame:
@@ -646,7 +676,7 @@ def repair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     moved.add(x["alt"])
                 else:
                     tail = x["alt"]
-            running = set(r.running) if r.running is not None else set()
+            running = tuple(r.running) if r.running is not None else ()
             rows.append((r.doc_id, r.block_id, r.page, r.ord, repair_text(r.text, r.page, running, repairs, cuts, tail, moved)))
         yield pd.DataFrame(rows, columns=["doc_id", "block_id", "page", "ord", "text"])
 

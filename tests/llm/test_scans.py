@@ -57,7 +57,7 @@ def test_running_lines_beside_text_are_found(spark, make_root):
 def test_words_with_several_misreadings(spark):
     words = spark.createDataFrame([("responsable", 5), ("permanent", 4), ("chantier", 3), ("lot", 9)], "word string, n long")
     unknown = spark.createDataFrame([("rcsponsab1e",), ("pcrrnancnt",), ("chantjer",), ("rc5p0n5ab1e",), ("1ot",), ("zz",)], "word string")
-    got = {(r.word, r.meant): round(r.cost, 6) for r in scans.corrections(unknown, words).collect()}
+    got = {(r.word, r.meant): round(r.cost, 6) for r in scans.corrections(unknown, scans.lexicon_index(words)).collect()}
     # an edit outside the confusions is a candidate too, which its neighbours must bear out
     assert got == {("rcsponsab1e", "responsable"): 0.6, ("pcrrnancnt", "permanent"): 0.9, ("1ot", "lot"): 0.3, ("chantjer", "chantier"): 1.0}
 
@@ -77,11 +77,15 @@ def test_candidates_equal_all_pairs(spark):
     spoilt = sorted(x for x in spoilt - set(known) if len(x) > 1)
     words, unknown = spark.createDataFrame([(w, 1) for w in known], "word string, n long"), spark.createDataFrame([(w,) for w in spoilt], "word string")
     distance = {(a, b): scans.weighted_distance(a, b) for a in spoilt for b in known}
-    want = {p: round(c, 6) for p, c in distance.items() if c <= scans.CONFUSED_COST}
-    got = {(r.word, r.meant): round(r.cost, 6) for r in scans.confused(unknown, words, 1).collect()}
-    assert {p: c for p, c in got.items() if c <= scans.CONFUSED_COST} == want and len(want) > 100
-    edits = {(a, b) for a in spoilt for b in known if min(len(a), len(b)) >= scans.SHORTEST_OPEN and plain_distance(a, b) == 1}
-    assert {(r.word, r.meant) for r in scans.one_edit(unknown, words).collect()} == edits and len(edits) > 50
+    want = {p for p, c in distance.items() if c <= scans.CONFUSED_COST}
+    got = {(r.word, r.meant): round(r.cost, 6) for r in scans.corrections(unknown, scans.lexicon_index(words)).collect()}
+    assert {p for p, c in got.items() if c <= scans.CONFUSED_COST} == want and len(want) > 100
+    # several misreadings, which one key holds but for sequences that run into each other, as they do in words of ten letters
+    several = {p for p, c in distance.items() if scans.CONFUSED_COST < c <= scans.MOST_COST}
+    assert len(several & set(got)) >= 0.7 * len(several)
+    explained = {a for (a, b), c in got.items() if c < 1}
+    edits = {(a, b) for a in spoilt for b in known if min(len(a), len(b)) >= scans.SHORTEST_OPEN and plain_distance(a, b) == 1 and a not in explained}
+    assert {p for p, c in got.items() if c == 1} == edits and len(edits) > 50
 
 
 def plain_distance(a, b):
@@ -93,16 +97,11 @@ def plain_distance(a, b):
     return row[-1]
 
 
-def test_one_tokenizer(spark):
-    import random
-
-    rng = random.Random(2)
-    texts = ["l'offre d’un plan A0, n°12 (HA12) : «lorsqu'il» qu'elle aujourd'hui 3x4 — e' é’ L'", "sous-traitant/maître 'mot' [x] a"]
-    texts += ["".join(rng.choice("abeL'’ .,«»-/\n1é") for _ in range(60)) for _ in range(200)]
-    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", scans.tokens(scans.F.col("text")).alias("t")).collect()
-    for r in got:
-        # elisions read with a one are told apart from words on scanned pages only
-        assert list(r.t) == [w.lower() for _, _, w in scans.words_of(r.text) if not (w[0] == "1" and w[1:] in ("'", "’"))], r.text
+def test_counts_equal_brute_force(spark):
+    texts = ["l'offre d’un plan A0, n°12 (HA12) : plan A0", "sous-traitant le tra-\nvail un deux", "", "A0"] * 5
+    got = {(r["first"], r["second"]): r.n for r in scans.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got["a0", None] == 15 and got["plan", "a0"] == 10 and got["offre", "un"] == 5 and got["sous", "traitant"] == 5
+    assert not {k for k in got if "tra" in k or "vail" in k} and ("le", "un") in got
 
 
 def test_context_and_digits(spark, make_root):
