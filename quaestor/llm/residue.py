@@ -116,13 +116,13 @@ def _holds(lowered: Column, literals: list[str]) -> Column:
 #: Same word three times in a row has no literal to look for and is tried on every text.
 _REPEATED = next(p for p in FILLER if r"\1" in p)
 _WORDED_FILLER = [p for p in FILLER if p != _REPEATED]
-#: One of the anchors; an alternation of literals is one scan, where as many searches are many.
-_FILLER_ANCHOR = r"\b(?:" + "|".join(LATIN.split()) + ")|" + "|".join(a for a in FILLER_ANCHORS if a not in LATIN.split())
+_PHRASES = [a for a in FILLER_ANCHORS if a not in LATIN.split()]
 
 
-def detected(text: Column, lowered: Column) -> Column:
-    """array of the detectors that a text trips: placeholder, filler."""
-    worded = lowered.rlike(_FILLER_ANCHOR) & text.rlike(any_of(_WORDED_FILLER))
+def detected(text: Column, lowered: Column, own: Column) -> Column:
+    """array of the detectors that a text with the terms ``own`` trips: placeholder, filler."""
+    latin = F.exists(own, lambda w: w.isin(*[x for x in LATIN.split() if len(x) >= 4]))
+    worded = (latin | _holds(lowered, _PHRASES)) & text.rlike(any_of(_WORDED_FILLER))
     return F.filter(
         F.array(
             F.when(_holds(text, PLACEHOLDER_ANCHORS) & text.rlike(any_of(PLACEHOLDERS)), F.lit("placeholder")),
@@ -144,16 +144,15 @@ def typical_terms(documents: DataFrame) -> list[str]:
     """
     rich = documents.select(terms(F.lower("text")).alias("t")).where(F.size("t") >= RICH_TERMS)
     # the empty term stands for the number of documents
-    counts = rich.select(F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = F.max(F.when(F.col("term") == "", F.col("df")))
-    n = counts.select(total.alias("n")).scalar()
+    counts = written(rich.select(F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    n = counts.where(F.col("term") == "").select("df").scalar()
     return [r.term for r in counts.where((F.col("df") >= TYPICAL_SHARE * n) & (F.col("term") != "")).select("term").collect()]
 
 
 def sentence_shapes(text: Column) -> Column:
     """64-bit hashes of the sentences of a text, lower-cased, digits masked; short ones left out."""
     masked = F.regexp_replace(F.lower(text), r"\p{N}+", "0")
-    sentences = F.transform(F.split(masked, r"\s*\n\s*|(?<=[.!?…؟])\s+"), lambda s: F.trim(s))
+    sentences = F.transform(F.split(masked, r"\n|(?<=[.!?…؟])\s+"), lambda s: F.trim(s))
     return F.array_distinct(F.transform(F.filter(sentences, lambda s: F.length(s) >= 8), lambda s: F.xxhash64(s)))
 
 
@@ -174,8 +173,8 @@ def judged(documents: DataFrame, typical: list[str]) -> DataFrame:
         F.filter(F.array(F.lower("doc_type"), F.lower("consultation_id")), lambda x: x.isNotNull() & (x != "")).alias("slug"),
     )
     # the title is the first line, if others follow
-    split_ = F.split(F.ltrim(F.regexp_replace("lowered", r"^\s+", "")), r"\s*\n\s*", 2)
-    titled = base.withColumn("parts", F.explode(F.array(F.when(F.size(F.filter(split_, lambda p: p != "")) == 2, split_).otherwise(F.array(F.lit(""), F.col("lowered"))))))
+    split_ = F.split(F.regexp_replace("lowered", r"^\s+", ""), r"\n", 2)
+    titled = base.withColumn("parts", F.explode(F.transform(F.array(split_), lambda p: F.when((F.size(p) == 2) & p[F.size(p) - 1].rlike(r"\S"), p).otherwise(F.array(F.lit(""), F.col("lowered"))))))
     body = F.col("parts")[1]
     found = titled.withColumn("t", F.explode(F.array(terms(body))))
     known = F.expr(f"size(filter(t, w -> w IN ({_quoted(typical)})))")
@@ -189,7 +188,7 @@ def judged(documents: DataFrame, typical: list[str]) -> DataFrame:
     return marked.select(
         "doc_id", "host", "suspect",
         F.when(F.col("suspect"), F.col("text").rlike(any_of(CUES))).otherwise(False).alias("cued"),
-        F.explode(F.array(detected(F.col("text"), F.col("lowered")))).alias("reasons"),
+        F.explode(F.array(detected(F.col("text"), F.col("lowered"), F.concat("t", terms(F.col("parts")[0]))))).alias("reasons"),
         F.when(F.col("suspect"), sentence_shapes(body)).alias("shapes"),
     )
 
