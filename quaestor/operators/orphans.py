@@ -1,18 +1,21 @@
 """Orphan references: records whose target is absent, withdrawn or came later.
 
-The tracker keeps, per relation, two keyed states and folds batches into them:
-
-* a parent index ``(pkey, first_at, last_at, swept)``: earliest arrival, and whether the
-  row with the latest arrival is withdrawn;
-* the references ``(record_id, first_at, last_at, swept, pkey, status)`` of the children.
-
-In each batch new or changed references probe the index, arriving parents resolve the
-references that wait for them, and withdrawals reopen them; all other references keep
-their status untouched. Folding is associative and commutative, so any cut of the history
-into batches ends in the same state. ``snapshot`` counts the open cases.
-
-Defined results: null or blank parts of a reference make it no reference (status
-``none``); rows without ``ingested_at`` or without an id are not records and are ignored;
+The tracker keeps, per relation:
+
+* ``pending``: the references that are orphans now, the only state that is rewritten;
+* runs: for each batch the records and the parents it brought, folded and written once. A
+  run holds ``(record_id, first_at, last_at, swept, pkey)`` or, for parents, ``(pkey,
+  first_at, last_at, swept)``; older runs are read by key and never rewritten.
+
+In each batch new or changed references probe the parents, arriving parents resolve the
+references that wait for them, and withdrawals reopen them: only records of the batch and
+records that refer to its parents are looked at, found in older runs by semi-joins on the
+batch's keys. All others keep their place in or out of ``pending``. Folding is associative
+and commutative, so any cut of the history into batches ends in the same state.
+``snapshot`` counts the open cases.
+
+Defined results: null or blank parts of a reference make it no reference; rows without
+``ingested_at`` or without an id are not records and are ignored;
 rows of one record with equal ``ingested_at`` are ordered by (withdrawn last, reference)
 so that the outcome does not depend on input order; empty tables give no cases; extra
 columns are never read.
@@ -22,15 +25,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.operators.skew import hot_keys, salted_left_join
-from quaestor.runtime import durable, table
+from quaestor.runtime import table, written
 
-NONE, OK, ABSENT, WITHDRAWN, LATE = "none", "ok", "absent", "withdrawn", "late"
-OPEN = (ABSENT, WITHDRAWN, LATE)
+ABSENT, WITHDRAWN, LATE = "absent", "withdrawn", "late"
 
 
 def joined_key(*parts: Column) -> Column:
@@ -84,92 +87,75 @@ def fold_parents(rows: DataFrame, relation: Relation) -> DataFrame:
     )
 
 
-def _merge_parents(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    if old is None:
-        return new
+def _together(runs: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, runs)
+
+
+def _merge_parents(runs: DataFrame) -> DataFrame:
     return (
-        old.unionByName(new)
-        .groupBy("pkey")
+        runs.groupBy("pkey")
         .agg(F.min("first_at").alias("first_at"), F.max(F.struct("last_at", "swept")).alias("cur"))
         .select("pkey", "first_at", "cur.last_at", "cur.swept")
     )
 
 
-def _merge_children(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Old state and batch by record; ``status`` is null where the record changed."""
-    fresh = new.select("*", F.lit(None).cast("string").alias("status"))
-    if old is None:
-        return fresh
+def _merge_children(runs: DataFrame) -> DataFrame:
     pick = F.max(F.struct("last_at", "swept", F.coalesce("pkey", F.lit("")).alias("ref")))
     return (
-        old.unionByName(fresh)
-        .groupBy("record_id")
-        .agg(
-            F.min("first_at").alias("first_at"),
-            pick.alias("cur"),
-            F.count("*").alias("_n"),
-            F.max("status").alias("_status"),
-        )
-        .select(
-            "record_id",
-            "first_at",
-            "cur.last_at",
-            "cur.swept",
-            F.expr("nullif(cur.ref, '')").alias("pkey"),
-            # a record met in both old and batch is probed again
-            F.when(F.col("_n") == 1, F.col("_status")).alias("status"),
-        )
+        runs.groupBy("record_id")
+        .agg(F.min("first_at").alias("first_at"), pick.alias("cur"))
+        .select("record_id", "first_at", "cur.last_at", "cur.swept", F.expr("nullif(cur.ref, '')").alias("pkey"))
     )
 
 
-def _probe(children: DataFrame, parents: DataFrame, hot: list[str]) -> DataFrame:
-    """Status of each reference against the parent index; hot parents are split."""
+def _orphans(children: DataFrame, parents: DataFrame, hot: list[str]) -> DataFrame:
+    """(record_id, first_at, status) of the references that have no valid target; hot parents are split."""
     index = parents.select("pkey", F.col("first_at").alias("_p_first"), F.col("swept").alias("_p_swept"))
-    joined = salted_left_join(children, index, "pkey", "record_id", hot)
+    referring = children.where(~F.col("swept") & F.col("pkey").isNotNull())
+    joined = salted_left_join(referring, index, "pkey", "record_id", hot)
     status = (
-        F.when(F.col("pkey").isNull(), F.lit(NONE))
-        .when(F.col("_p_first").isNull(), F.lit(ABSENT))
+        F.when(F.col("_p_first").isNull(), F.lit(ABSENT))
         .when(F.col("_p_swept"), F.lit(WITHDRAWN))
         .when(F.col("_p_first") > F.col("first_at"), F.lit(LATE))
-        .otherwise(F.lit(OK))
     )
-    return joined.select("record_id", "first_at", "last_at", "swept", "pkey", status.alias("status"))
+    return joined.select("record_id", "first_at", status.alias("status")).where(F.col("status").isNotNull())
 
 
 class OrphanTracker:
-    """Keyed pending-orphan state of one relation, advanced batch by batch."""
+    """Pending-orphan state of one relation, advanced batch by batch."""
 
     def __init__(self, relation: Relation):
         self.relation = relation
-        self.parents: DataFrame | None = None
-        self.children: DataFrame | None = None
+        self.records: list[DataFrame] = []
+        self.parents: list[DataFrame] = []
+        self.pending: DataFrame | None = None
         self.hot: set[str] = set()
         self.batches = 0
 
-    def advance(self, child_rows: DataFrame, parent_rows: DataFrame, last: bool = False) -> "OrphanTracker":
-        """Fold one batch in; the state is cut into the shared folder unless it is the last."""
-        arrived = fold_parents(parent_rows, self.relation)
-        self.hot |= set(hot_keys(child_rows.select(self.relation.reference.alias("ref")), "ref"))
-        hot = sorted(self.hot)
-        merged = _merge_children(self.children, fold_children(child_rows, self.relation))
-        first = self.children is None
-        self.parents = _merge_parents(self.parents, arrived)
-        if first:
-            self.children = _probe(merged, self.parents, hot)
+    def advance(self, child_rows: DataFrame, parent_rows: DataFrame) -> "OrphanTracker":
+        """Fold one batch in; what it brought and the new pending state go to the shared folder."""
+        fresh = written(fold_children(child_rows, self.relation))
+        arrived = written(fold_parents(parent_rows, self.relation))
+        self.hot |= set(hot_keys(fresh, "pkey"))
+        if self.pending is None:
+            self.pending = written(_orphans(fresh, arrived, sorted(self.hot)))
         else:
-            touched = arrived.select("pkey", F.lit(True).alias("_touched"))
-            marked = salted_left_join(merged, touched, "pkey", "record_id", hot).drop("_right_key")
-            again = F.col("status").isNull() | F.col("_touched").isNotNull()
-            keep = marked.where(~again).drop("_touched")
-            self.children = keep.unionByName(_probe(marked.where(again).drop("_touched"), self.parents, hot))
+            known = _together(self.records)
+            waiting = known.join(arrived.select("pkey"), "pkey", "left_semi").select("record_id")
+            touched = written(fresh.select("record_id").unionByName(waiting).distinct())
+            current = written(_merge_children(known.join(touched, "record_id", "left_semi").unionByName(fresh)))
+            wanted = current.select("pkey").where(F.col("pkey").isNotNull()).distinct()
+            index = _merge_parents(_together([*self.parents, arrived]).join(wanted, "pkey", "left_semi"))
+            kept = self.pending.join(touched, "record_id", "left_anti")
+            self.pending = written(kept.unionByName(_orphans(current, index, sorted(self.hot))))
+        self.records.append(fresh)
+        self.parents.append(arrived)
         self.batches += 1
-        if not last:
-            self.parents, self.children = durable(self.parents), durable(self.children)
         return self
 
     def cases(self) -> DataFrame:
         """Open cases: current references, not withdrawn themselves, that have no valid target."""
-        return self.children.where(~F.col("swept") & F.col("status").isin(*OPEN)).select(
+        return self.pending.select(
             F.lit(self.relation.name).alias("table_name"),
             "record_id",
             F.date_format(F.to_utc_timestamp("first_at", F.current_timezone()), "yyyy-MM").alias("period"),
@@ -215,8 +201,8 @@ def track_documents(spark: SparkSession, root: str, cuts: list[str] | None = Non
     cuts = cuts or []
     for relation, child, parent in ((files, "offer_files", "offer_documents"), (documents, "offer_documents", "offers")):
         tracker = OrphanTracker(relation)
-        for k, (children, parents) in enumerate(zip(_slices(tables[child], cuts), _slices(tables[parent], cuts))):
-            yield tracker.advance(children, parents, last=k == len(cuts))
+        for children, parents in zip(_slices(tables[child], cuts), _slices(tables[parent], cuts)):
+            yield tracker.advance(children, parents)
 
 
 #: The history is folded in two batches: an initial load and what came after it.
