@@ -54,8 +54,8 @@ _WEEKDAY = r"(?:\p{L}+\.?,?\s+)?"
 
 #: name, pattern, positions of year, month, day, hour, minute, second, am/pm, zone groups
 _PATTERNS = [
-    ("iso", rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?:{_GAP}{_CLOCK}{_ZONE})?$", (1, 2, 3, 4, 5, 6, 7, (8, 9, 10))),
     ("dmy", rf"^{_WEEKDAY}(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}})(?:{_GAP}{_CLOCK}{_ZONE})?$", (3, 2, 1, 4, 5, 6, 7, (8, 9, 10))),
+    ("iso", rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?:{_GAP}{_CLOCK}{_ZONE})?$", (1, 2, 3, 4, 5, 6, 7, (8, 9, 10))),
     ("basic", rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[T ]?(\d{{2}})(\d{{2}})(\d{{2}})?{_ZONE})?$", (1, 2, 3, 4, 5, 6, 0, (7, 8, 9))),
     ("named", rf"^{_WEEKDAY}(\d{{1,2}})(?:er|ère|e|st|nd|rd|th)?[\s\-]+(?:de\s+)?(\p{{L}}+)\.?,?[\s\-]+(?:de\s+)?(\d{{4}}|\d{{2}})(?:{_GAP}{_CLOCK}{_ZONE})?$", (3, 2, 1, 4, 5, 6, 7, (8, 9, 10))),
     ("mdy", rf"^(\p{{L}}+)\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:{_GAP}{_CLOCK}{_ZONE})?$", (3, 1, 2, 4, 5, 6, 7, (8, 9, 10))),
@@ -89,19 +89,21 @@ def _month_number(name: Column) -> Column:
     return F.element_at(F.create_map(*pairs), F.lower(name))
 
 
-def _captured(text: Column) -> Column:
-    """Fields of the first pattern that fits, in one order, as an array of strings; else null.
+#: What stands between captured fields; values that hold one themselves are of no known form.
+_MARK = "\x1f"
+
+
+def _captured(cells: Column) -> Column:
+    """Fields of the first pattern that fits each text of an array, joined in one order by ``_MARK``.
 
-    One replacement per pattern instead of one extraction per field keeps the generated
-    code small. Groups that took no part come out empty.
+    Each pattern is one replacement, tried on texts that no earlier one has taken apart; texts
+    that fit none stay as they are. Groups that took no part come out empty.
     """
-    out = None
     for _, pattern, (gy, gm, gd, gh, gi, gs, ga, zones) in _PATTERNS:
         order = (gy, gm, gd, gh, gi, gs, ga, *zones)
-        fields = F.regexp_replace(text, pattern, "|".join(f"${g}" if g else "" for g in order))
-        fits = text.rlike(pattern)
-        out = F.when(fits, fields) if out is None else out.when(fits, fields)
-    return F.split(out, r"\|", -1)
+        fields = _MARK.join(f"${g}" if g else "" for g in order)
+        cells = F.transform(cells, lambda t: F.when(t.contains(_MARK), t).otherwise(F.regexp_replace(t, pattern, fields)))  # noqa: B023
+    return cells
 
 
 def _local_struct(fields: Column, default_zone: Column) -> Column:
@@ -215,6 +217,17 @@ def segments_table(spark: SparkSession, zones: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "_z_zone string, _z_year int, _z_lo long, _z_hi long, _z_matches int, _z_offset long")
 
 
+def zones_named(df: DataFrame, text: str, default_zone: str) -> list[str]:
+    """The IANA zones that values or defaults name: no more than there are, since others are dropped.
+
+    Values are searched for a name only, not parsed.
+    """
+    written_out = F.when(F.col(text).rlike(r"\p{L}/\p{L}"), F.regexp_extract(text, r"([A-Za-z_]+(?:/[A-Za-z0-9_+\-]+)+)", 1))
+    bare = F.when(F.col(text).contains("["), F.regexp_extract(text, r"\[([A-Za-z_]+)\]", 1))
+    names = df.select(F.explode(F.array(F.col(default_zone), written_out, bare)).alias("zone")).where(F.col("zone").isin(*sorted(available_timezones())))
+    return sorted(r.zone for r in names.distinct().collect())
+
+
 def to_instants(df: DataFrame, text: str, default_zone: str) -> DataFrame:
     """Adds ``utc`` (timestamp or null if unreadable) and ``clock`` to the rows of ``df``.
 
@@ -222,17 +235,15 @@ def to_instants(df: DataFrame, text: str, default_zone: str) -> DataFrame:
     else ``once``; null where the value is unreadable. ``default_zone`` names a column.
     """
     spark = df.sparkSession
-    clean = F.translate(F.trim(F.regexp_replace(F.col(text), r"[\s\u00a0\u202f]+", " ")), ARABIC_DIGITS, ASCII_DIGITS)
+    plain = F.translate(F.col(text), ARABIC_DIGITS + _MARK, ASCII_DIGITS + "?")
+    clean = F.trim(F.regexp_replace(plain, r"[\s\u00a0\u202f]+", " "))
     # bound in lambdas and behind a generator, each step is computed once and not copied into filters
-    read = F.transform(F.array(clean), lambda t: F.struct(t.alias("t"), _captured(t).alias("f")))
     read = F.transform(
-        read, lambda x: F.coalesce(_counted(x["t"]), F.when(x["f"].isNotNull(), _local_struct(x["f"], F.col(default_zone))))
+        _captured(F.array(clean)),
+        lambda x: F.when(x.contains(_MARK), _local_struct(F.split(x, _MARK, -1), F.col(default_zone))).otherwise(_counted(x)),
     )
     parsed = df.withColumn("_p", F.explode(read))
-    known = available_timezones()
-    # names of zones in use: at most as many as there are IANA zones, since others are dropped here
-    names = [r[0] for r in parsed.where(F.col("_p.zone").isNotNull() & F.col("_p.zone").isin(*sorted(known))).select("_p.zone").distinct().collect()]
-    segments = segments_table(spark, sorted(names))
+    segments = segments_table(spark, zones_named(df, text, default_zone))
     local, near = F.col("_p.local"), F.col("_near")
     joined = parsed.withColumn("_near", covered_local(local)).withColumn("_year", F.year(F.timestamp_seconds(near))).join(
         F.broadcast(segments),
