@@ -58,6 +58,7 @@ def normalize_text(text: Column) -> Column:
 
 def normalize_locations(text: Column) -> Column:
     """The value and its parts, normalised, without kind prefixes, the country, blanks and repeats; in order."""
+    # fixed values: what separates parts, and the kinds taken off
     parts = F.concat(F.array(text), F.split(text, r"[,;/|\-–—]"))
     plain = F.transform(
         parts, lambda p: F.regexp_replace(normalize_text(p), r"^(?:region|prefecture|province)\s+(?:de|d')\s+", "")
@@ -104,10 +105,10 @@ def document_type(searchable: Column, url: Column) -> Column:
 
 
 def clean_cell(text: Column) -> Column:
-    """Text of a table cell: line ends, times signs and dollar wrappings taken off."""
+    """Text of a table cell: line ends, times signs and dollar wrappings, blanks inside them or not, taken off."""
     out = F.replace(text, F.lit("\n"), F.lit(" "))
-    out = F.regexp_replace(out, r"\$\\times\$", "x")
-    return collapse(F.regexp_replace(out, r"\$([^$]*)\$", "$1"))
+    out = F.regexp_replace(out, r"\$\s*\\times\s*\$", "x")
+    return collapse(F.regexp_replace(out, r"\$\s*([^$]*?)\s*\$", "$1"))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -135,7 +136,7 @@ def script_language(arabic: Column, latin: Column, threshold: float = 0.15) -> C
     )
 
 
-#: ``12``, ``- 12 -``, ``12/48``, ``Page 12 of 48``, roman numerals.
+# Fixed values: ``12``, ``- 12 -``, ``12/48``, ``Page 12 of 48``, roman numerals.
 PAGE_NUMBER = r"(?i)^(page|p\.?|pg\.?)?\s*[\[\(\-–—]*\s*[\divxlcdm]+\s*(/|sur|of|de)?\s*[\divxlcdm]*\s*[\]\)\-–—.]*$"
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from quaestor.sources.html import form_values, table_cells
+from quaestor.sources.html import cells_of, form_values
 
 FIELDS = ("reference", "objet", "acheteur_public", "lieu_execution", "date_publication", "date_limite")
 SCHEMA = "page int, pos int, consultation_id string, org_acronyme string, " + ", ".join(f"{f} string" for f in FIELDS)
@@ -30,9 +30,9 @@ def parse_page(html: str, expected: int) -> list[tuple]:
     if int(stated) != expected:
         raise ValueError(f"page {stated} where {expected} was due")
     rows: dict[int, list[str]] = {}
-    for r, _, _, _, text, head in table_cells(html):
+    for row, _, text, _, _, head in cells_of(html):
         if not head:
-            rows.setdefault(r, []).append(text)
+            rows.setdefault(row, []).append(" ".join(text.split()))
     keys = _KEY.findall(html)
     out = []
     for n, cells in enumerate(c for c in rows.values() if len(c) >= 6):

@@ -5,7 +5,10 @@ import zipfile
 import pytest
 from conftest import rows
 
+from pyspark.sql import functions as F
+
 from quaestor.operators import blocks as op
+from quaestor.operators import tables as tb
 from quaestor.runtime import table
 from quaestor.sources import archives, html
 from quaestor.sources.catalogue import CatalogueSource, parse_page
@@ -54,7 +57,6 @@ def test_furniture_and_families(spark, make_root):
     assert {r.id for r in op.strip_furniture(b, p).collect()} == {"b1", "b2", "b3", "b4", "b20", "b22"}
     family = {r.key: r.family for r in op.margin_families(op.banded(b, p)).collect()}
     assert len({family[f"cps 12/2025 - page {n}"] for n in range(1, 5)}) == 1 and family["commune de x"] != family["cps 12/2025 - page 1"]
-    assert op.families(["abcdef", "abcdeg", "zzz"]) == [0, 0, 2] and op.families([]) == []
 
 
 def test_furniture_families_match_brute_force(spark, make_root):
@@ -122,14 +124,72 @@ def test_overlaps_match_all_pairs(spark, make_root):
     assert got == want
 
 
-def test_table_cells_and_merge():
-    cells = html.table_cells("<table><thead><tr><th>N<th>Prix</thead><tr><td rowspan=2>1<td>a|b<tr><td>c</table>")
-    assert html.grid(cells) == [["N", "Prix"], ["1", "a|b"], ["1", "c"]]
-    assert html.to_markdown(cells) == "| N | Prix |\n| --- | --- |\n| 1 | a\\|b |\n| 1 | c |"
-    assert html.table_cells(html.to_html(cells)) == [(r, c, d, a, t, h) for r, c, d, a, t, h in cells]
-    assert html.to_markdown([]) == "" and html.table_cells(None) == []
-    more = html.table_cells("<table><tr><th>n <th>prix<tr><td><td>d<tr><td>2<td>e</table>")
-    assert html.grid(html.merge_fragments([cells, more])) == [["N", "Prix"], ["1", "a|b"], ["1", "c"], ["1", "d"], ["2", "e"]]
+def test_components(spark):
+    from quaestor.operators.components import component_labels
+
+    chain = [(1, f"{k:03}", f"{k + 1:03}") for k in range(40)] + [(2, "b", "a"), (2, "c", "b"), (3, "x", "x")]
+    got = rows(component_labels(spark.createDataFrame(chain, "g int, a string, b string"), "g", "a", "b"))
+    assert got == sorted([(1, f"{k:03}", "000") for k in range(41)] + [(2, x, "a") for x in "abc"] + [(3, "x", "x")], key=repr)
+
+
+def brute_layout(raw):
+    """(row, col) of each cell in turn, on an explicit grid of marks."""
+    marks, out = set(), []
+    for r in sorted({x[0] for x in raw}):
+        c = 0
+        for _, _, _, down, across, _ in (x for x in raw if x[0] == r):
+            while (r, c) in marks:
+                c += 1
+            out.append((r, c))
+            marks |= {(r + i, c + j) for i in range(down) for j in range(across)}
+            c += across
+    return out
+
+
+def test_layout_matches_brute_force(spark):
+    import random
+
+    rng, given = random.Random(1), []
+    for t in range(30):
+        given.append((t, "<table>" + "".join("<tr>" + "".join(f"<td rowspan={rng.choice([0, 1, 1, 2, 3])} colspan={rng.choice(['x', 1, 1, 2])}>{rng.random()}</td>" for _ in range(rng.randint(0, 4))) + "</tr>" for _ in range(rng.randint(0, 6))) + "</table>"))
+    raw = html.raw_cells(spark.createDataFrame(given, "table_id long, html string"))
+    got = {}
+    for r in tb.laid_out(raw).collect():
+        got.setdefault(r.table_id, []).append((r.row, r.col))
+    assert {t: sorted(x) for t, x in got.items()} == {t: sorted(brute_layout(html.cells_of(h))) for t, h in given if html.cells_of(h)}
+
+
+def cells_of(spark, *tables):
+    return tb.laid_out(html.raw_cells(spark.createDataFrame(list(enumerate(tables)), "table_id long, html string")))
+
+
+def test_table_texts(spark):
+    one = "<table><thead><tr><th>N<th>Prix &amp; $ \\times $</thead><tr><td rowspan=2>1<td>a|b<tr></tr><tr><td>3 $ 4 $<td>\"d\"</table>"
+    cells = cells_of(spark, one, "", None)
+    assert rows(tb.extents(cells, "table_id")) == [(0, 4, 2)]
+    assert [r.texts for r in sorted(tb.grid_rows(cells, "table_id").collect(), key=lambda r: r.r)] == [["N", "Prix & x"], ["1", "a|b"], ["1", ""], ["3 4", '"d"']]
+    assert rows(tb.markdown(cells, "table_id")) == [(0, '| N | Prix & x |\n| --- | --- |\n| 1 | a\\|b |\n| 1 |  |\n| 3 4 | "d" |')]
+    again = tb.html_text(cells, "table_id").collect()[0].html
+    assert again.startswith("<table><tr><th>N</th><th>Prix &amp; x</th></tr><tr><td rowspan=\"2\">1</td>") and "<tr></tr>" in again and "&quot;d&quot;" in again
+    assert rows(cells_of(spark, again).drop("table_id")) == rows(cells.drop("table_id"))
+
+
+def test_fusion_over_page_breaks(spark):
+    parts = [
+        "<table><tr><th>Lot<th>Article<th>Prix<tr><td rowspan=2>1<td>a<td>1<tr><td>b<td>2</table>",
+        "<table><tr><td>LOT <td>article<td>Montant<tr><td><td>c<td>3<tr><td><td><td>4<tr><td>2<td>d<td>5<tr><td><td>e<td>6</table>",
+        "<table><tr><td colspan=2><td>7<tr><td><td>f<td>8</table>",
+    ]
+    cells = cells_of(spark, *parts).withColumn("fragment", F.col("table_id").cast("int")).withColumn("table_id", F.lit(0))
+    got = [r.texts for r in sorted(tb.grid_rows(tb.fused(cells), "table_id").collect(), key=lambda r: r.r)]
+    # two of three header cells are no reprint at 0.7; the lot is carried on below the seam, and no further than the next value
+    assert got == [["Lot", "Article", "Prix"], ["1", "a", "1"], ["1", "b", "2"], ["LOT", "article", "Montant"], ["", "c", "3"], ["", "", "4"], ["2", "d", "5"], ["", "e", "6"], ["", "", "7"], ["", "f", "8"]]
+    parts[1] = parts[1].replace("Montant", "PRIX")
+    cells = cells_of(spark, *parts).withColumn("fragment", F.col("table_id").cast("int")).withColumn("table_id", F.lit(0))
+    assert rows(tb.reprinted_rows(cells)) == [(0, 0, 3, 0), (0, 1, 5, 1), (0, 2, 2, 0)]
+    got = [r.texts for r in sorted(tb.grid_rows(tb.fused(cells), "table_id").collect(), key=lambda r: r.r)]
+    assert got == [["Lot", "Article", "Prix"], ["1", "a", "1"], ["1", "b", "2"], ["1", "c", "3"], ["1", "", "4"], ["2", "d", "5"], ["", "e", "6"], ["", "", "7"], ["", "f", "8"]]
+    assert rows(tb.fused(cells.limit(0))) == []
 
 
 def test_forms():
