@@ -28,13 +28,38 @@ def active(deadline: Column, now: str = NOW) -> Column:
     return F.coalesce(deadline > F.lit(now_seconds(now)), F.lit(False))
 
 
+def shown_deadline(text: Column, zone: str = ZONE) -> Column:
+    """Epoch seconds of the deadline as pages show it: the first date in the text, at 23:59 without a time; else null.
+
+    Days and months beyond the calendar run over into what follows. The zone's offset is the
+    one at the clock time taken as UTC.
+    """
+    part = lambda k: F.regexp_extract(text, r"(\d{2})/(\d{2})/(\d{4})(?:\s+(\d{2}):(\d{2}))?", k)
+    number = lambda k, missing: F.when(part(k) == "", F.lit(missing)).otherwise(part(k).try_cast("int"))
+    start = F.add_months(F.make_date(part(3).try_cast("int"), F.lit(1), F.lit(1)), number(2, 1) - 1)
+    guess = (F.unix_date(start) + number(1, 1) - 1).cast("long") * 86400 + number(4, 23) * 3600 + number(5, 59) * 60
+    local = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(guess), zone))
+    return F.when(part(3) != "", 2 * guess - local)
+
+
 def days_left(deadline: Column, now: str = NOW) -> Column:
     return F.ceil((deadline - F.lit(now_seconds(now))) / F.lit(86400)).cast("int")
 
 
-def urgency(deadline: Column, now: str = NOW) -> Column:
-    """unknown, expired, urgent (3 days), soon (10 days) or open."""
-    days = days_left(deadline, now)
-    return (
-        F.when(deadline.isNull(), "unknown").when(days <= 0, "expired").when(days <= 3, "urgent").when(days <= 10, "soon").otherwise("open")
-    )
+# From how many days left which words and tone are shown.
+LAST_DAY, WARNED, COUNTED = 1, 7, 30
+
+
+def urgency(days: Column) -> Column:
+    """The words beside a deadline in a list; empty where it is far off or unknown."""
+    counted = F.concat(days.cast("string"), F.lit(" jours restants"))
+    return F.when(days <= LAST_DAY, "Dernier jour").when(days <= COUNTED, counted).otherwise("")
+
+
+def urgency_detail(days: Column) -> Column:
+    """The words beside the deadline of one offer; empty where it is unknown."""
+    return F.when(days.isNull(), "").when(days > COUNTED, "Offre active").otherwise(urgency(days))
+
+
+def tone(days: Column) -> Column:
+    return F.when(days <= LAST_DAY, "chip-error").when(days <= WARNED, "chip-warning").when(days.isNotNull(), "chip-neutral")

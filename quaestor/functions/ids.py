@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 INDEX_VERSION = "1"
 # Hosts that addresses may name.
-ALLOWED_HOSTS = ("marchespublics.gov.ma", "www.marchespublics.gov.ma", "portail.example")
+ALLOWED_HOSTS = ("marchespublics.gov.ma", "www.marchespublics.gov.ma")
 
 # Media types by extension.
 MEDIA_TYPES = {

@@ -27,10 +27,11 @@ def upsert_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 
 def mark_and_sweep(spark: SparkSession, root: str) -> DataFrame:
+    """The snapshot after the run that delivered last has completed: what it did not see is gone."""
     snapshot = upsert_snapshot(spark, root)
-    last = snapshot.agg(F.max("last_seen_run_id").alias("run"))
-    # one row, from an aggregate without keys
-    return snapshot.join(F.broadcast(last), F.col("last_seen_run_id") == F.col("run")).select(*KEY, "last_seen_run_id")
+    # run ids say nothing of their order
+    last = table(spark, root, "offers").agg(F.max_by("last_seen_run_id", F.struct("ingested_at", "last_seen_run_id")).alias("run"))
+    return cdc.sweep(snapshot, last.select("run").scalar()).select(*KEY, "last_seen_run_id")
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ _SYNC = f"""
 
 ORACLES = {
     "upsert_snapshot": _UPSERT,
-    "mark_and_sweep": f"WITH u AS ({_UPSERT}) SELECT consultation_id, org_acronyme, last_seen_run_id FROM u WHERE last_seen_run_id = (SELECT max(last_seen_run_id) FROM u)",
+    "mark_and_sweep": f"WITH u AS ({_UPSERT}) SELECT consultation_id, org_acronyme, last_seen_run_id FROM u WHERE last_seen_run_id = (SELECT last_seen_run_id FROM offers WHERE last_seen_run_id IS NOT NULL ORDER BY ingested_at DESC, last_seen_run_id DESC LIMIT 1)",
     "hash_diff_sync": _SYNC,
     "sync_counts": f"SELECT action, count(*) AS n FROM ({_SYNC}) GROUP BY 1",
     "stale_ids": f"SELECT DISTINCT consultation_id, org_acronyme FROM {_newest(_EARLY)} k WHERE NOT EXISTS (SELECT 1 FROM {_newest('true')} a WHERE a.swept_at IS NULL AND a.consultation_id = k.consultation_id AND a.org_acronyme = k.org_acronyme)",

@@ -89,7 +89,8 @@ def q_storage_keys(spark: SparkSession, root: str) -> DataFrame:
 
 def q_allowed_urls(spark: SparkSession, root: str) -> DataFrame:
     o = table(spark, root, "offers")
-    return o.select("offer_row", ids.allowed_url(F.col("source_url")).alias("allowed"))
+    # the test tables' addresses are on a host of their own
+    return o.select("offer_row", ids.allowed_url(F.col("source_url"), (*ids.ALLOWED_HOSTS, "portail.example")).alias("allowed"))
 
 
 def q_media_types(spark: SparkSession, root: str) -> DataFrame:
@@ -105,8 +106,8 @@ def q_parse_deadline(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_deadline_urgency(spark: SparkSession, root: str) -> DataFrame:
-    o = table(spark, root, "offers").withColumn("deadline", dates.parse_deadline(F.col("date_limite")))
-    return o.select("offer_row", dates.days_left(F.col("deadline")).alias("days"), dates.urgency(F.col("deadline")).alias("urgency"))
+    o = table(spark, root, "offers").withColumn("shown", dates.shown_deadline(F.col("date_limite"))).withColumn("days", dates.days_left(F.col("shown")))
+    return o.select("offer_row", "shown", "days", dates.urgency(F.col("days")).alias("urgency"), dates.urgency_detail(F.col("days")).alias("detail"), dates.tone(F.col("days")).alias("tone"))
 
 
 def q_active_offers(spark: SparkSession, root: str) -> DataFrame:
@@ -198,7 +199,7 @@ ORACLES = {
     """,
     "collapse": f"SELECT doc_id, md5(trim(regexp_replace(text, '{SPACES}', ' ', 'g'))) AS digest FROM documents",
     "clean_cell": f"""
-        SELECT doc_id, id, n, trim(regexp_replace(regexp_replace(regexp_replace(replace(cell, chr(10), ' '), '\\$\\\\times\\$', 'x', 'g'), '\\$([^$]*)\\$', '\\1', 'g'), '{SPACES}', ' ', 'g')) AS cell FROM (
+        SELECT doc_id, id, n, trim(regexp_replace(regexp_replace(regexp_replace(replace(cell, chr(10), ' '), '\\$\\s*\\\\times\\s*\\$', 'x', 'g'), '\\$\\s*([^$]*?)\\s*\\$', '\\1', 'g'), '{SPACES}', ' ', 'g')) AS cell FROM (
             SELECT doc_id, id, unnest(string_split(text, '|')) AS cell, unnest(range(0, len(string_split(text, '|'))))::INT AS n FROM {_B} WHERE type = 'table')
     """,
     "script_language": r"""
@@ -238,9 +239,15 @@ ORACLES = {
         FROM (SELECT DISTINCT ON (id) * FROM offer_files) f LEFT JOIN m ON m.ext = lower(regexp_extract(relative_path, '\\.([A-Za-z0-9]+)$', 1))
     """,
     "parse_deadline": f"SELECT offer_row, {SQL_DEADLINE} AS deadline FROM offers",
-    "deadline_urgency": f"""
-        SELECT offer_row, days, CASE WHEN d IS NULL THEN 'unknown' WHEN days <= 0 THEN 'expired' WHEN days <= 3 THEN 'urgent' WHEN days <= 10 THEN 'soon' ELSE 'open' END AS urgency
-        FROM (SELECT offer_row, d, ceil((d - {_NOW}) / 86400.0)::INT AS days FROM (SELECT offer_row, {SQL_DEADLINE} AS d FROM offers))
+    "deadline_urgency": rf"""
+        WITH m AS (SELECT offer_row, regexp_extract(date_limite, '(\d{{2}})/(\d{{2}})/(\d{{4}})(?:\s+(\d{{2}}):(\d{{2}}))?', ['d', 'm', 'y', 'h', 'i']) AS p FROM offers),
+        g AS (SELECT offer_row, CASE WHEN p.y <> '' THEN epoch(make_date(nullif(p.y, '')::INT, 1, 1)::TIMESTAMP + to_months(nullif(p.m, '')::INT - 1) + to_days(nullif(p.d, '')::INT - 1))::BIGINT
+                + coalesce(nullif(p.h, '')::INT, 23) * 3600 + coalesce(nullif(p.i, '')::INT, 59) * 60 END AS g FROM m),
+        s AS (SELECT offer_row, 2 * g - epoch(to_timestamp(g) AT TIME ZONE 'Africa/Casablanca')::BIGINT AS shown FROM g),
+        x AS (SELECT *, ceil((shown - {_NOW}) / 86400.0)::INT AS days FROM s)
+        SELECT offer_row, shown, days, CASE WHEN days <= 1 THEN 'Dernier jour' WHEN days <= 30 THEN days || ' jours restants' ELSE '' END AS urgency,
+               CASE WHEN days IS NULL THEN '' WHEN days <= 1 THEN 'Dernier jour' WHEN days <= 30 THEN days || ' jours restants' ELSE 'Offre active' END AS detail,
+               CASE WHEN days <= 1 THEN 'chip-error' WHEN days <= 7 THEN 'chip-warning' WHEN days IS NOT NULL THEN 'chip-neutral' END AS tone FROM x
     """,
     "active_offers": f"SELECT * FROM (SELECT offer_row, objet, {SQL_DEADLINE} AS deadline FROM offers WHERE trim(objet) <> '') WHERE deadline > {_NOW}",
     "offer_payload": f"""
