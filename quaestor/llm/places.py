@@ -1,19 +1,22 @@
 """Free-typed places mapped to a reference list.
 
 A value is cut into entries; words that only add kind, part, surroundings or country are
-taken off. Each entry is looked up in a BK-tree over all names of the reference list, under
-the unrestricted Damerau-Levenshtein distance (a true metric, so the triangle inequality
-prunes exactly): once as typed and once with common respellings folded. The nearest name
-within the threshold wins; entries beyond it are reported as place 0.
+taken off. What is left, in one spelling (w as ou, c and q as k, y as i), is looked up in a
+BK-tree over all names of the reference list in the same spelling, under the unrestricted
+Damerau-Levenshtein distance (a true metric, so the triangle inequality prunes exactly). The
+nearest name within the threshold wins; entries beyond it are reported as place 0.
 
-The list is broadcast in shards of at most ``SHARD_ENTRIES`` names. One shard is one pass;
-with more, every shard returns its best match and the nearest of the shards' winners is
+Each distinct value is looked up once and joined back to its rows; a value that holds a
+large share of them is split by AQE's skew join.
+
+The list is broadcast in shards of at most ``SHARD_ENTRIES`` names; a worker builds the tree
+of a shard once. With more than one, every shard returns its best match and the nearest of the shards' winners is
 kept, so the list may grow without any broadcast growing.
 
 Defined results: null and blank values, and values equal to a listed name, are no cases; a
-value with no entry left (only a country, say) is place 0; repeated rows count once; ties
-between two listed names at equal distance go to the lower place_id; an empty reference
-list makes every value place 0; extra columns are never read.
+value with no entry left (only a country, say) is place 0; repeated rows come out as often as
+they came in; ties between two listed names at equal distance go to the lower place_id; an
+empty reference list makes every value place 0; extra columns are never read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.runtime import table
+from quaestor.runtime import table, written
 
 SHARD_ENTRIES = 50_000
 #: Edits allowed by length of the entry: none below SHORT letters, one below LONG, then two.
@@ -68,24 +71,32 @@ def folded(key: str) -> str:
 
 
 def distance(a: str, b: str, most: int | None = None) -> int:
-    """Unrestricted Damerau-Levenshtein distance."""
+    """Unrestricted Damerau-Levenshtein distance; beyond ``most`` any number above it."""
     if a == b:
         return 0
+    if most is not None and abs(len(a) - len(b)) > most:
+        return most + 1
     last: dict[str, int] = {}
     far = len(a) + len(b)
     rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
+    least = 0  # of what any row so far can still lead to, less the steps since
     for i, x in enumerate(a, 1):
         row, match = [far, i], 0
+        above = rows[i]
         for j, y in enumerate(b, 1):
             k, m = last.get(y, 0), match
             if x == y:
-                cost = rows[i][j]
+                cost = above[j]
                 match = j
             else:
-                cost = min(rows[i][j], row[j], rows[i][j + 1]) + 1
+                cost = min(above[j], row[j], above[j + 1]) + 1
             row.append(min(cost, rows[k][m] + (i - k - 1) + 1 + (j - m - 1)))
         rows.append(row)
         last[x] = i
+        # a later row grows from this one, or by a transposition from an earlier one, a step for each row between
+        least = min(least, min(row) - i)
+        if most is not None and min(row) > most and least + i > most:
+            return most + 1
     return rows[-1][-1]
 
 
@@ -118,7 +129,8 @@ class BKTree:
         found, todo = [], [self.root] if self.root else []
         while todo:
             name, idents, children = todo.pop()
-            d = distance(query, name)
+            # beyond this neither the name nor a child can be near
+            d = distance(query, name, most + max(children, default=0))
             if d <= most:
                 found += [(d, i) for i in idents]
             todo += [child for step, child in children.items() if d - most <= step <= d + most]
@@ -139,12 +151,10 @@ def entries(value: str) -> list[list[str]]:
     return out
 
 
-def listed_kinds(names: Iterator[str]) -> set[str]:
-    """Kind words that listed names hold themselves and that must not be taken off."""
-    out: set[str] = set()
-    for name in names:
-        out |= _KIND_SET.intersection(_WORDS.findall(plain(name)))
-    return out
+def listed_kinds(names: DataFrame) -> set[str]:
+    """Kind words that listed names hold themselves and that must not be taken off (no more than there are kind words)."""
+    held = F.pandas_udf(lambda held_names: held_names.map(lambda n: [w for w in _WORDS.findall(plain(n)) if w in _KIND_SET]), "array<string>")
+    return {r.w for r in names.select(F.explode(held("name")).alias("w")).distinct().collect()}
 
 
 def name_of(entry: str, kinds: set[str]) -> str:
@@ -158,24 +168,22 @@ def name_of(entry: str, kinds: set[str]) -> str:
 
 
 class Matcher:
-    """Looks up entries in the trees of one shard of the reference list."""
+    """Looks up entries in the tree of one shard of the reference list."""
 
     def __init__(self, reference: list[tuple[int, str]], kept_kinds: set[str] = frozenset()):
-        named = [(letters(name), ident) for ident, name in sorted(reference) if name]
+        named = [(folded(letters(name)), ident) for ident, name in sorted(reference) if name]
         self.kinds = _KIND_SET - set(kept_kinds)
         self.exact = {}
-        for key, ident in named:
-            self.exact.setdefault(key, ident)
-        self.typed = BKTree(named)
-        self.spelled = BKTree([(folded(key), ident) for key, ident in named])
+        for ident, name in sorted(reference):
+            self.exact.setdefault(letters(name), ident)
+        self.tree = BKTree(named)
         self.look_up = lru_cache(maxsize=200_000)(self._look_up)
 
     def _look_up(self, key: str) -> tuple[int, int] | None:
         """(distance, place_id) of the nearest listed name, if near enough."""
         if key in self.exact:
             return 0, self.exact[key]
-        most = allowed(key)
-        found = self.typed.within(key, most) + [(d + 1, i) for d, i in self.spelled.within(folded(key), most)]
+        found = self.tree.within(folded(key), allowed(key))
         return min(found) if found else None
 
     def units(self, value: str) -> list[tuple[int, int, int, str, int, int]]:
@@ -222,30 +230,40 @@ def typed_values(spark: SparkSession, root: str) -> DataFrame:
 
 
 KEYS = ["source_table", "record_key", "pos", "value"]
-FOUND = "entry string, place_id long, edits int"
-UNIT = "g int, part int, width int, entry string, place_id long, edits int"
-_FRAME = "source_table string, record_key string, pos int, value string"
+_UNIT = ["g", "part", "width", "entry", "place_id", "edits"]
+FOUND = "entry:string,place_id:bigint,edits:int"
+UNIT = f"g:int,part:int,width:int,{FOUND}"
+
+_MATCHERS: dict[int, Matcher] = {}
+
+
+def _matcher(reference: list[tuple[int, str]], kept: frozenset[str]) -> Matcher:
+    """The matcher of a shard, built once per worker."""
+    key = hash((tuple(reference), kept))
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(reference, kept)
+    return _MATCHERS[key]
+
 
+def _shard_pass(distinct: DataFrame, reference: list[tuple[int, str]], kept: set[str], whole: bool) -> DataFrame:
+    """(value, found): one shard looked up for every value; resolved at once if it is the ``whole`` list, else as units."""
+    shared = distinct.sparkSession.sparkContext.broadcast((reference, frozenset(kept)))  # at most SHARD_ENTRIES names
 
-def _shard_pass(values: DataFrame, reference: list[tuple[int, str]], kept: set[str], whole: bool) -> DataFrame:
-    """One shard looked up for every value: resolved at once if it is the ``whole`` list, else as units."""
-    shared = values.sparkSession.sparkContext.broadcast((reference, kept))  # at most SHARD_ENTRIES names
-    columns = [c.split()[0] for c in f"{_FRAME}, {FOUND if whole else UNIT}".split(", ")]
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from quaestor.llm import places as here
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(*shared.value)
+        matcher = here._matcher(*shared.value)
         for batch in batches:
-            rows = []
-            for t, k, p, v in batch.itertuples(index=False):
-                units = matcher.units(v)
-                rows += [(t, k, p, v, *x) for x in (resolved(v, units) if whole else units or [(0, 0, 0, v, 0, -1)])]
-            yield pd.DataFrame(rows, columns=columns)
+            units = [(v, matcher.units(v)) for v in batch]
+            yield pd.Series([resolved(v, u) if whole else u for v, u in units])
 
-    return values.select(*KEYS).mapInPandas(look_up, f"{_FRAME}, {FOUND if whole else UNIT}")
+    kind = f"array<struct<{FOUND if whole else UNIT}>>"
+    return distinct.select("value", F.pandas_udf(look_up, kind)("value").alias("found"))
 
 
 def _resolve_rows(values: pd.Series, units: pd.Series) -> pd.Series:
-    return pd.Series([resolved(v, [tuple(u[c] for c in ("g", "part", "width", "entry", "place_id", "edits")) for u in us if u["width"]]) for v, us in zip(values, units)])
+    return pd.Series([resolved(v, [tuple(u[c] for c in _UNIT) for u in us]) for v, us in zip(values, units)])
 
 
 def map_places(values: DataFrame, places: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
@@ -253,26 +271,32 @@ def map_places(values: DataFrame, places: DataFrame, shard_entries: int = SHARD_
 
     The list is read in shards of bounded size; values spelled as listed are left out. With
     several shards the nearest of their winners is kept for every unit before a value's units
-    are resolved, so the result is that of one shard (repeated rows then come out once).
+    are resolved, so the result is that of one shard.
     """
+    spark = values.sparkSession
     listed = places.where(F.col("name").isNotNull()).select(F.col("name").alias("value")).distinct()
-    rest = values.join(listed, "value", "left_anti")
+    rest = values.select(*KEYS).join(listed, "value", "left_anti")
     names = places.select("place_id", F.explode(F.array("name", "name_ar")).alias("name")).where(F.col("name").isNotNull() & F.col("place_id").isNotNull())
     shards = max(1, -(-names.count() // shard_entries))
-    kept = listed_kinds(r.name for r in names.select("name").toLocalIterator())
-    merged = None
-    for k in range(shards):
-        part = names if shards == 1 else names.where(F.pmod(F.xxhash64("place_id"), F.lit(shards)) == k)
-        found = _shard_pass(rest, [(r.place_id, r.name) for r in part.collect()], kept, shards == 1)
-        merged = found if merged is None else merged.unionByName(found)
+    kept = listed_kinds(names)
+    # copies are combined before the shuffle; as many tasks as there are slots, however short the values
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    distinct = rest.select("value").distinct().repartition(tasks)
     if shards == 1:
-        return merged
-    rank = F.struct(F.when(F.col("place_id") == 0, F.lit(1 << 30)).otherwise(F.col("edits")), F.col("place_id"))
-    unit = ["g", "part", "width", "entry"]
-    best = merged.groupBy(*KEYS, *unit).agg(F.min_by(F.struct("place_id", "edits"), rank).alias("b"))
-    units = best.groupBy(*KEYS).agg(F.collect_list(F.struct(*unit, "b.place_id", "b.edits")).alias("units"))
-    resolve = F.pandas_udf(_resolve_rows, "array<struct<entry:string,place_id:bigint,edits:int>>")
-    return units.select(*KEYS, F.explode(resolve("value", "units")).alias("r")).select(*KEYS, "r.*")
+        found = written(_shard_pass(distinct, [(r.place_id, r.name) for r in names.collect()], kept, True))
+    else:
+        distinct, merged = written(distinct), None
+        for k in range(shards):
+            part = names.where(F.pmod(F.xxhash64("place_id"), F.lit(shards)) == k).collect()
+            units = _shard_pass(distinct, [(r.place_id, r.name) for r in part], kept, False).select("value", F.explode_outer("found").alias("u")).select("value", "u.*")
+            merged = units if merged is None else merged.unionByName(units)
+        rank = F.struct(F.when(F.col("place_id") == 0, F.lit(1 << 30)).otherwise(F.col("edits")), F.col("place_id"))
+        unit = ["g", "part", "width", "entry"]
+        best = merged.groupBy("value", *unit).agg(F.min_by(F.struct("place_id", "edits"), rank).alias("b"))
+        per_value = best.groupBy("value").agg(F.filter(F.collect_list(F.struct(*unit, "b.place_id", "b.edits")), lambda u: u["width"].isNotNull()).alias("units"))
+        resolve = F.pandas_udf(_resolve_rows, f"array<struct<{FOUND}>>")
+        found = written(per_value.select("value", resolve("value", "units").alias("found")))
+    return rest.join(found, "value").select(*KEYS, F.explode("found").alias("r")).select(*KEYS, "r.*")
 
 
 def place_cases(spark: SparkSession, root: str) -> DataFrame:
