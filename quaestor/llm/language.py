@@ -22,7 +22,9 @@ missing; blocks without document or page are left out; whole texts; extra column
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.runtime import spread, table
+from quaestor.runtime import spread, table, written
 
 SAMPLE_PAGES = 1500
 SAMPLE_SENTENCES = 4000
@@ -57,7 +59,7 @@ _CELLS = regex.compile(r"[|\n]+")
 _ITEMS = regex.compile(r"\n(?=\s*(?:[-•*–]|\d+[.)])\s)|\n\s*\n")
 _SENTENCES = regex.compile(r"(?<=[.!?؟…])\s+|(?<=[.؟!?])(?=\p{Lu}\p{Ll})")
 _LATIN_WORD = regex.compile(r"[\p{Latin}\p{M}'’]+")
-_LATIN, _ARABIC = regex.compile(r"\p{Latin}"), regex.compile(r"[\p{Arabic}--\p{N}--\p{M}--\p{P}]", regex.V1)
+_LATIN, _ARABIC = regex.compile(r"\p{Latin}+"), regex.compile(r"[\p{Arabic}--\p{N}--\p{M}--\p{P}]+", regex.V1)
 
 
 def hinted_language(hint: Column) -> Column:
@@ -86,6 +88,12 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def letters_of(text: str) -> tuple[int, int]:
+    """Arabic and Latin letters of a text."""
+    return sum(map(len, _ARABIC.findall(text))) if not text.isascii() else 0, sum(map(len, _LATIN.findall(text)))
+
+
+@lru_cache(maxsize=200_000)
 def word_features(word: str) -> list[int]:
     """Hashed features of one word: itself and its n-grams of 1 to 4 with edges."""
     edged = f"^{word}$"
@@ -174,16 +182,16 @@ def agreed_examples(examples: dict[str, list[str]], rounds: int = 2) -> dict[str
     data = [x for x in data if sum(map(len, x[2])) >= 30]
     kept = data
     for _ in range(rounds):
-        counts: dict[str, dict[str, int]] = {lang: {} for lang in examples}
+        counts = {lang: Counter() for lang in examples}
         for lang, _, ws in kept:
-            mine = counts[lang]
-            for w in ws:
-                mine[w] = mine.get(w, 0) + 1
-        sums = {lang: sum(c.values()) + 1 for lang, c in counts.items()}
-        size = len({w for c in counts.values() for w in c}) + 1
+            counts[lang].update(ws)
+        size = len(set().union(*counts.values())) + 1
+        total = {lang: c.total() + 1 + 0.1 * size for lang, c in counts.items()}
+        logs = {lang: {w: np.log((n + 0.1) / total[lang]) for w, n in c.items()} for lang, c in counts.items()}
+        unseen = {lang: np.log(0.1 / total[lang]) for lang in examples}
 
         def likeliest(ws: list[str]) -> str:
-            return max(sums, key=lambda g: sum(np.log((counts[g].get(w, 0) + 0.1) / (sums[g] + 0.1 * size)) for w in ws))
+            return max(logs, key=lambda g: sum(logs[g].get(w, unseen[g]) for w in ws))  # noqa: B023
 
         kept = [x for x in data if likeliest(x[2]) == x[0]]
     out: dict[str, list[str]] = {}
@@ -229,10 +237,31 @@ def sample_sentences(pages: DataFrame, blocks: DataFrame) -> dict[str, list[str]
     return out
 
 
+def judged_parts(text: str, judge: Discriminator) -> list[tuple]:
+    """(seg_no, start, end, ar_letters, latin_letters, latin_language, margin, clear) of a text's segments with letters."""
+    out = []
+    for n, (a, b) in enumerate(segments(text)):
+        part = text[a:b]
+        arabic, latin = letters_of(part)
+        if not arabic and not latin:
+            continue
+        lang, margin = judge.latin(part) if latin else (None, 0.0)
+        clear = latin >= FEW_LETTERS and margin >= (GLUED_MARGIN if len(part) > GLUED_LENGTH * (1 + part.count(" ")) else CLEAR_MARGIN)
+        out.append((n, a, b, arabic, latin, lang, margin, clear))
+    return out
+
+
 SEGMENT_ROW = (
     "doc_id bigint, page int, block_id string, seg_no int, start int, end int, "
     "ar_letters int, latin_letters int, latin_language string, margin double, clear boolean"
 )
+SUMS = ["ar", *[f"{x}_{k}" for x in ("fr", "en", "es") for k in ("clear", "vague")]]
+BLOCK_ROW = "doc_id bigint, page int, block_id string, " + ", ".join(f"{c} bigint" for c in SUMS)
+
+
+def _texts(blocks: DataFrame) -> DataFrame:
+    texts = blocks.where((F.length("text") > 0) & F.col("doc_id").isNotNull() & F.col("page").isNotNull()).select("doc_id", "page", F.col("id").alias("block_id"), "text")
+    return spread(texts, "doc_id", "block_id")
 
 
 def judged_segments(blocks: DataFrame, judge: Discriminator) -> DataFrame:
@@ -241,35 +270,50 @@ def judged_segments(blocks: DataFrame, judge: Discriminator) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
+        for batch in batches:
+            rows = [(doc, page, block, *part) for doc, page, block, text in batch.itertuples(index=False) for part in judged_parts(text, own)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENT_ROW.split(", ")])
+
+    return _texts(blocks).mapInPandas(run, SEGMENT_ROW)
+
+
+def block_letters(blocks: DataFrame, judge: Discriminator) -> DataFrame:
+    """One row per block with the letters of its segments by language, clear and vague, see ``BLOCK_ROW``.
+
+    What a page needs is summed where the segments are judged, so that no segment is moved.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(judge)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, place = shared.value, {c: k for k, c in enumerate(SUMS)}
         for batch in batches:
             rows = []
             for doc, page, block, text in batch.itertuples(index=False):
-                for n, (a, b) in enumerate(segments(text)):
-                    part = text[a:b]
-                    arabic, latin = len(_ARABIC.findall(part)), len(_LATIN.findall(part))
-                    if not arabic and not latin:
-                        continue
-                    lang, margin = own.latin(part) if latin else (None, 0.0)
-                    clear = latin >= FEW_LETTERS and margin >= (GLUED_MARGIN if len(part) > GLUED_LENGTH * (1 + part.count(" ")) else CLEAR_MARGIN)
-                    rows.append((doc, page, block, n, a, b, arabic, latin, lang, margin, clear))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENT_ROW.split(", ")])
+                sums = [0] * len(SUMS)
+                for _, _, _, arabic, latin, lang, _, clear in judged_parts(text, own):
+                    sums[0] += arabic
+                    if latin:
+                        sums[place[f"{lang}_{'clear' if clear else 'vague'}"]] += latin
+                rows.append((doc, page, block, *sums))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCK_ROW.split(", ")])
 
-    texts = blocks.where((F.length("text") > 0) & F.col("doc_id").isNotNull() & F.col("page").isNotNull()).select("doc_id", "page", F.col("id").alias("block_id"), "text")
-    return spread(texts, "doc_id", "block_id").mapInPandas(run, SEGMENT_ROW)
+    return _texts(blocks).mapInPandas(run, BLOCK_ROW)
 
 
-def page_letters(found: DataFrame) -> DataFrame:
-    """Letters of each language per page, clear segments first; see the module's rule for the rest."""
-    once = found.dropDuplicates(["doc_id", "page", "block_id", "seg_no"])
+def segment_letters(found: DataFrame) -> DataFrame:
+    """The sums of ``BLOCK_ROW`` per segment of ``SEGMENT_ROW``."""
+    mine = lambda c: F.when((F.col("latin_language") == c[:2]) & (F.col("clear") == F.lit(c.endswith("clear"))), F.col("latin_letters")).otherwise(0)
+    return found.select("doc_id", "page", "block_id", F.col("ar_letters").alias("ar"), *[mine(c).alias(c) for c in SUMS[1:]])
 
-    def letters(lang: str, clear: bool) -> Column:
-        mine = (F.col("latin_language") == lang) & (F.col("clear") == F.lit(clear))
-        return F.sum(F.when(mine, F.col("latin_letters")).otherwise(0)).alias(f"{lang}_{'clear' if clear else 'vague'}")
 
+def page_letters(letters: DataFrame) -> DataFrame:
+    """Letters of each language per page, clear segments first; see the module's rule for the rest.
+
+    ``letters`` has the sums of parts of pages, each once; the sums of pages are written to the
+    shared folder, as the documents' totals are taken from them.
+    """
     latin = ("fr", "en", "es")
-    sums = once.groupBy("doc_id", "page").agg(
-        F.sum("ar_letters").alias("ar"), *[letters(x, c) for x in latin for c in (True, False)]
-    )
+    sums = written(letters.groupBy("doc_id", "page").agg(*[F.sum(c).alias(c) for c in SUMS]))
     whole = sums.groupBy("doc_id").agg(*[F.sum(f"{x}_clear").alias(f"{x}_doc") for x in latin])
 
     def top(suffix: str) -> Column:
@@ -298,7 +342,7 @@ def page_languages(spark: SparkSession, root: str) -> DataFrame:
     """
     pages, blocks = table(spark, root, "doc_pages"), table(spark, root, "blocks")
     judge = fit_discriminator(sample_sentences(pages, blocks))
-    letters = page_letters(judged_segments(blocks, judge))
+    letters = page_letters(block_letters(blocks, judge).dropDuplicates(["doc_id", "page", "block_id"]))
     total = sum((F.coalesce(F.col(x), F.lit(0)) for x in LANGUAGES), F.lit(0))
     keys = pages.groupBy("doc_id", "page").agg(F.first("language_hint", ignorenulls=True).alias("hint"))
     joined = keys.join(letters, ["doc_id", "page"], "left").withColumn("total", total)
@@ -331,8 +375,9 @@ def page_segments(spark: SparkSession, root: str) -> DataFrame:
     """
     pages, blocks = table(spark, root, "doc_pages"), table(spark, root, "blocks")
     judge = fit_discriminator(sample_sentences(pages, blocks))
-    found = judged_segments(blocks, judge).dropDuplicates(["doc_id", "page", "block_id", "seg_no"])
-    fallback = page_letters(found).select("doc_id", "page", "fallback")
+    # judged once; the pages' letters and the result are both read from what is written
+    found = written(judged_segments(blocks, judge).dropDuplicates(["doc_id", "page", "block_id", "seg_no"]))
+    fallback = page_letters(segment_letters(found)).select("doc_id", "page", "fallback")
     arabic = F.col("ar_letters") >= F.col("latin_letters")
     return found.join(fallback, ["doc_id", "page"]).select(
         "doc_id",
