@@ -73,8 +73,10 @@ CONFUSED_COST, OTHER_COST, MOST_COST = 0.3, 1.0, 0.9
 _FOUND_COLUMNS = ["doc_id", "block_id", "word", "alt", "before", "after"]
 
 SOFT_MARKS = "¬‐‑­"
+_END_MARKS = tuple("-" + SOFT_MARKS)
 _CUT = regex.compile(rf"(\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*)([-{SOFT_MARKS}])[ \t]*\n(\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*)")
 _CUT_AT_END = regex.compile(rf"(\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*)([-{SOFT_MARKS}])[ \t]*$")
+_MARKED = regex.compile(rf"[-{SOFT_MARKS}][ \t]*\n")
 _FIRST_WORD = regex.compile(r"^\s*(\p{Ll}[\p{L}\p{N}†!@|'’]*|\p{Arabic}+)")
 _CHUNK = regex.compile(r"[^\s\-–—/]+")
 _ELISION = regex.compile(r"^(?:[ldsnmtcjLDSNMTCJ1]|[Qq]u|[Ll]orsqu|[Jj]usqu|[Pp]uisqu)['’]")
@@ -122,21 +124,44 @@ def _chunk_words(chunk: str) -> tuple[tuple[int, int, str], ...]:
     return tuple(out)
 
 
-_CHUNK_WORDS: dict[str, tuple[tuple[int, int, str], ...]] = {}
+def cut_at_end(text: str) -> regex.Match | None:
+    """The word that the text's last character cuts, if it is such a mark."""
+    bare = text.rstrip(" \t")
+    return _CUT_AT_END.search(text, len(bare) - 1 - len(bare[:-1].rsplit(None, 1)[-1])) if bare[-1:] in _END_MARKS and bare[:-1].strip() else None
+
+
+class _Cache(dict):
+    """Words by chunk, cut up once per worker; emptied when it is full."""
+
+    def __init__(self, lowered: bool):
+        super().__init__()
+        self.lowered = lowered
+
+    def __missing__(self, chunk: str) -> tuple:
+        if len(self) > 300_000:
+            self.clear()
+        found = _chunk_words(chunk)
+        self[chunk] = out = tuple(w.lower() for _, _, w in found) if self.lowered else found
+        return out
+
+
+_PLACED, _LOWERED = _Cache(False), _Cache(True)
 
 
 def words_of(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, word) of every word that may be misread; chunks are cut up once per worker."""
-    out, known = [], _CHUNK_WORDS
-    if len(known) > 300_000:
-        known.clear()
+    """(start, end, word) of every word that may be misread."""
+    out = []
     for m in _CHUNK.finditer(text):
-        chunk, base = m.group(), m.start()
-        found = known.get(chunk)
-        if found is None:
-            found = known[chunk] = _chunk_words(chunk)
-        for a, b, w in found:
-            out.append((base + a, base + b, w))
+        base = m.start()
+        out += [(base + a, base + b, w) for a, b, w in _PLACED[m.group()]]
+    return out
+
+
+def lowered_words(text: str) -> list[str]:
+    """The same words without their places, in lower case."""
+    out: list[str] = []
+    for chunk in _CHUNK.findall(text):
+        out += _LOWERED[chunk]
     return out
 
 
@@ -331,7 +356,7 @@ def word_counts(digital: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch["text"]:
-                found = [w.lower() for _, _, w in words_of(_BROKEN.sub(" ", text) if "\n" in text else text)]
+                found = lowered_words(_BROKEN.sub(" ", text) if "\n" in text else text)
                 ones.update(found)
                 pairs.update(zip(found, found[1:]))
                 if len(pairs) > GATHERED:
@@ -395,8 +420,8 @@ def first_findings(content: DataFrame, common: frozenset[str]) -> DataFrame:
                 text, had = without_furniture(text, page, tuple(running) if running is not None else ())
                 if had:
                     rows.append((doc, block, "furniture", None, None, None, None))
-                cuts = [(m.group(1), m.group(2), m.group(3)) for m in _CUT.finditer(text)] if "\n" in text else []
-                if end := _CUT_AT_END.search(text):
+                cuts = [(m.group(1), m.group(2), m.group(3)) for m in _CUT.finditer(text)] if _MARKED.search(text) else []
+                if end := cut_at_end(text):
                     rows.append((doc, block, "tail", end.group(1), end.group(2), None, None))
                 for left, mark, right in cuts:
                     last = _last_part(left)
@@ -408,8 +433,8 @@ def first_findings(content: DataFrame, common: frozenset[str]) -> DataFrame:
                     seen = {w for left, mark, right in cuts if mark == "-" and (w := (_last_part(left) + right).lower()) not in known}
                 # halves of words cut at a page end are no words
                 start = first.end() if goes_on and (first := _FIRST_WORD.match(joined)) else 0
-                stop = tail.start(1) if end and (tail := _CUT_AT_END.search(joined)) else len(joined)
-                found = [w.lower() for _, _, w in words_of(joined[start:stop])]
+                stop = tail.start(1) if end and (tail := cut_at_end(joined)) else len(joined)
+                found = lowered_words(joined[start:stop])
                 rows += [(doc, block, "word", w, None, None, None) for w in sorted(seen)]
                 for k, w in enumerate(found):
                     if w not in known and w not in seen:
@@ -645,7 +670,7 @@ def repair_text(text: str, page: int, running: set[str], repairs: dict[str, str]
     if moved and (first := _FIRST_WORD.match(text)) and any(a.endswith("-" + first.group(1)) for a in moved):
         text = text[first.end() :].lstrip(" \n")
     text = _CUT.sub(lambda m: m.group(1) + m.group(3) if f"{m.group(1)}-{m.group(3)}" in cuts else f"{m.group(1)}-{m.group(3)}", text)
-    if tail and (end := _CUT_AT_END.search(text)) and tail.startswith(f"{end.group(1)}-"):
+    if tail and (end := cut_at_end(text)) and tail.startswith(f"{end.group(1)}-"):
         text = text[: end.end(1)] + ("" if tail in cuts else "-") + tail[len(end.group(1)) + 1 :]
     out, at = [], 0
     for a, b, w in words_of(text):
