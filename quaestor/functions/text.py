@@ -174,3 +174,18 @@ def block_type(label: Column) -> Column:
 def title_level(label: Column) -> Column:
     pairs = F.create_map(*[F.lit(x) for kv in TITLE_LEVEL_OF_LABEL.items() for x in kv])
     return F.when(block_type(label) == "title", F.coalesce(F.element_at(pairs, label), F.lit(3)))
+
+
+# How reasons of a match are shown, by what they begin with.
+REASON_WORDS = [
+    ("Matched keyword:", "Mot-clé correspondant :"), ("Matched category:", "Catégorie correspondante :"), ("Matched location:", "Zone correspondante :"),
+    ("Keyword match:", "Mot-clé correspondant :"), ("Category match:", "Catégorie correspondante :"), ("Location match:", "Zone correspondante :"),
+    ("Semantic similarity(?: with enterprise keywords)?$", "Activité sémantiquement proche"), ("Hybrid relevance match$", "Correspondance combinée"),
+]
+
+
+def translated_reasons(reasons: Column, mark: str = "§") -> Column:
+    """Reasons joined by a mark, each in the words it is shown with."""
+    for english, french in REASON_WORDS:
+        reasons = F.regexp_replace(reasons, f"(?i)(^|{mark}){english}", f"$1{french}")
+    return reasons
