@@ -28,34 +28,42 @@ its suspects are told by the mismatch alone.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.runtime import written
 
 _NAME = r"[\p{L}_][\p{L}\p{N}_.\-]*"
-# How templates mark fields, and what drafters leave to be filled in.
-PLACEHOLDERS = [
-    r"\{\{\s*[^{}\n]+\}\}",
-    r"\{%\s*[^%\n]+%\}|<%[=\-]?\s*[^%\n]+%>",
-    r"[$#]\{\s*[^{}\n]+\}",
-    r"<<\s*[^<>\n]+>>",
-    r"\[\[\s*[^\[\]\n]+\]\]",
-    rf"@@{_NAME}@@",
-    r"(?<![\p{L}\p{N}_.])__[\p{L}][\p{L}\p{N}_.]*?__(?![\p{L}\p{N}_])",
-    r"(?<![\p{L}\p{N}%])%[\p{L}][\p{L}\p{N}_.]+%(?![\p{L}\p{N}])",
-    rf"«{_NAME}»",
-    rf"<(?:{_NAME}|(?i:à|a|to be|insert|insérer|nom|name|date|montant)\s[^<>\n]+)>",
-    r"\{\d{1,2}\}",
-    r"\[(?iu:à|a)\s(?iu:compl[ée]ter|pr[ée]ciser|renseigner|d[ée]finir|remplir|ins[ée]rer|indiquer|fixer)[^\[\]\n]*\]",
-    r"\[(?iu:ins[ée]rer|insert|indiquer|renseigner|compl[ée]ter|pr[ée]ciser|remplir|enter|fill in|to be|tbd|tbc|type|choose|saisir|mettre|ajouter|your|votre)\b[^\[\]\n]*\]",
-    r"\[[^\[\]\n]+\s(?iu:à|to be)\s(?iu:compl[ée]ter|reporter|pr[ée]ciser|renseigner|d[ée]finir|ins[ée]rer|completed|filled|inserted|defined)[^\[\]\n]*\]",
-    r"\[(?:NOM|NAME|DATE|LIEU|ADRESSE|MONTANT|TITRE|OBJET|VILLE|ORGANISME|ACHETEUR|BUYER|PLACE|AMOUNT)(?:[\s'’][\p{Lu}'’\s]*)?\]",
-    r"\[(?:اسم|تاريخ|مبلغ|عنوان|مكان|يملأ|يكتب)[^\[\]\n]*\]",
-    r"\b(?:TODO|FIXME|TBD|TBC|XXX)\b",
-    r"\bX{2}/X{2}/(?:20)?X{2,4}\b|\bJJ/MM/AAAA\b|\bDD/MM/YYYY\b",
-    r"\bundefined\b|\bNaN\b|\bnull null\b|: null\b",
-    r"\[object Object\]",
+# How templates mark fields, and what drafters leave to be filled in; before each, literals of which every match holds one.
+PLACEHOLDERS: list[tuple[list[str], list[str]]] = [
+    (["{{"], [r"\{\{\s*[^{}\n]+\}\}"]),
+    (["{%", "<%"], [r"\{%\s*[^%\n]+%\}|<%[=\-]?\s*[^%\n]+%>"]),
+    (["${", "#{"], [r"[$#]\{\s*[^{}\n]+\}"]),
+    (["<<"], [r"<<\s*[^<>\n]+>>"]),
+    (["[["], [r"\[\[\s*[^\[\]\n]+\]\]"]),
+    (["@@"], [rf"@@{_NAME}@@"]),
+    (["__"], [r"(?<![\p{L}\p{N}_.])__[\p{L}][\p{L}\p{N}_.]*?__(?![\p{L}\p{N}_])"]),
+    (["%"], [r"(?<![\p{L}\p{N}%])%[\p{L}][\p{L}\p{N}_.]+%(?![\p{L}\p{N}])"]),
+    (["«"], [rf"«{_NAME}»"]),
+    (["<"], [rf"<(?:{_NAME}|(?i:à|a|to be|insert|insérer|nom|name|date|montant)\s[^<>\n]+)>"]),
+    (["{"], [r"\{\d{1,2}\}"]),
+    (
+        ["["],
+        [
+            r"\[(?iu:à|a)\s(?iu:compl[ée]ter|pr[ée]ciser|renseigner|d[ée]finir|remplir|ins[ée]rer|indiquer|fixer)[^\[\]\n]*\]",
+            r"\[(?iu:ins[ée]rer|insert|indiquer|renseigner|compl[ée]ter|pr[ée]ciser|remplir|enter|fill in|to be|tbd|tbc|type|choose|saisir|mettre|ajouter|your|votre)\b[^\[\]\n]*\]",
+            r"\[[^\[\]\n]+\s(?iu:à|to be)\s(?iu:compl[ée]ter|reporter|pr[ée]ciser|renseigner|d[ée]finir|ins[ée]rer|completed|filled|inserted|defined)[^\[\]\n]*\]",
+            r"\[(?:NOM|NAME|DATE|LIEU|ADRESSE|MONTANT|TITRE|OBJET|VILLE|ORGANISME|ACHETEUR|BUYER|PLACE|AMOUNT)(?:[\s'’][\p{Lu}'’\s]*)?\]",
+            r"\[(?:اسم|تاريخ|مبلغ|عنوان|مكان|يملأ|يكتب)[^\[\]\n]*\]",
+            r"\[object Object\]",
+        ],
+    ),
+    (["TODO", "FIXME", "TBD", "TBC", "XXX"], [r"\b(?:TODO|FIXME|TBD|TBC|XXX)\b"]),
+    (["XX/XX", "JJ/MM", "DD/MM"], [r"\bX{2}/X{2}/(?:20)?X{2,4}\b|\bJJ/MM/AAAA\b|\bDD/MM/YYYY\b"]),
+    (["undefined", "NaN", "null null", ": null"], [r"\bundefined\b|\bNaN\b|\bnull null\b|: null\b"]),
 ]
 # Words of the usual Latin filler text.
 LATIN = (
@@ -76,11 +84,8 @@ FILLER = [
     r"(?iu)\bcontenu d['’]exemple\b|\btexte (?:d['’]exemple|de remplissage|fictif|factice)\b|\btexto de (?:ejemplo|relleno)\b",
     r"نص تجريبي|نص عشوائي|نص لملء",
 ]
-# Literals of which every text that matches one of the lists above holds one (the placeholders' as written, others in lower case).
-PLACEHOLDER_ANCHORS = ["{", "<", "[", "«", "%", "@@", "__", "TODO", "FIXME", "TBD", "TBC", "XXX", "XX/XX", "JJ/MM", "DD/MM", "undefined", "NaN", "null null", ": null"]
-FILLER_ANCHORS = LATIN.split() + "blabla azerty qwerty qsdfgh asdfgh wxcvbn zxcvbn".split() + [
-    "bla bla", "placeholder text", "text for", "text goes", "text only", "d'exemple", "d’exemple", "texte de remplissage", "texte fictif", "texte factice", "texto de", "نص تجريبي", "نص عشوائي", "نص لملء",
-]
+# Terms of which every text that matches filler holds one, but for ``bla bla``, which has none.
+FILLER_TERMS = [w for w in LATIN.split() if len(w) >= 4] + "blabla azerty qwerty qsdfgh asdfgh wxcvbn zxcvbn placeholder sample dummy filler exemple remplissage fictif factice ejemplo relleno تجريبي عشوائي لملء".split()
 # Words of servers and scripts, in four languages; evidence in suspect documents only.
 CUES = [
     r"(?iu)\bhttp\b|javascript|\bscripts?\b|\bcookies?\b|\bproxy\b|gateway|navigateur|browser|navegador|\bserve(?:ur|r)\b|servidor|introuvable|not found|no encontrada|indisponible|unavailable|forbidden|denied|too many|reconnecter|log in again",
@@ -116,16 +121,15 @@ def _holds(lowered: Column, literals: list[str]) -> Column:
 #: Same word three times in a row has no literal to look for and is tried on every text.
 _REPEATED = next(p for p in FILLER if r"\1" in p)
 _WORDED_FILLER = [p for p in FILLER if p != _REPEATED]
-_PHRASES = [a for a in FILLER_ANCHORS if a not in LATIN.split()]
 
 
 def detected(text: Column, lowered: Column, own: Column) -> Column:
     """array of the detectors that a text with the terms ``own`` trips: placeholder, filler."""
-    latin = F.exists(own, lambda w: w.isin(*[x for x in LATIN.split() if len(x) >= 4]))
-    worded = (latin | _holds(lowered, _PHRASES)) & text.rlike(any_of(_WORDED_FILLER))
+    hinted = F.exists(own, lambda w: w.isin(*FILLER_TERMS)) | lowered.contains("bla bla")
+    worded = hinted & text.rlike(any_of(_WORDED_FILLER))
     return F.filter(
         F.array(
-            F.when(_holds(text, PLACEHOLDER_ANCHORS) & text.rlike(any_of(PLACEHOLDERS)), F.lit("placeholder")),
+            F.when(reduce(or_, (_holds(text, anchors) & text.rlike(any_of(patterns)) for anchors, patterns in PLACEHOLDERS)), F.lit("placeholder")),
             F.when(worded | text.rlike(_REPEATED), F.lit("filler")),
         ),
         lambda r: r.isNotNull(),
