@@ -6,29 +6,32 @@ Superscripts, ordinals, œ, Ø, ×, dashes and typographic quotes belong to it.
 
 Values made only of surely plain characters never leave the JVM. The rest pass a
 context-free stage (composition, width and font variants, presentation forms, invisible
-characters, spaces, Arabic letter variants). Look-alike letters are repaired per token:
-its dominant script is determined, and only in tokens that mix scripts, or consist of
-look-alikes alone, are they substituted. Of several readings the corpus vocabulary picks
-the most frequent one. A token without any Latin letter is changed only if the vocabulary
-has the result; a mixed token whose result the corpus never shows elsewhere (a name that
-occurs once) takes its first reading, since letters of two alphabets never form a word.
+characters, spaces). Letters that may pose as others are repaired per token. Its dominant
+script is that of the letters that cannot pose: in an Arabic token the letters of other
+Arabic alphabets become standard ones; in a Latin token, or one of posing letters alone,
+look-alikes of other scripts are substituted if the corpus vocabulary has the result, the most
+frequent one if it has several; in a token of another script nothing is.
+
+Tokens and vocabulary meet under one key, in which the letters that one look-alike may stand
+for are alike, so that the number of ambiguous letters does not matter.
 
 Defined results: null gives null, empty gives empty, repeated rows of one key count once,
-tabs and line ends become spaces; no length limit; extra columns are never read.
+tabs and line ends become spaces; no length limit; extra columns are never read; a token
+without a result in the vocabulary stays as it is; of results equally frequent the first in
+alphabetical order is taken.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from itertools import product
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.runtime import durable, table
+from quaestor.runtime import table, written
 
 #: Characters that are in house form wherever they stand.
 PLAIN = (
@@ -56,9 +59,10 @@ ARABIC_VARIANTS = {
 
 _VARIANT_TAGS = {"<wide>", "<narrow>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>", "<compat>", "<circle>", "<square>"}
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_FOREIGN = regex.compile("[" + "".join(LOOKALIKES) + "]")
-_LATIN = regex.compile(r"\p{Latin}")
-MAX_READINGS = 16  # of one token; a bound on ambiguous letters, beyond it the first reading of each is taken
+_POSING = regex.compile("[" + "".join(LOOKALIKES) + "".join(ARABIC_VARIANTS) + "]")
+_LATIN, _ARABIC = regex.compile(r"\p{Latin}"), regex.compile(r"\p{Arabic}")
+#: Letters that one look-alike may stand for are one in keys.
+_ALIKE = str.maketrans({c: x[0] for x in LOOKALIKES.values() if len(x) > 1 for c in x})
 
 
 def _plain_char(ch: str) -> str:
@@ -69,8 +73,6 @@ def _plain_char(ch: str) -> str:
         return " "
     if kind == "Cc":
         return ""
-    if ch in ARABIC_VARIANTS:
-        return ARABIC_VARIANTS[ch]
     shape = unicodedata.decomposition(ch)
     tag = shape.split(" ", 1)[0] if shape.startswith("<") else ""
     if tag in ("<wide>", "<narrow>") or (tag in _VARIANT_TAGS and kind[0] in "LN" and ch not in "№™"):
@@ -92,27 +94,43 @@ def canonical(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(_PLAIN))
 
 
-def readings(token: str) -> list[str]:
-    """Latin readings of a token with look-alike letters, likeliest first; none for other tokens."""
-    letters = [c for c in token if c.isalpha()]
-    foreign = [c for c in letters if c in LOOKALIKES]
-    if not foreign:
-        return []
-    others = [c for c in letters if c not in LOOKALIKES and not _LATIN.match(c)]
-    if others:  # a word of that other script
-        return []
-    options = [LOOKALIKES.get(c, c) for c in token]
-    count = 1
-    for o in options:
-        count *= len(o)
-    if count > MAX_READINGS:
-        options = [o[0] for o in options]
-    return ["".join(x) for x in product(*options)]
+def dominant_script(token: str) -> str | None:
+    """The script of most of the token's letters that cannot pose as others: Latin, Arabic or other; None without any."""
+    sure = [c for c in token if c.isalpha() and c not in LOOKALIKES and c not in ARABIC_VARIANTS]
+    latin, arabic = sum(bool(_LATIN.match(c)) for c in sure), sum(bool(_ARABIC.match(c)) for c in sure)
+    other = len(sure) - latin - arabic
+    if not sure:
+        return None
+    return "other" if other >= max(latin, arabic) else "Latin" if latin >= arabic else "Arabic"
+
+
+def standard_arabic(token: str) -> str:
+    """The token with the letters of other Arabic alphabets made standard, if it is an Arabic one or all of such letters."""
+    if not any(c in ARABIC_VARIANTS for c in token):
+        return token
+    script = dominant_script(token)
+    return "".join(ARABIC_VARIANTS.get(c, c) for c in token) if script == "Arabic" or (script is None and not any(c in LOOKALIKES for c in token)) else token
+
+
+def questionable(token: str) -> bool:
+    """Whether look-alikes of the token may stand for Latin letters."""
+    return any(c in LOOKALIKES for c in token) and dominant_script(token) in ("Latin", None)
 
 
-def mixed(token: str) -> bool:
-    """Whether a token holds true Latin letters beside look-alikes."""
-    return any(_LATIN.match(c) and c not in LOOKALIKES for c in token)
+def alike_key(word: str) -> str:
+    """The lower-case key under which a token and the words it may stand for meet."""
+    return "".join(LOOKALIKES.get(c, c)[0] for c in word).lower().translate(_ALIKE)
+
+
+def reading(token: str, word: str) -> str | None:
+    """The token with its look-alikes read as in a lower-case word of the same key; None if it cannot be read so."""
+    out = []
+    for c, want in zip(token, word):
+        fits = [x for x in LOOKALIKES.get(c, c) if x.lower() == want]
+        if not fits:
+            return None
+        out.append(fits[0])
+    return "".join(out) if len(token) == len(word) else None
 
 
 def offer_values(offers: DataFrame) -> DataFrame:
@@ -136,15 +154,19 @@ def text_values(spark: SparkSession, root: str) -> DataFrame:
 def _first_stage(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         plain = [canonical(v) for v in batch]
-        tokens = [
-            [w for w in dict.fromkeys(_WORD.findall(p)) if readings(w)] if _FOREIGN.search(p) else [] for p in plain
-        ]
+        plain = [_WORD.sub(lambda m: standard_arabic(m.group()), p) if _POSING.search(p) else p for p in plain]
+        tokens = [[w for w in dict.fromkeys(_WORD.findall(p)) if questionable(w)] if _POSING.search(p) else [] for p in plain]
         yield pd.DataFrame({"plain": plain, "tokens": tokens})
 
 
-def _reading_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield pd.Series([[(r, k, mixed(t)) for k, r in enumerate(readings(t))] for t in batch])
+        yield pd.Series([alike_key(t) for t in batch])
+
+
+def _readings(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for tokens, words in batches:
+        yield pd.Series([reading(t, w) for t, w in zip(tokens, words)], dtype="object")
 
 
 def _substitute(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -159,16 +181,16 @@ def _substitute(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
 def chosen_readings(flagged: DataFrame, values: DataFrame) -> DataFrame:
     """(token, repaired) of every look-alike token that is to be replaced.
 
-    Vocabulary counts are taken over all values, combined map-side and kept only for the
-    readings in question.
+    Vocabulary counts are taken over all values, combined map-side before the words are keyed,
+    and only words of the tokens' keys are read further.
     """
-    tokens = flagged.select(F.explode("s.tokens").alias("token")).distinct()
-    options = tokens.withColumn("o", F.explode(F.pandas_udf(_reading_rows, "array<struct<reading:string,ord:int,mixed:boolean>>")("token"))).select("token", "o.*").withColumn("word", F.lower("reading"))
-    words = values.select(F.explode(F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).alias("word"))
-    counts = words.join(options.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    best = F.max_by(F.struct("reading", F.col("n")), F.struct(F.coalesce("n", F.lit(0)), -F.col("ord")))
-    picked = options.join(counts, "word", "left").groupBy("token").agg(best.alias("b"), F.max("mixed").alias("mixed"))
-    return picked.where(F.col("b.n").isNotNull() | F.col("mixed")).select("token", F.col("b.reading").alias("repaired"))
+    tokens = flagged.select(F.explode("s.tokens").alias("token")).distinct().withColumn("key", F.pandas_udf(_keys, "string")("token"))
+    words = values.select(F.explode(F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # a word of plain letters is its own key but for the letters that are alike
+    counts = words.where(~F.col("word").rlike(_POSING.pattern)).withColumn("key", F.translate("word", "".join(chr(c) for c in _ALIKE), "".join(_ALIKE.values())))
+    options = tokens.join(counts, "key").withColumn("repaired", F.pandas_udf(_readings, "string")("token", "word")).where(F.col("repaired").isNotNull())
+    first = F.struct(-F.col("n"), F.col("word"))
+    return options.groupBy("token").agg(F.min_by("repaired", first).alias("repaired"))
 
 
 def house_form(values: DataFrame) -> DataFrame:
@@ -179,7 +201,7 @@ def house_form(values: DataFrame) -> DataFrame:
     rows = values.select(*keys)
     plain = rows.where(F.col("value").isNull() | ~F.col("value").rlike(SUSPECT)).withColumn("normal", F.col("value"))
     # a few per cent of the values; written to the shared folder since three branches read them
-    flagged = durable(rows.where(F.col("value").rlike(SUSPECT)).distinct().withColumn("s", first_stage("value")))
+    flagged = written(rows.where(F.col("value").rlike(SUSPECT)).distinct().withColumn("s", first_stage("value")))
     repairs = chosen_readings(flagged, rows.where(F.col("value").isNotNull()))
     per_value = (
         flagged.where(F.size("s.tokens") > 0)

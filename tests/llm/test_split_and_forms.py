@@ -52,21 +52,26 @@ def test_only_oversized_blocks_are_cut(spark, make_root):
 def test_house_form_by_character():
     same = "Éclairage n° 2 : 15 m², 3×2 — « œuvre » d’Ïsselkel Ø 110 … أعمال الصيانة"
     assert charforms.canonical(same) == same
-    for bad, good in [("é", "é"), ("ｆｕｌｌ２", "full2"), ("a b c", "a b c"), ("a​b­﻿", "ab"), ("oﬁ", "ofi"), ("𝟐𝟎", "20"), ("ﺕﻝ", "تل"), ("صیانة یکون", "صيانة يكون"), ("a\tb", "a b")]:
+    for bad, good in [("é", "é"), ("ｆｕｌｌ２", "full2"), ("a b c", "a b c"), ("a​b­﻿", "ab"), ("oﬁ", "ofi"), ("𝟐𝟎", "20"), ("ﺕﻝ", "تل"), ("a\tb", "a b")]:
         assert charforms.canonical(bad) == good
-    assert charforms.readings("Щука") == [] and charforms.readings("béton") == []
-    assert "analyses" in charforms.readings("analуses")
+    assert [charforms.dominant_script(t) for t in ("Щука", "béton", "analуses", "СОС", "أعمال", "کیک")] == ["other", "Latin", "Latin", None, "Arabic", None]
+    assert [charforms.questionable(t) for t in ("Щука", "béton", "analуses", "СОС")] == [False, False, True, True]
+    assert [charforms.standard_arabic(t) for t in ("صیانة", "یکون", "béton", "aی")] == ["صيانة", "يكون", "béton", "aی"]
+    # any number of letters with two readings, which the word settles
+    token, word = "уу" * 30 + "Уx", "yu" * 30 + "yx"
+    assert charforms.alike_key(token) == charforms.alike_key(word) and charforms.reading(token, word) == "yu" * 30 + "Yx"
+    assert charforms.reading("analуses", "analyses") == "analyses" and charforms.reading("analуses", "analzses") is None
 
 
 def test_house_form_over_tables(spark, make_root):
     long = "mot " * 20_000
     offers = [
         dict(offer_row=1, objet="Travaux de béton", acheteur_public=None), dict(offer_row=2, objet="Travаux de bétоn", acheteur_public=""), dict(offer_row=3, objet=long, acheteur_public=long + "​"),
-        dict(offer_row=4, objet="ΑΒ", acheteur_public="Тахе"), dict(offer_row=None, objet="ok"), dict(offer_row=5, objet="Μοσκ Dοuar"),
+        dict(offer_row=4, objet="ΑΒ", acheteur_public="Тахе"), dict(offer_row=None, objet="ok"), dict(offer_row=5, objet="Μοσκ Dοuar"), dict(offer_row=6, objet="Douar"), dict(offer_row=7, objet="Bеnα unique"), dict(offer_row=8, objet="صیانة"),
     ]
     enterprises = [dict(id="e", keywords=["béton", None, "", "bеton‎"])] * 2 + [dict(id="n", keywords=None), dict(id="0", keywords=[])]
     root = make_root(offers=offers, enterprises=enterprises)
-    assert rows(charforms.unlike_house_form(spark, root)) == [("enterprises", "e", "keywords"), ("offers", "2", "objet"), ("offers", "3", "acheteur_public"), ("offers", "5", "objet")]
+    assert rows(charforms.unlike_house_form(spark, root)) == [("enterprises", "e", "keywords"), ("offers", "2", "objet"), ("offers", "3", "acheteur_public"), ("offers", "5", "objet"), ("offers", "8", "objet")]
     got = {(r.record_key, r.field, r.pos): r.normal for r in charforms.house_form(charforms.text_values(spark, root)).collect()}
-    assert got["2", "objet", 0] == "Travaux de béton" and got["4", "acheteur_public", 0] == "Тахе" and got["5", "objet", 0] == "Μοσκ Douar"
+    assert got["2", "objet", 0] == "Travaux de béton" and got["4", "acheteur_public", 0] == "Тахе" and got["5", "objet", 0] == "Μοσκ Douar" and got["7", "objet", 0] == "Bеnα unique" and got["8", "objet", 0] == "صيانة"
     assert charforms.unlike_house_form(spark, make_root()).count() == 0
