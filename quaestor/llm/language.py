@@ -88,9 +88,8 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def letters_of(text: str) -> tuple[int, int]:
-    """Arabic and Latin letters of a text."""
-    return sum(map(len, _ARABIC.findall(text))) if not text.isascii() else 0, sum(map(len, _LATIN.findall(text)))
+def arabic_letters(text: str) -> int:
+    return 0 if text.isascii() else sum(map(len, _ARABIC.findall(text)))
 
 
 @lru_cache(maxsize=200_000)
@@ -143,32 +142,36 @@ class Discriminator:
 
     def __init__(self, family: LinearSVM, romance: LinearSVM):
         self.family, self.romance = family, romance
-        self.cache: dict[str, tuple[float, float, int]] = {}
+        self.cache: dict[str, tuple[float, float, int, int]] = {}
 
     def __getstate__(self):
         return {"family": self.family, "romance": self.romance, "cache": {}}
 
-    def latin(self, text: str) -> tuple[str, float]:
-        """(language, margin) of the Latin words of a text."""
+    def _word(self, word: str) -> tuple[float, float, int, int]:
+        if len(self.cache) > 300_000:
+            self.cache.clear()
+        index = word_features(word.lower())
+        known = float(self.family.weights[index].sum()), float(self.romance.weights[index].sum()), len(index), sum(map(len, _LATIN.findall(word)))
+        self.cache[word] = known
+        return known
+
+    def latin(self, text: str) -> tuple[str | None, float, int]:
+        """(language, margin, letters) of the Latin words of a text; words are judged once per worker."""
         family = romance = 0.0
-        size, cache = 0, self.cache
-        for word in latin_words(text):
-            known = cache.get(word)
-            if known is None:
-                if len(cache) > 300_000:
-                    cache.clear()
-                index = word_features(word)
-                known = cache[word] = (float(self.family.weights[index].sum()), float(self.romance.weights[index].sum()), len(index))
-            family += known[0]
-            romance += known[1]
-            size += known[2]
-        if not size:
-            return "fr", 0.0
+        size, letters, cache = 0, 0, self.cache
+        for word in _LATIN_WORD.findall(text):
+            f, r, n, own = cache.get(word) or self._word(word)
+            family += f
+            romance += r
+            size += n
+            letters += own
+        if not letters:
+            return None, 0.0, 0
         scale = size**0.5
         f, r = family / scale + self.family.bias, romance / scale + self.romance.bias
         if f < 0:
-            return "en", -f
-        return ("fr", min(f, r)) if r >= 0 else ("es", min(f, -r))
+            return "en", -f, letters
+        return ("fr", min(f, r), letters) if r >= 0 else ("es", min(f, -r), letters)
 
 
 def agreed_examples(examples: dict[str, list[str]], rounds: int = 2) -> dict[str, list[str]]:
@@ -242,10 +245,10 @@ def judged_parts(text: str, judge: Discriminator) -> list[tuple]:
     out = []
     for n, (a, b) in enumerate(segments(text)):
         part = text[a:b]
-        arabic, latin = letters_of(part)
+        arabic = arabic_letters(part)
+        lang, margin, latin = judge.latin(part)
         if not arabic and not latin:
             continue
-        lang, margin = judge.latin(part) if latin else (None, 0.0)
         clear = latin >= FEW_LETTERS and margin >= (GLUED_MARGIN if len(part) > GLUED_LENGTH * (1 + part.count(" ")) else CLEAR_MARGIN)
         out.append((n, a, b, arabic, latin, lang, margin, clear))
     return out
