@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -68,7 +69,7 @@ class ItemIndex:
         self.postings = {t: ([p for p, _ in ps], [x for _, x in ps]) for t, ps in postings.items()}
         self.top = {t: max(xs) for t, (_, xs) in self.postings.items()}
         self.blocks = {
-            t: [(at[min(k + BLOCK, len(at)) - 1], max(xs[k : k + BLOCK])) for k in range(0, len(at), BLOCK)]
+            t: ([at[min(k + BLOCK, len(at)) - 1] for k in range(0, len(at), BLOCK)], [max(xs[k : k + BLOCK]) for k in range(0, len(at), BLOCK)])
             for t, (at, xs) in self.postings.items()
         }
 
@@ -123,17 +124,13 @@ class ItemIndex:
 
     def _block(self, term: str, position: int, item: int) -> tuple[int, float]:
         """(last item, maximum) of the block where ``item`` would lie in the list of ``term``."""
-        blocks = self.blocks[term]
-        k = position // BLOCK
-        while k < len(blocks) and blocks[k][0] < item:
-            k += 1
-        return blocks[k] if k < len(blocks) else (len(self.ids), 0.0)
+        lasts, tops = self.blocks[term]
+        k = bisect_left(lasts, item, position // BLOCK)
+        return (lasts[k], tops[k]) if k < len(lasts) else (len(self.ids), 0.0)
 
     def _advance(self, cursor: list, goal: int, end: int) -> None:
-        at, k = self.postings[cursor[2]][0], cursor[1]
-        while k < len(at) and at[k] < goal:
-            k += 1
-        cursor[1] = k
+        at = self.postings[cursor[2]][0]
+        cursor[1] = k = bisect_left(at, goal, cursor[1])
         cursor[0] = at[k] if k < len(at) else end
 
     def leaks(self, ws: list[str]) -> set[int]:

@@ -19,7 +19,10 @@ def test_ids_equal_a_reference_encoder_and_decode_back(spark, make_root):
     texts = ["L'offre n° 12 — 3×2,5 mm²", "  deux  espaces \n\n", "أعمال الصيانة", "<|endoftext|>", "x" * 3000, "ab" * 700 + "é" * 300, "😀🏽 é", "mot " * 40_000]
     texts += ["".join(rng.choice("abc éا1 \n'.") for _ in range(rng.randint(0, 400))) for _ in range(60)]
     given = [dict(doc_id=i, text=t) for i, t in enumerate(texts)] + [dict(doc_id=900, text=None), dict(doc_id=901, text=""), dict(doc_id=None, text="lost")]
-    got = {r.doc_id: r.ids for r in tokenizer.encode_texts(table(spark, make_root(documents=given), "documents"), VOCABULARY).collect()}
+    encoded = tokenizer.encode_texts(table(spark, make_root(documents=given), "documents"), VOCABULARY)
+    got = {r.doc_id: r.ids for r in encoded.collect()}
+    decoded = {r.doc_id: r.text for r in tokenizer.decode_ids(encoded.where("doc_id < 40 OR doc_id >= 900"), VOCABULARY).collect()}
+    assert decoded == {d["doc_id"]: d["text"] or "" for d in given if d["doc_id"] is not None and (d["doc_id"] < 40 or d["doc_id"] >= 900)}
     assert got.pop(900) == got.pop(901) == []
     assert got == {i: encoder.encode_ordinary(t) for i, t in enumerate(texts)}
     assert all(encoder.decode(got[i]) == t for i, t in enumerate(texts))
