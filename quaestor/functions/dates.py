@@ -63,3 +63,8 @@ def urgency_detail(days: Column) -> Column:
 
 def tone(days: Column) -> Column:
     return F.when(days <= LAST_DAY, "chip-error").when(days <= WARNED, "chip-warning").when(days.isNotNull(), "chip-neutral")
+
+
+def duration(started: Column, finished: Column, now: Column) -> Column:
+    """Seconds from start to end, or to now while running, to a tenth (half to even); null before the start."""
+    return F.bround(F.coalesce(finished, now) - started, 1)

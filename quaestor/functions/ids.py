@@ -65,3 +65,21 @@ def media_type(path: Column) -> Column:
     pairs = F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv])
     extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     return F.coalesce(F.element_at(pairs, extension), F.lit("application/octet-stream"))
+
+
+def archive_like(content: Column, content_type: Column) -> Column:
+    """Whether bytes begin as a ZIP archive or are said to be one."""
+    return F.coalesce(F.substring(F.hex(F.substring(content, 1, 2)), 1, 4) == "504B", F.lit(False)) | F.coalesce(F.lower(content_type).contains("zip"), F.lit(False))
+
+
+def pdf_like(content: Column) -> Column:
+    """Whether bytes begin as a PDF file."""
+    return F.coalesce(F.hex(F.substring(content, 1, 5)) == "255044462D", F.lit(False))
+
+
+def detail_address(consultation_id: Column, organisation: Column) -> Column:
+    """Address of an offer's page, its parts encoded."""
+    return F.concat(
+        F.lit("https://www.marchespublics.gov.ma/index.php?page=entreprise.EntrepriseDetailConsultation&refConsultation="),
+        F.url_encode(F.coalesce(consultation_id, F.lit(""))), F.lit("&orgAcronyme="), F.url_encode(F.coalesce(organisation, F.lit(""))),
+    )

@@ -69,15 +69,10 @@ def normalize_locations(text: Column) -> Column:
 def keep_first(values: Column) -> Column:
     """A list trimmed, without blanks, and without later values equal but for case; in order."""
     clean = F.filter(F.transform(values, lambda v: collapse(v)), lambda v: v != "")
-    empty = F.array().cast("array<string>")
-    return F.coalesce(
-        F.aggregate(
-            clean,
-            empty,
-            lambda acc, v: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(v)), acc).otherwise(F.concat(acc, F.array(v))),
-        ),
-        empty,
-    )
+    # the first of each lower-cased value is where its position in the lower-cased list is its own
+    bound = F.transform(F.array(clean), lambda own: F.struct(own.alias("own"), F.transform(own, F.lower).alias("low")))
+    first = F.transform(bound, lambda b: F.filter(b["own"], lambda v, i: F.array_position(b["low"], F.get(b["low"], i)) == i + 1))
+    return F.coalesce(F.get(first, F.lit(0)), F.array().cast("array<string>"))
 
 
 def slug(name: Column, default: str = "document") -> Column:
@@ -146,15 +141,75 @@ def is_page_number(text: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Bytes as o, Ko or Mo with one decimal."""
+    """Bytes as Ko, one at least, or Mo with one decimal; '' for null."""
+    return (
+        F.when(size.isNull(), F.lit(""))
+        .when(size < 1024 * 1024, F.concat(F.greatest(F.lit(1), F.floor(size / 1024 + 0.5)).cast("string"), F.lit(" Ko")))
+        .otherwise(F.concat(F.format_string("%.1f", size / (1024 * 1024)), F.lit(" Mo")))
+    )
+
+
+def file_type_label(media_type: Column, file_type: Column, name: Column, size: Column, requires_portal: Column) -> Column:
+    """What a file is called in a list: its kind and size, or what it is part of."""
+    sized = lambda kind: F.concat(kind, F.lit(" · "), size_label(size))
+    extension = F.element_at(F.split(F.coalesce(name, F.lit("")), r"\."), -1)
+    named = F.upper(F.when((extension != "") & (extension != name), extension).otherwise("Fichier"))
     return (
-        F.when(size.isNull() | (size <= 0), F.lit(""))
-        .when(size < 1024, F.concat(size.cast("string"), F.lit(" o")))
-        .when(size < 1024 * 1024, F.concat(F.round(size / 1024).cast("long").cast("string"), F.lit(" Ko")))
-        .otherwise(F.concat(F.format_string("%.1f", F.round(size / (1024 * 1024), 1)), F.lit(" Mo")))
+        F.when(requires_portal, "Dossier protégé — téléchargement officiel")
+        .when(media_type == "application/pdf", sized(F.lit("PDF")))
+        .when(media_type.startswith("image/"), sized(F.lit("Image")))
+        .when(media_type.startswith("text/"), sized(F.lit("Texte")))
+        .when(file_type == "dossier", "Dossier de consultation")
+        .when(file_type == "notice", "Avis de publicité")
+        .when(size.isNotNull(), sized(named))
+        .otherwise(F.upper(F.coalesce(F.nullif(file_type, F.lit("")), F.nullif(media_type, F.lit("")), F.lit("Document"))))
     )
 
 
+def stripped(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def comma_list(text: Column) -> Column:
+    """The distinct trimmed parts between commas, in order; none for null."""
+    parts = F.filter(F.transform(F.split(text, ","), stripped), lambda x: x != "")
+    return F.coalesce(F.array_distinct(parts), F.array().cast("array<string>"))
+
+
+def e_mail(text: Column) -> Column:
+    """An address as it is compared: trimmed, in lower case."""
+    return F.lower(stripped(text))
+
+
+def optional_text(text: Column) -> Column:
+    """Text with its white space collapsed; null if nothing is left."""
+    return F.nullif(collapse(text), F.lit(""))
+
+
+def error_text(kind: Column, message: Column, most: int = 500) -> Column:
+    """An error as it is recorded, cut to ``most`` characters."""
+    return F.substring(F.concat(kind, F.lit(": "), message), 1, most)
+
+
+# Words by which an error is one of the graphics processor.
+DEVICE_MARKERS = ("cuda", "cudnn", "cublas", "out of memory", "memory", "device", "vram")
+
+
+def holds_marker(text: Column, markers: tuple[str, ...] = DEVICE_MARKERS) -> Column:
+    """Whether a text holds one of the words, in any case; null does not."""
+    return F.coalesce(F.lower(text).rlike("|".join(markers)), F.lit(False))
+
+
+#: A text layer with fewer characters is none.
+LEAST_TEXT_LAYER = 100
+
+
+def without_text_layer(text: Column) -> Column:
+    """Whether a page's own text is too short to be one: the page is a scan."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")) < LEAST_TEXT_LAYER
+
+
 # What a layout label becomes; other labels become ``other``.
 BLOCK_TYPE_OF_LABEL = {
     "text": "paragraph", "abstract": "paragraph", "content": "paragraph", "table": "table", "image": "image", "chart": "image", "figure": "image", "seal": "image",

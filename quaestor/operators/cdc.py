@@ -95,3 +95,29 @@ def fresh(checked: Column, now: str, ttl_seconds: int = 21600) -> Column:
     """Checked less than the time to live ago; unreadable stamps are stale."""
     at = F.try_to_timestamp(checked, F.lit("yyyy-MM-dd HH:mm:ss"))
     return F.coalesce(F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(at) < ttl_seconds, F.lit(False))
+
+
+def applied(index: DataFrame, current: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
+    """The index after the actions: deleted and updated rows go, inserted and updated ones come from ``current``."""
+    chosen = actions.select(*[F.col(k).alias(f"_a_{k}") for k in keys], "action")
+
+    def of(rows: DataFrame, wanted: list[str]) -> DataFrame:
+        on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_a_{k}")) for k in keys))
+        return rows.join(chosen.where(F.col("action").isin(*wanted)), on, "left_semi")
+
+    return of(index, ["skip"]).unionByName(of(current, ["insert", "update"]))
+
+
+#: States of a run that is gone on with; any other begins anew.
+RESUMED = ("running", "failed", "paused")
+
+
+def resumed(states: DataFrame, new_run: Column) -> DataFrame:
+    """(run_id, last_page, status) to go on with: an unfinished run after its last whole page, else a new one from the start."""
+    goes_on = F.coalesce(F.col("status").isin(*RESUMED), F.lit(False)) & F.col("run_id").isNotNull()
+    return states.select(
+        *[c for c in states.columns if c not in ("run_id", "last_page", "status")],
+        F.when(goes_on, F.col("run_id")).otherwise(new_run).alias("run_id"),
+        F.when(goes_on, F.coalesce("last_page", F.lit(0))).otherwise(0).alias("last_page"),
+        F.lit("running").alias("status"),
+    )

@@ -112,5 +112,5 @@ ORACLES = {
         SELECT doc_id, id, md5(string_agg(CASE WHEN r = 0 THEN line || chr(10) || '| ' || array_to_string(['---' FOR k IN range(0, n)], ' | ') || ' |' ELSE line END, chr(10) ORDER BY r)) AS digest FROM p GROUP BY 1, 2""",
     "archive_members": """SELECT * FROM (VALUES ('a.zip', 'lot 1/cps.txt', 6::BIGINT, sha256('cahier'), NULL::VARCHAR), ('a.zip', 'rc.txt', 9, sha256('reglement'), NULL), ('b.zip', NULL, NULL, NULL, 'not an archive')
         ) AS t(archive, path, size, sha256, problem)""",
-    "sync_stream": "SELECT consultation_id, org_acronyme, objet, date_limite FROM offers QUALIFY row_number() OVER (PARTITION BY consultation_id, org_acronyme ORDER BY ingested_at DESC, offer_row DESC) = 1",
+    "sync_stream": "SELECT consultation_id, org_acronyme, objet, date_limite FROM (SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY consultation_id, org_acronyme ORDER BY ingested_at DESC, offer_row DESC) = 1) WHERE swept_at IS NULL",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.plans import changes, documents, intake, quality, retrieval, scalars
+from quaestor.plans import changes, documents, intake, quality, retrieval, scalars, views
 
-MODULES = (retrieval, quality, scalars, changes, documents, intake)
+MODULES = (retrieval, quality, scalars, changes, documents, intake, views)
 FLAGSHIP = "top_matches"
 
 

@@ -222,8 +222,8 @@ ORACLES = {
         for x in [*text.BLOCK_TYPE_OF_LABEL, "algorithm", "aside_text", "unheard"]
     ) + ") AS t(label, type, level, is_furniture)",
     "size_labels": """
-        SELECT id, CASE WHEN size IS NULL OR size <= 0 THEN '' WHEN size < 1024 THEN size || ' o' WHEN size < 1048576 THEN round(size / 1024)::BIGINT || ' Ko'
-            ELSE printf('%.1f', round(size / 1048576, 1)) || ' Mo' END AS label FROM (SELECT DISTINCT ON (id) * FROM offer_files)
+        SELECT id, CASE WHEN size IS NULL THEN '' WHEN size < 1048576 THEN greatest(1, floor(size / 1024 + 0.5)::BIGINT) || ' Ko'
+            ELSE printf('%.1f', size / 1048576) || ' Mo' END AS label FROM (SELECT DISTINCT ON (id) * FROM offer_files)
     """,
     "point_ids": f"SELECT offer_row, {_UUID} AS point_id FROM (SELECT offer_row, {_POINT_HASH} AS h FROM offers)",
     "content_hash": f"""

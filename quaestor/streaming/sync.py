@@ -16,7 +16,7 @@ from quaestor.operators.cdc import newest_per_key, upsert
 from quaestor.runtime import checkpoint_dir
 
 KEYS = ["consultation_id", "org_acronyme"]
-COLUMNS = [*KEYS, "objet", "categorie", "date_limite", "first_seen_at", "ingested_at"]
+COLUMNS = [*KEYS, "objet", "categorie", "date_limite", "first_seen_at", "ingested_at", "swept_at"]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -38,6 +38,7 @@ def sync_offers(spark: SparkSession, source: str, target: str, files_per_batch:
             before = f"{target}/v{number - 1}"
             if number > 0 and _exists(spark, before):
                 rows = upsert(spark.read.parquet(before), rows, KEYS, ["first_seen_at"])
+            # withdrawn offers stay as marks, so that an older delivery met later cannot bring them back
             rows.write.mode("overwrite").parquet(path)
         latest["version"] = number
 
@@ -60,8 +61,8 @@ def sync_offers(spark: SparkSession, source: str, target: str, files_per_batch:
 
 
 def sync_stream(spark: SparkSession, root: str) -> DataFrame:
-    """The offers of ``root`` synced from scratch into the shared folder."""
+    """The offers of ``root`` synced from scratch into the shared folder, without those withdrawn since."""
     import uuid
 
     target = os.path.join(checkpoint_dir(spark), f"sync-{uuid.uuid4().hex}")
-    return sync_offers(spark, os.path.join(root, "offer[s].parquet"), target).select(*KEYS, F.col("objet"), F.col("date_limite"))
+    return sync_offers(spark, os.path.join(root, "offer[s].parquet"), target).where("swept_at IS NULL").select(*KEYS, F.col("objet"), F.col("date_limite"))

@@ -41,11 +41,11 @@ def test_retry(spark, attempted, error, due):
 
 def test_stream_upserts_new_files_only(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "consultation_id string, org_acronyme string, objet string, categorie string, date_limite string, first_seen_at string, ingested_at timestamp"
-    first = [("1", "A", "old", None, None, "t0", at("2025-01-01")), ("2", "A", "two", None, None, "t0", at("2025-01-01"))]
+    schema = "consultation_id string, org_acronyme string, objet string, categorie string, date_limite string, first_seen_at string, ingested_at timestamp, swept_at timestamp"
+    first = [("1", "A", "old", None, None, "t0", at("2025-01-01"), None), ("2", "A", "two", None, None, "t0", at("2025-01-01"), None)]
     spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(source)
     assert sync_offers(spark, source, target).count() == 2
-    spark.createDataFrame([("1", "A", "new", None, None, "t1", at("2025-02-01"))], schema).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([("1", "A", "new", None, None, "t1", at("2025-02-01"), None)], schema).coalesce(1).write.mode("append").parquet(source)
     got = rows(sync_offers(spark, source, target).select("consultation_id", "objet", "first_seen_at"))
     assert got == [("1", "new", "t0"), ("2", "two", "t0")]
     assert rows(sync_offers(spark, source, target).select("consultation_id", "objet", "first_seen_at")) == got

@@ -216,13 +216,47 @@ def test_archive_guards(content, limits, problem):
     assert archives.read_members("z", content, **limits) == [("z", None, None, None, problem)]
 
 
+ROW = """<tr><td><input type="hidden" name="ctl$row{n}$refCons" value=" {n} "><input type="hidden" name="ctl$row{n}$orgCons" value="ORG"></td>
+<td><div id="x_panelBlocTypesProc">AO  ouvert</div><div id="x_panelBlocCategorie">Travaux</div><span>01/02/2026</span> 02/02/2026</td>
+<td><span id="x_reference">R{n}</span><div id="x_infosBullesObjet"><div>Objet {n} &amp; suite</div><div>bulle</div></div><div id="x_panelBlocDenomination"><b>Acheteur public :</b> Commune</div></td>
+<td><div id="x_infosLieuExecution">Rabat</div></td><td><div class="a cloture-line">le 03/03/2026 <br> 10:00</div><div class="cloture-line">04/04/2026</div></td><td></td></tr>"""
+PAGE = """<div><input id="ctl0_CONTENU_PAGE_resultSearch_numPageTop" value="{n}"> / <span id="ctl0_CONTENU_PAGE_resultSearch_nombrePageTop"> {total} </span></div>
+<table><tr><td>other</td></tr></table><table class="x table-results"><tr><th>head</th></tr>{rows}</table><table class="table-results">{rows}</table>"""
+
+
 def test_catalogue(spark, tmp_path):
-    row = '<tr><td>R{n}<td>Objet {n}<td>Acheteur public : Commune<td>Rabat<td>01/02/2026<td>le 03/03/2026 10:00 <a href="/d?id={n}&org=ORG">x</a></tr>'
-    for n in (1, 2):
-        (tmp_path / f"p{n}.html").write_text(f'<input type=hidden name=page value={n}><table><tr><td>short</tr>{row.format(n=n)}</table>', encoding="utf-8")
+    for n in (1, 2, 3):
+        (tmp_path / f"p{n}.html").write_text(PAGE.format(n=n, total=3, rows=ROW.format(n=n) + ROW.format(n=n + 10)), encoding="utf-8")
     spark.dataSource.register(CatalogueSource)
-    got = rows(spark.read.format("catalogue").option("path", str(tmp_path)).load())
-    assert got[1] == (2, 0, "2", "ORG", "R2", "Objet 2", "Commune", "Rabat", "01/02/2026", "03/03/2026 10:00") and len(got) == 2
-    assert spark.read.format("catalogue").option("path", str(tmp_path)).option("pages", 1).load().count() == 1
-    with pytest.raises(ValueError):
-        parse_page("<input type=hidden name=page value=3>", 2)
+    read = spark.read.format("catalogue").option("path", str(tmp_path))
+    got = rows(read.load())
+    address = "https://www.marchespublics.gov.ma/index.php?page=entreprise.EntrepriseDetailConsultation&refConsultation=2&orgAcronyme=ORG"
+    assert got[2] == (2, 0, "2", "ORG", "R2", "Objet 2 & suite", "AO ouvert", "Travaux", "Commune", "Rabat", "01/02/2026", "03/03/2026 10:00", address) and len(got) == 6
+    assert read.option("pages", 1).load().count() == 2
+    assert {r.page for r in spark.read.format("catalogue").option("path", str(tmp_path)).option("after", 1).load().collect()} == {2, 3}
+
+
+@pytest.mark.parametrize(
+    "page, problem",
+    [(PAGE.format(n=3, total=3, rows=ROW), "page 3"), ("<p>none</p>", "without a results table"), (PAGE.format(n=2, total=3, rows=""), "without results"), (PAGE.format(n=2, total=3, rows=ROW).replace("numPageTop", ""), "without a pager"),
+     (PAGE.format(n=2, total=3, rows=ROW.replace('value="ORG"', "")), "without its key"), (PAGE.format(n=2, total=3, rows="<tr><td><input name=a$refCons value=1></tr>"), "too few columns")],
+)
+def test_catalogue_pages_that_fail(page, problem):
+    with pytest.raises(ValueError, match=problem):
+        parse_page(page, 2)
+
+
+def test_parsing_whole_documents(spark, make_root, tmp_path):
+    from quaestor.operators import layout
+
+    blank = block(1, 5, "image", " ", page=2)
+    given = [block(1, 0, "title", "Titre", level=1), block(1, 1, text="corps un"), block(1, 2, "footer", "p. 1", y0=790.0, y1=799.0), block(1, 3, text="corps deux", page=2), block(1, 4, "footer", "p. 2", page=2, y0=790.0, y1=799.0), blank]
+    root = make_root(blocks=given + given[:2], doc_pages=[dict(doc_id=1, page=p, height=800.0, width=600.0) for p in (1, 2)])
+    blocks, documents = layout.parse_blocks(op.distinct_blocks(spark, root), table(spark, root, "doc_pages"))
+    assert [(r.id, r.ord, r.path, r.token_estimate) for r in blocks.orderBy("ord").collect()] == [("b0", 0, [], 1), ("b1", 1, ["Titre"], 2), ("b3", 2, ["Titre"], 3)]
+    assert rows(documents) == [(1, 3, 6, 2, "# Titre\n\ncorps un\n\ncorps deux\n")]
+    layout.write_documents(blocks, documents, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "markdown")).collect()[0].markdown.startswith("# Titre")
+    assert '"section_path":["Titre"]' in spark.read.parquet(str(tmp_path / "out" / "json")).collect()[0].value
+    empty = make_root()
+    assert layout.parse_blocks(op.distinct_blocks(spark, empty), table(spark, empty, "doc_pages"))[1].count() == 0

@@ -1,3 +1,4 @@
+import datetime as dt
 import unicodedata
 import uuid
 
@@ -75,3 +76,25 @@ def test_reasons(spark):
     got = df.select(why("beton de route", "travaux", ["rabat", "sale"]).alias("a"), why("rien", "services", ["fes"]).alias("b")).collect()[0]
     assert got.a == ["Matched keyword: Béton", "Matched keyword: route", "Matched category: travaux", "Matched location: rabat"]
     assert got.b == ["Semantic similarity with enterprise keywords"]
+
+
+def test_shown_deadlines(spark):
+    from quaestor.functions import dates
+
+    given = [("01/02/2026",), ("le 01/02/2026 08:30 précises",), ("31/02/2026 00:00",), ("sans date",), (None,)]
+    got = [r.d for r in spark.createDataFrame(given, "t string").select(dates.shown_deadline(F.col("t")).alias("d")).collect()]
+    # Morocco is at UTC+1, in Ramadan at UTC; a time that is not given is 23:59, days beyond the month run over
+    at = lambda *x: int(dt.datetime(*x, tzinfo=dt.timezone.utc).timestamp())
+    assert got == [at(2026, 2, 1, 22, 59), at(2026, 2, 1, 7, 30), at(2026, 3, 3, 0, 0), None, None]
+    shown = spark.createDataFrame([(0,), (1,), (2,), (7,), (8,), (30,), (31,), (None,)], "n int").select(dates.urgency(F.col("n")), dates.urgency_detail(F.col("n")), dates.tone(F.col("n"))).collect()
+    assert [tuple(r) for r in shown] == [("Dernier jour", "Dernier jour", "chip-error")] * 2 + [(f"{n} jours restants", f"{n} jours restants", t) for n, t in ((2, "chip-warning"), (7, "chip-warning"), (8, "chip-neutral"), (30, "chip-neutral"))] + [("", "Offre active", "chip-neutral"), ("", "", None)]
+
+
+def test_small_text_functions(spark):
+    from quaestor.functions import ids, text
+
+    df = spark.createDataFrame([(" A , b,,a , b ", " X@Y.Z \n", bytearray(b"PK\x03"), bytearray(b"%PDF-1"), 0, "  ", "CUDA error"), (None, None, None, None, None, None, None)], "a string, b string, c binary, d binary, e long, f string, g string")
+    got = df.select(text.comma_list(F.col("a")), text.e_mail(F.col("b")), ids.archive_like(F.col("c"), F.lit(None)), ids.pdf_like(F.col("d")), text.size_label(F.col("e")), text.optional_text(F.col("f")), text.holds_marker(F.col("g")), text.clean_cell(F.lit("3 $ \\times $ 4 $ x $"))).collect()
+    assert [tuple(r) for r in got] == [(["A", "b", "a"], "x@y.z", True, True, "1 Ko", None, True, "3 x 4 x"), ([], None, False, False, "", None, False, "3 x 4 x")]
+    assert spark.range(1).select(text.error_text(F.lit("E"), F.lit("x" * 900))).collect()[0][0] == "E: " + "x" * 497
+    assert [r[0] for r in spark.createDataFrame([("a", "httpx"), ("a", "application/ZIP")], "x string, t string").select(ids.archive_like(F.lit(None).cast("binary"), F.col("t"))).collect()] == [False, True]
