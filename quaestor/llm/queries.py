@@ -74,7 +74,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p10_kept(spark: SparkSession, root: str) -> DataFrame:
     """The corpus without residue: ids and lengths of the documents that stay."""
-    return residue.without_residue(table(spark, root, "documents").select("doc_id", "text", "source", "org_acronyme")).select(
+    return residue.without_residue(table(spark, root, "documents")).select(
         "doc_id", F.length("text").alias("n_chars")
     )
 
