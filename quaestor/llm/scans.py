@@ -81,6 +81,7 @@ _FIRST_WORD = regex.compile(r"^\s*(\p{Ll}[\p{L}\p{N}†!@|'’]*|\p{Arabic}+)")
 _CHUNK = regex.compile(r"[^\s\-–—/]+")
 _ELISION = regex.compile(r"^(?:[ldsnmtcjLDSNMTCJ1]|[Qq]u|[Ll]orsqu|[Jj]usqu|[Pp]uisqu)['’]")
 _OUTER = ".,;:()«»\"“”[]{}•…؛،؟?*<>="
+_STRANGE = regex.compile(r"[^\p{L}'’\-]")
 _DIGITS = regex.compile(r"\p{N}+")
 _HAS_LETTER = regex.compile(r"\p{L}")
 
@@ -454,18 +455,20 @@ def continued_tails(tails: DataFrame, content: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, block, left, mark, page, head, running in batch.itertuples(index=False):
+            for doc, block, left, mark, following, page, head, running in batch.itertuples(index=False):
                 last = _last_part(left)
                 right = continuation(head, int(page) - 1, tuple(running) if running is not None else ()) if isinstance(head, str) else None
                 if right:
                     out.append((doc, block, "cut" if mark == "-" else "softcut", (last + right).lower(), f"{left}-{right}", last, right))
-                    # the whole may be misread as well
-                    out.append((doc, block, "word", (last + right).lower(), None, None, None))
+                    # the whole may be misread as well, in the half that shows it
+                    for half, where in ((last, block), (right, following)):
+                        if _STRANGE.search(half):
+                            out.append((doc, where, "word", (last + right).lower(), None, None, None))
                 else:
                     out.append((doc, block, "endcut" if mark == "-" else "softcut", last.lower(), f"{left}-", last, ""))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FINDING.split(", ")])
 
-    return rows.select("doc_id", "block_id", "word", "alt", "page", "text", "running").mapInPandas(run, FINDING)
+    return rows.select("doc_id", "block_id", "word", "alt", "next_id", "page", "text", "running").mapInPandas(run, FINDING)
 
 
 def keyed(words: DataFrame, sequences: list[str], confused_only: bool = False) -> DataFrame:
@@ -566,12 +569,16 @@ class ScanNoise:
         # of a hyphen at a line end, compounds are kept: both halves are words and the joined one is not
         joined = known.unionByName(self.candidates.where("NOT known AND cost < 1").select("word")).distinct().withColumn("_joined", F.lit(True))
         left, right = known.select(F.col("word").alias("_l"), F.lit(True).alias("_lk")), known.select(F.col("word").alias("_r"), F.lit(True).alias("_rk"))
+        # the half after the mark is a word without its elision (main-d'œuvre); single letters are words
+        second = F.lower(F.regexp_extract(F.regexp_replace("after", r"(?iu)^(?:[ldsnmtcj]|qu|lorsqu|jusqu|puisqu)['’]", ""), r"^\p{L}+", 0))
         judged = (
-            cut.join(joined, "word", "left")
+            cut.withColumn("_second", second)
+            .join(joined, "word", "left")
             .join(left, F.lower("before") == F.col("_l"), "left")
-            .join(right, F.lower(F.regexp_extract("after", r"^\p{L}+", 0)) == F.col("_r"), "left")
+            .join(right, F.col("_second") == F.col("_r"), "left")
         )
-        compound = (F.col("_lk").isNotNull() & F.col("_rk").isNotNull()) | F.col("after").rlike(r"^\p{Lu}")
+        words = (F.col("_lk").isNotNull() | (F.length("before") == 1)) & (F.col("_rk").isNotNull() | (F.length("_second") <= 1))
+        compound = words | F.col("after").rlike(r"^\p{Lu}")
         really = F.col("_joined").isNotNull() | ~compound
         columns = ["doc_id", "block_id", "word", "alt"]
         # without a continuation in sight, a first half that is no word by itself was cut
@@ -601,7 +608,7 @@ class ScanNoise:
         # neighbours may be missing at the ends of a block, or be misread themselves
         asked = F.col("before").isNotNull().cast("int") + F.col("after").isNotNull().cast("int")
         never = F.col("o_before").isNull() & F.col("o_after").isNull()
-        strange = F.col("word").rlike(r"[^\p{L}'’\-]")
+        strange = F.col("word").rlike(_STRANGE.pattern)
         take = (
             F.when(F.col("known"), (sides == 2) & never)
             .when(F.col("cost") <= MOST_COST, strange & (F.col("word").rlike(r"\p{L}{2}")) | (sides > 0) | (F.col("n") >= FREQUENT))

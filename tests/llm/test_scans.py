@@ -109,10 +109,14 @@ def test_context_and_digits(spark, make_root):
     digital = [block(1, k, FR + " Le plan au format A0 est remis. Les prix unitaires restent fermes. Il note le cas.") for k in range(8)] + [block(1, 20, "le ca5 et le cos zéro")]
     # A0 is a word; an edit of any kind needs both neighbours; a name without neighbours stays
     scanned = [block(2, 0, "Le plan au format A0 est remis."), block(2, 1, "Les prix unitxires restent fermes."), block(2, 2, "Monsieur Unitxires habite ici."), block(2, 3, "Les prix un1taires restent fermes.")]
+    # compounds with an elision or a single letter are no cut words
+    digital += [block(1, 30, "la main-d'œuvre et un vis-à-vis des main œuvre vis")]
+    scanned += [block(2, 4, "la main-\nd'œuvre vis-\nà-vis")]
     root = make_root(doc_pages=pages, blocks=digital + scanned)
     noise = scans.ScanNoise(spark, root)
     assert {(r.block_id, r.noise) for r in noise.found().collect()} == {("b1", "chars"), ("b3", "chars")}
-    assert {r.block_id: r.text for r in noise.paragraphs().collect()}["b1"] == "Les prix unitaires restent fermes."
+    repaired = {r.block_id: r.text for r in noise.paragraphs().collect()}
+    assert repaired["b1"] == "Les prix unitaires restent fermes." and repaired["b4"] == "la main-d'œuvre vis-à-vis"
 
 
 def test_distance_is_cheap_for_confusions_only():
