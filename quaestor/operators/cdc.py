@@ -85,6 +85,17 @@ def retain(rows: DataFrame, group: list[str], newest: int, order: list[Column],
     return rows.where(~F.coalesce(expired, F.lit(False))).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= newest).drop("_rank")
 
 
+def pruned(rows: DataFrame, key: str, created: str, finished: str, oldest: Column, newest: int) -> DataFrame:
+    """Rows without finished ones that ended before ``oldest`` or are not among the ``newest`` created.
+
+    The newest are told by a limited sort, so no window over all rows is planned; ties go to the lower key.
+    """
+    kept = rows.orderBy(F.desc(created), key).limit(newest).select(F.col(key).alias("_kept"))
+    marked = rows.join(F.broadcast(kept), F.col(key) == F.col("_kept"), "left")  # at most ``newest`` keys
+    stale = F.col(finished).isNotNull() & ((F.col(finished) < oldest) | F.col("_kept").isNull())
+    return marked.where(~stale).drop("_kept")
+
+
 def retry_due(attempted: Column, error: Column, now: str, wait_seconds: int = 900) -> Column:
     """Never attempted, or no error recorded, or the last attempt is long enough ago."""
     at = F.try_to_timestamp(attempted, F.lit("yyyy-MM-dd HH:mm:ss"))

@@ -6,9 +6,11 @@ Regions are ``(doc_id, page, ord, label, x0, y0, x1, y1)`` in pixels with the pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.operators.blocks import not_overlapping
+
 BOX = ("x0", "y0", "x1", "y1")
 # Classes whose figures are described, and those that are evidence of a signature.
 DESCRIBED = (
@@ -16,7 +18,11 @@ DESCRIBED = (
     "pie_chart", "scatter_plot", "box_plot", "engineering_drawing", "photograph", "full_page_image",
 )
 SIGNED = ("signature", "stamp")
+# Labels of regions that are cut out as pictures.
+PICTURE_LABELS = ("image", "chart", "figure", "header_image", "footer_image")
 LEAST_PIXELS = 32
+#: Score from which a sweep's detection is looked at, and how much it may overlap a known figure.
+SWEEP_SCORE, SWEEP_OVERLAP = 0.15, 0.3
 #: Confidence from which a class is trusted: of regions of the layout, and of those a sweep found below its threshold.
 LAYOUT_FLOOR, SWEEP_FLOOR = 0.0, 0.5
 
@@ -40,6 +46,14 @@ def scored(regions: DataFrame, detections: DataFrame) -> DataFrame:
     return regions.select("*", *rounded).join(best, ["doc_id", "page", "label", *[f"_{c}" for c in BOX]], "left").drop(*[f"_{c}" for c in BOX])
 
 
+def swept(detections: DataFrame, known: DataFrame) -> DataFrame:
+    """Picture detections that no known figure (in points) covers, large enough, with ids of their own, boxes in points."""
+    wanted = in_points(detections.where(F.col("label").isin(*PICTURE_LABELS) & (F.col("score") >= SWEEP_SCORE) & large_enough()))
+    found = not_overlapping(wanted, known, SWEEP_OVERLAP)
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("ord")) - 1
+    return found.withColumn("id", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_s"), number.cast("string")))
+
+
 def routed(figures: DataFrame) -> DataFrame:
     """Adds ``is_signature``, ``kept`` and ``to_describe`` to (id, figure_class, confidence, swept) rows.
 

@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions.text import FURNITURE_LABELS, block_type, estimate_tokens, title_level
 from quaestor.operators import blocks as bl
-from quaestor.operators.figures import described_blocks, in_points, large_enough
-
-# Labels of regions that are cut out as pictures.
-PICTURE_LABELS = ("image", "chart", "figure", "header_image", "footer_image")
+from quaestor.operators.figures import PICTURE_LABELS, described_blocks, in_points, large_enough
 
 
 def page_blocks(regions: DataFrame) -> DataFrame:

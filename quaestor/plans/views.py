@@ -30,8 +30,12 @@ def offer_details(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _newest_documents(spark: SparkSession, root: str) -> DataFrame:
+    return cdc.newest_per_key(table(spark, root, "offer_documents").select("id", *KEY, "name", "url", "file_type", "ingested_at", "swept_at"), ["id"], ["ingested_at"])
+
+
 def _documents(spark: SparkSession, root: str) -> DataFrame:
-    return cdc.newest_per_key(table(spark, root, "offer_documents").select("id", *KEY, "name", "url", "file_type", "ingested_at", "swept_at"), ["id"], ["ingested_at"]).where("swept_at IS NULL")
+    return _newest_documents(spark, root).where("swept_at IS NULL")
 
 
 def offer_document_views(spark: SparkSession, root: str) -> DataFrame:
@@ -128,6 +132,21 @@ def region_scores(spark: SparkSession, root: str) -> DataFrame:
     return found.where(F.col("score").isNotNull()).select("page", "ord", "score")
 
 
+def sweep(spark: SparkSession, root: str) -> DataFrame:
+    """Detections of a sweep: covered by a known figure, too small, too weak, no picture, and two that stay."""
+    box = "label string, x0 double, y0 double, x1 double, y1 double, score double"
+    rows = [(1, 1, 0, "image", 0.0, 0.0, 100.0, 100.0, 0.9), (1, 1, 1, "image", 400.0, 0.0, 420.0, 90.0, 0.9), (1, 1, 2, "chart", 400.0, 400.0, 500.0, 500.0, 0.2), (1, 1, 3, "image", 600.0, 400.0, 700.0, 500.0, 0.1), (1, 1, 4, "text", 600.0, 400.0, 700.0, 500.0, 0.9), (1, 1, 5, "figure", 800.0, 800.0, 900.0, 900.0, 0.15)]
+    seen = spark.createDataFrame(rows, f"doc_id bigint, page int, ord int, {box}").withColumns({"scale": F.lit(2.0), "page_width": F.lit(1200.0), "page_height": F.lit(1600.0)})
+    known = spark.createDataFrame([(1, 1, 0.0, 0.0, 40.0, 50.0)], "doc_id bigint, page int, x0 double, y0 double, x1 double, y1 double")
+    return figures.swept(seen, known).select("id", "label", "x0", "y1", "score")
+
+
+def pruned_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents without withdrawn ones that went long ago or are not among the newest."""
+    rows = _newest_documents(spark, root)
+    return cdc.pruned(rows, "id", "ingested_at", "swept_at", F.lit("2025-10-01 00:00:00").cast("timestamp"), 300).select("id")
+
+
 FIGURES = [
     (1, 1, "p1_b3", "stamp", 0.2, False), (1, 2, "p2_s0", "signature", 0.71239, True), (1, 2, "p2_s1", "signature", 0.4, True), (1, 2, "p2_b0", "bar_chart", None, False), (2, 1, "p1_s0", "photograph", 0.9, True), (2, 1, "p1_b0", "logo", 0.9, False),
 ]
@@ -153,7 +172,7 @@ def parsed_documents(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (offer_details, offer_document_views, public_enterprises, file_labels, download_errors, place_lists, text_layers, document_results, synced_index, replaced_files, orphan_folders, resumed_runs,
-              layout_blocks, region_scores, routed_figures, signatures, parsed_documents)
+              layout_blocks, region_scores, sweep, pruned_documents, routed_figures, signatures, parsed_documents)
 }
 
 _ACTIVE = f"""a0 AS (SELECT *, {SQL_DEADLINE} AS seconds, {_POINT_HASH} AS h FROM {_newest("true")} WHERE swept_at IS NULL AND trim(objet) <> ''),
@@ -216,6 +235,11 @@ ORACLES = {
     "layout_blocks": """SELECT * FROM (VALUES ('p1_b0', 'title', 0, 50.0::DOUBLE, 70.0::DOUBLE, 'Avis', 1, false), ('p1_b1', 'paragraph', 2, 50.0, 150.0, 'corps', NULL, false), ('p1_b2', 'other', 4, 0.5, 2.0, 'x', NULL, false),
         ('p2_b0', 'image', 5, 0.0, 100.0, '', NULL, false), ('p2_b1', 'page_number', 6, 0.0, 10.0, '2', NULL, true)) AS t(id, type, ord, x0, y1, text, level, is_furniture)""",
     "region_scores": "SELECT * FROM (VALUES (1, 3, 0.66::DOUBLE), (2, 1, 0.3)) AS t(page, ord, score)",
+    "sweep": "SELECT * FROM (VALUES ('p1_s0', 'chart', 200.0::DOUBLE, 250.0::DOUBLE, 0.2::DOUBLE), ('p1_s1', 'figure', 400.0, 450.0, 0.15)) AS t(id, label, x0, y1, score)",
+    "pruned_documents": """
+        WITH r AS (SELECT * FROM offer_documents QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1)
+        SELECT id FROM r WHERE NOT (swept_at IS NOT NULL AND (swept_at < TIMESTAMPTZ '2025-10-01 00:00:00+00' OR id NOT IN (SELECT id FROM r ORDER BY ingested_at DESC, id LIMIT 300)))
+    """,
     "routed_figures": """SELECT * FROM (VALUES (1::BIGINT, 'p1_b3', true, true, false, ''), (1, 'p2_s0', true, true, false, ''), (1, 'p2_s1', false, false, false, ''), (1, 'p2_b0', false, true, true, '*[bar chart]* vu'),
         (2, 'p1_s0', false, false, false, ''), (2, 'p1_b0', false, true, false, '')) AS t(doc_id, id, is_signature, kept, to_describe, caption)""",
     "signatures": """SELECT * FROM (VALUES (1::BIGINT, true, '[{"page":1,"id":"p1_b3","figure_class":"stamp","confidence":0.2,"found_by":"layout"},{"page":2,"id":"p2_s0","figure_class":"signature","confidence":0.7124,"found_by":"sweep"}]'),

@@ -52,12 +52,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's written tables, inside the shared one."""
+    return os.path.join(checkpoint_dir(spark), f"quaestor-tables-{spark.sparkContext.applicationId}")
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete all tables this application has written; results that are still to be read must be saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, compressed and read back by column.
 
     Unlike a checkpoint its size is known to the planner; ``by`` names a column to split it by.
     """
-    path = os.path.join(checkpoint_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    path = os.path.join(tables_dir(df.sparkSession), uuid.uuid4().hex)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ batch that is run again after a failure finds its version written and skips it.
 from __future__ import annotations
 
 import os
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +62,27 @@ def sync_offers(spark: SparkSession, source: str, target: str, files_per_batch:
     return spark.read.parquet(f"{target}/v{latest['version']}")
 
 
+def ready(spark: SparkSession, target: str) -> bool:
+    """Whether a first whole snapshot is there to be read."""
+    return _exists(spark, f"{target}/v0/_SUCCESS")
+
+
+def sync_periodically(spark: SparkSession, source: str, target: str, interval: float, rounds: int | None = None, report: Callable[[Exception], None] = print) -> None:
+    """Sync again and again, each time ``interval`` seconds after the last sync ended, so that late rounds do not pile up.
+
+    A round that fails is reported and tried again with the next one; ``rounds`` ends the loop.
+    """
+    done = 0
+    while rounds is None or done < rounds:
+        try:
+            sync_offers(spark, source, target)
+        except Exception as problem:  # noqa: BLE001
+            report(problem)
+        done += 1
+        if rounds is None or done < rounds:
+            time.sleep(interval)
+
+
 def sync_stream(spark: SparkSession, root: str) -> DataFrame:
     """The offers of ``root`` synced from scratch into the shared folder, without those withdrawn since."""
     import uuid

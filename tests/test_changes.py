@@ -49,3 +49,26 @@ def test_stream_upserts_new_files_only(spark, tmp_path):
     got = rows(sync_offers(spark, source, target).select("consultation_id", "objet", "first_seen_at"))
     assert got == [("1", "new", "t0"), ("2", "two", "t0")]
     assert rows(sync_offers(spark, source, target).select("consultation_id", "objet", "first_seen_at")) == got
+
+
+def test_periodic_sync_goes_on_after_a_failure(spark, tmp_path):
+    from quaestor.streaming.sync import ready, sync_periodically
+
+    source, target, problems = str(tmp_path / "in"), str(tmp_path / "out"), []
+    assert not ready(spark, target)
+    sync_periodically(spark, source, target, 0, rounds=1, report=problems.append)
+    schema = "consultation_id string, org_acronyme string, objet string, categorie string, date_limite string, first_seen_at string, ingested_at timestamp, swept_at timestamp"
+    spark.createDataFrame([("1", "A", "old", None, None, "t0", at("2025-01-01"), None)], schema).coalesce(1).write.parquet(source)
+    sync_periodically(spark, source, target, 0, rounds=2, report=problems.append)
+    assert len(problems) == 1 and ready(spark, target)
+
+
+def test_written_tables_are_dropped(spark):
+    import os
+
+    from quaestor.runtime import drop_written, tables_dir, written
+
+    df = written(spark.createDataFrame([(1, "a"), (2, None)], "n int, k string"), by="k")
+    assert rows(df.select("n", "k")) == [(1, "a"), (2, None)] and os.path.exists(tables_dir(spark))
+    drop_written(spark)
+    assert not os.path.exists(tables_dir(spark))
