@@ -69,6 +69,6 @@ def test_written_tables_are_dropped(spark):
     from quaestor.runtime import drop_written, tables_dir, written
 
     df = written(spark.createDataFrame([(1, "a"), (2, None)], "n int, k string"), by="k")
-    assert rows(df.select("n", "k")) == [(1, "a"), (2, None)] and os.path.exists(tables_dir(spark))
+    assert rows(df.select("n", "k")) == [(1, "a"), (2, None)] and os.path.exists(tables_dir(spark).removeprefix("file:"))
     drop_written(spark)
-    assert not os.path.exists(tables_dir(spark))
+    assert not os.path.exists(tables_dir(spark).removeprefix("file:"))
