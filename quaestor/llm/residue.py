@@ -104,6 +104,8 @@ SHARED_DOCUMENTS, SHARED_HOSTS = 3, 2
 #: ... and they are at least this share of the documents that have it.
 SUSPECT_SHARE = 0.3
 _TERM = r"\p{L}{4,}"
+#: White space at the ends of sentences, and marks nobody sees.
+_BLANKS = " \t\r\f\x0b\u00a0\u200b\ufeff"
 
 
 def any_of(patterns: list[str]) -> str:
@@ -156,7 +158,7 @@ def typical_terms(documents: DataFrame) -> list[str]:
 def sentence_shapes(text: Column) -> Column:
     """64-bit hashes of the sentences of a text, lower-cased, digits masked; short ones left out."""
     masked = F.regexp_replace(F.lower(text), r"\p{N}+", "0")
-    sentences = F.transform(F.split(masked, r"\n|(?<=[.!?…؟])\s+"), lambda s: F.trim(s))
+    sentences = F.transform(F.split(masked, r"\n|(?<=[.!?…؟])\s+"), lambda s: F.btrim(s, F.lit(_BLANKS)))
     return F.array_distinct(F.transform(F.filter(sentences, lambda s: F.length(s) >= 8), lambda s: F.xxhash64(s)))
 
 
