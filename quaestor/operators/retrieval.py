@@ -37,6 +37,8 @@ WORD = r"[\p{L}\p{N}]+"
 SEMANTIC = "Semantic similarity with enterprise keywords"
 #: Queries of a block, and their terms together: what is broadcast at a time.
 BLOCK_QUERIES, BLOCK_TERMS = 2_000, 400_000
+#: Rows from which a task of its own pays, as each task sends the k best of every query on.
+ROWS_PER_TASK = 10 * CANDIDATES
 #: Dimensions of the built-in encoder; other encoders are a parameter.
 DIMENSIONS = 256
 
@@ -301,12 +303,16 @@ def tiered(fused: DataFrame, query: str, key: str, k: int = LIMIT) -> DataFrame:
 
 def reasons(keywords: Column, categories: Column, locations: Column, objet: Column, category: Column, places: Column) -> Column:
     """Up to three keywords found in the text, the category, the first common place; else similarity."""
-    plain = normalize_text(objet)
-    words = F.slice(F.filter(keywords, lambda k: plain.contains(normalize_text(k))), 1, 3)
-    hits = F.transform(words, lambda k: F.concat(F.lit("Matched keyword: "), k))
-    cat = F.when(F.array_contains(F.transform(categories, normalize_text), category), F.array(F.concat(F.lit("Matched category: "), category)))
-    wanted = F.flatten(F.transform(locations, normalize_locations))
-    shared = F.array_intersect(wanted, places)
+    near = F.flatten(F.transform(locations, normalize_locations))
+    return reasons_of(keywords, F.transform(keywords, normalize_text), F.transform(categories, normalize_text), near, normalize_text(objet), category, places)
+
+
+def reasons_of(keywords: Column, plain_keywords: Column, wanted: Column, near: Column, plain_objet: Column, category: Column, places: Column) -> Column:
+    """The same from values normalised before, as a profile or an offer is shown many times."""
+    words = F.slice(F.filter(F.arrays_zip(keywords.alias("word"), plain_keywords.alias("plain")), lambda k: plain_objet.contains(k["plain"])), 1, 3)
+    hits = F.transform(words, lambda k: F.concat(F.lit("Matched keyword: "), k["word"]))
+    cat = F.when(F.array_contains(wanted, category), F.array(F.concat(F.lit("Matched category: "), category)))
+    shared = F.array_intersect(near, places)
     place = F.when(F.size(shared) > 0, F.array(F.concat(F.lit("Matched location: "), F.array_min(shared))))
     none = F.array().cast("array<string>")
     out = F.concat(F.coalesce(hits, none), F.coalesce(cat, none), F.coalesce(place, none))

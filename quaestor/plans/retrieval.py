@@ -28,13 +28,13 @@ def bm25_statistics(spark: SparkSession, root: str) -> DataFrame:
 def _lexical(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", r.terms(F.col("text")).alias("terms"))
     queries = docs.where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), F.array_distinct("terms").alias("terms"))
-    return r.search(spread(docs, "doc_id"), queries, "doc_id", "query_id")
+    return r.search(spread(docs, "doc_id", rows_per_task=r.ROWS_PER_TASK), queries, "doc_id", "query_id")
 
 
 def _dense(spark: SparkSession, root: str) -> DataFrame:
     vectors = table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     queries = vectors.where((F.col("doc_id") % QUERY_STEP == 0) & F.col("vector").isNotNull()).withColumnRenamed("doc_id", "query_id")
-    return r.search(spread(vectors, "doc_id"), queries, "doc_id", "query_id")
+    return r.search(spread(vectors, "doc_id", rows_per_task=r.ROWS_PER_TASK), queries, "doc_id", "query_id")
 
 
 def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
@@ -60,7 +60,7 @@ def _offers(spark: SparkSession, root: str) -> DataFrame:
 
 def _profiles(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "enterprises").dropDuplicates(["id"]).where(F.size("keywords") > 0).select(
-        "id", "keywords", "categories", "locations",
+        "id", "keywords", F.transform("keywords", normalize_text).alias("plain_keywords"),
         F.array_distinct(r.terms(F.array_join("keywords", " "))).alias("terms"),
         F.transform("categories", normalize_text).alias("wanted"),
         F.array_distinct(F.flatten(F.transform("locations", normalize_locations))).alias("near"),
@@ -78,14 +78,15 @@ def top_matches(spark: SparkSession, root: str) -> DataFrame:
             "offer_row", "objet", "reference", "acheteur_public", "lieu_execution", "deadline", "date_publication", "date_limite", "source_url", "consultation_id", "org_acronyme", "categorie",
             normalize_text(F.col("categorie")).alias("category"),
             normalize_locations(F.col("lieu_execution")).alias("places"),
+            normalize_text(F.col("objet")).alias("plain_objet"),
         )
     )
     profiles = written(_profiles(spark, root))
-    docs = spread(offers.select("offer_row", r.terms(F.col("objet")).alias("terms"), "category", "places"), "offer_row")
+    docs = spread(offers.select("offer_row", r.terms(F.col("objet")).alias("terms"), "category", "places"), "offer_row", rows_per_task=r.ROWS_PER_TASK)
     found = r.search(docs, profiles.select("id", "terms", "wanted", "near"), "offer_row", "id", encode=r.hashed_trigrams)
     best = r.tiered(r.fuse(found, "id", "offer_row"), "id", "offer_row")
-    shown = best.join(profiles.select("id", "keywords", "categories", "locations"), "id").join(offers, "offer_row")
-    why = r.reasons(F.col("keywords"), F.col("categories"), F.col("locations"), F.col("objet"), F.col("category"), F.col("places"))
+    shown = best.join(profiles.drop("terms"), "id").join(offers, "offer_row")
+    why = r.reasons_of(*[F.col(c) for c in ("keywords", "plain_keywords", "wanted", "near", "plain_objet", "category", "places")])
     return shown.select(
         "id", "offer_row", "position", "tier", "score", F.array_join(why, "§").alias("reasons"), "reference", "category", "deadline",
         ids.point_id(F.col("consultation_id"), F.col("org_acronyme")).alias("offer_id"), "objet", F.col("acheteur_public").alias("buyer"), F.col("lieu_execution").alias("location"), "date_publication", "source_url",

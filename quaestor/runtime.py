@@ -21,16 +21,18 @@ def scan_partitions(df: DataFrame) -> int:
     return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, rows_per_task: int | None = None) -> DataFrame:
     """Repartition by ``keys`` only where the scan has fewer tasks than the cluster has slots.
 
     Python-heavy stages over one small file would otherwise run in one task; a scan
-    that is already wide is left alone, so large inputs pay no extra shuffle.
+    that is already wide is left alone, so large inputs pay no extra shuffle. With
+    ``rows_per_task`` small inputs get no more tasks than that leaves them.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if scan_partitions(df) >= slots:
         return df
-    return df.repartition(2 * slots, *[F.col(k) for k in keys])
+    tasks = 2 * slots if rows_per_task is None else min(2 * slots, max(1, df.count() // rows_per_task))
+    return df.repartition(tasks, *[F.col(k) for k in keys])
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
