@@ -16,9 +16,10 @@
   explanation; any other edit needs both neighbours; a known word is questioned too where a
   far commoner one fits both neighbours and it fits neither.
 
-The blocks' texts are shuffled once, by document (hot documents salted), with what is known
-of each document: whether it is scanned, the heights of its pages, its running lines and the
-blocks that go on over a page. The result is a table in the shared folder, split into digital
+The blocks' texts are shuffled once, by document and page, so that a document of any size is
+spread over its pages, with what is known of each page: whether its document is scanned, its
+height, the document's running lines and the block that goes on over the page's end. The
+result is a table in the shared folder, split into digital
 and scanned text. Words and their bigrams are counted in one pass over the digital text, and
 combined in each task before they are shuffled. Only a bounded set of the commonest words is
 broadcast, to keep known words from being exploded; every other word is looked up in the
@@ -42,7 +43,6 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaestor.operators.skew import hot_keys
 from quaestor.runtime import spread, table, written
 
 #: Commonest lexicon words kept in every worker (a filter; others are joined).
@@ -58,7 +58,6 @@ SHORTEST_OPEN = 4
 FREQUENT = 5
 #: How many times commoner a word must be to question a known one.
 FAR_COMMONER = 20
-SALTS = 16
 #: A running line beside other text is told from the text's own words by its length.
 LEAST_RUNNING = 10
 FURNITURE_TYPES = ("header", "footer", "page_number")
@@ -306,29 +305,21 @@ def weighted_distance(seen: str, meant: str) -> float:
 # ------------------------------------------------------------------ Spark side
 
 
-def document_pages(pages: DataFrame) -> DataFrame:
-    """(doc_id, scanned, heights by page), one row per document."""
-    per_page = pages.where(F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.max("height").alias("height"), F.max("is_scanned").alias("is_scanned"))
-    return per_page.groupBy("doc_id").agg(
-        F.coalesce(F.max("is_scanned"), F.lit(False)).alias("scanned"), F.map_from_entries(F.collect_list(F.struct("page", "height"))).alias("heights")
-    )
+def page_facts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, scanned, height) of every page that has blocks, of documents that have pages."""
+    known = pages.where(F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.max("height").alias("height"), F.max("is_scanned").alias("is_scanned"))
+    documents = known.groupBy("doc_id").agg(F.coalesce(F.max("is_scanned"), F.lit(False)).alias("scanned"))
+    used = blocks.select("doc_id", "page").distinct()
+    return used.join(known.drop("is_scanned"), ["doc_id", "page"], "left").join(documents, "doc_id")
 
 
-def salted_blocks(blocks: DataFrame, hot: list[int]) -> DataFrame:
-    """The columns read of ``blocks``; ``salt`` spreads the blocks of hot documents."""
-    salt = F.when(F.col("doc_id").isin(*hot), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0)
+def read_blocks(blocks: DataFrame) -> DataFrame:
+    """The columns read of ``blocks``, without rows that have no document, page or text."""
     return blocks.select(
-        "doc_id", F.col("id").alias("block_id"), "type", "page", F.coalesce("ord", F.lit(0)).alias("ord"), F.col("bbox.y0").alias("y0"), "text", "is_furniture", salt.alias("salt")
+        "doc_id", F.col("id").alias("block_id"), "type", "page", F.coalesce("ord", F.lit(0)).alias("ord"), F.col("bbox.y0").alias("y0"), "text", "is_furniture"
     ).where(F.col("doc_id").isNotNull() & F.col("page").isNotNull() & (F.length("text") > 0))
 
 
-def with_document(blocks: DataFrame, documents: DataFrame, hot: list[int]) -> DataFrame:
-    """Blocks joined to their document's row, which is repeated once per salt for hot documents."""
-    copies = F.explode(F.when(F.col("doc_id").isin(*hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))) if hot else F.lit(0)
-    joined = blocks.join(documents.withColumn("salt", copies), ["doc_id", "salt"])
-    return joined.withColumn("height", F.try_element_at("heights", F.col("page"))).withColumn("furniture", furniture_block()).drop("heights", "height")
-
-
 def furniture_block() -> Column:
     """Whether a whole block is furniture."""
     margin = (F.col("y0") < MARGIN * F.col("height")) | (F.col("y0") > (1 - MARGIN) * F.col("height"))
@@ -374,8 +365,8 @@ def running_lines(scanned: DataFrame) -> DataFrame:
     return shapes.groupBy("doc_id").agg(F.collect_set("shape").alias("running"))
 
 
-def page_joints(scanned: DataFrame) -> DataFrame:
-    """(doc_id, joints): which block goes on where, for the last content block of each page that ends in a cut.
+def page_joints(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, page, cut_block, next_id) of pages whose last content block ends in a cut, and (doc_id, page, goes_on_id) of the pages after.
 
     The next page's first block of running text is meant (headings and tables stand between
     at times); null where the next page has none.
@@ -383,11 +374,12 @@ def page_joints(scanned: DataFrame) -> DataFrame:
     content, at = scanned.where(~F.col("furniture")), F.struct("ord", "block_id")
     body = F.when(~F.coalesce(F.col("type").isin("title", "table"), F.lit(False)), F.col("block_id"))
     pages = content.groupBy("doc_id", "page").agg(
-        F.max_by("block_id", at).alias("last"), F.max_by("cut", at).alias("cut"), F.min_by(body, F.when(body.isNotNull(), at)).alias("first_body")
+        F.max_by("block_id", at).alias("cut_block"), F.max_by("cut", at).alias("cut"), F.min_by(body, F.when(body.isNotNull(), at)).alias("first_body")
     )
-    ends = pages.where("cut").select("doc_id", (F.col("page") + 1).alias("page"), "last")
-    joints = ends.join(pages.select("doc_id", "page", "first_body"), ["doc_id", "page"], "left")
-    return joints.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("last", "first_body"))).alias("joints"))
+    ends = pages.where("cut").select("doc_id", "page", "cut_block")
+    starts = pages.select("doc_id", (F.col("page") - 1).alias("page"), F.col("first_body").alias("next_id"))
+    joints = ends.join(starts, ["doc_id", "page"], "left")
+    return joints, joints.where(F.col("next_id").isNotNull()).select("doc_id", (F.col("page") + 1).alias("page"), F.col("next_id").alias("goes_on_id"))
 
 
 def continuation(head: str | None, page: int, running: set[str]) -> str | None:
@@ -525,22 +517,20 @@ class ScanNoise:
     """What the scanned pages of ``root`` hold, found once and kept in the shared folder."""
 
     def __init__(self, spark: SparkSession, root: str):
-        pages, blocks = document_pages(table(spark, root, "doc_pages")), table(spark, root, "blocks")
-        hot = hot_keys(blocks, "doc_id")
-        rows = salted_blocks(blocks, hot)
+        rows = read_blocks(table(spark, root, "blocks"))
+        facts, page = written(page_facts(table(spark, root, "doc_pages"), rows)), ["doc_id", "page"]
         line = F.col("type").isin(*FURNITURE_TYPES) | F.coalesce("is_furniture", F.lit(False)) | ((F.length("text") <= LONGEST_LINE) & ~F.trim("text").contains("\n"))
-        # what tells of a document, without its texts but for single lines
-        light = rows.withColumn("cut", F.col("text").rlike(rf"\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*[-{SOFT_MARKS}][ \t]*$")).withColumn("text", F.when(line, F.col("text")))
-        light = light.withColumn("text", F.coalesce("text", F.lit("\n\n")))  # no line
-        scanned = with_document(light, pages.where("scanned"), hot)
-        told = written(
-            scanned.select("doc_id", "block_id", "page", "ord", "type", "cut", "furniture", F.when(F.col("furniture"), F.col("text")).alias("text"))
-        )
-        documents = pages.join(running_lines(told), "doc_id", "left").join(page_joints(told), "doc_id", "left")
-        whole = with_document(rows, documents, hot).dropDuplicates(["doc_id", "salt", "block_id"])
+        # what tells of a page, without its texts but for single lines
+        light = rows.withColumn("cut", F.col("text").rlike(rf"\p{{L}}[\p{{L}}\p{{N}}†!@|'’]*[-{SOFT_MARKS}][ \t]*$"))
+        light = light.withColumn("text", F.coalesce(F.when(line, F.col("text")), F.lit("\n\n")))  # no line
+        scanned = light.join(facts.where("scanned"), page).withColumn("furniture", furniture_block())
+        told = written(scanned.select("doc_id", "block_id", "page", "ord", "type", "cut", "furniture", F.when(F.col("furniture"), F.col("text")).alias("text")))
+        ends, starts = page_joints(told)
+        facts = facts.join(running_lines(told), "doc_id", "left").join(ends, page, "left").join(starts, page, "left")
+        whole = rows.join(facts, page).dropDuplicates(["doc_id", "page", "block_id"]).withColumn("furniture", furniture_block())
         part = F.when(~F.col("scanned"), "digital").when(F.col("furniture"), "furniture").otherwise("content")
-        kept = whole.withColumn("part", part).withColumn("next_id", F.try_element_at("joints", F.col("block_id")))
-        goes_on = F.coalesce(F.array_contains(F.map_values("joints"), F.col("block_id")), F.lit(False))
+        goes_on = F.coalesce(F.col("block_id") == F.col("goes_on_id"), F.lit(False))
+        kept = whole.withColumn("part", part).withColumn("next_id", F.when(F.col("block_id") == F.col("cut_block"), F.col("next_id")))
         parts = written(kept.select("doc_id", "block_id", "page", "ord", "text", "running", "next_id", goes_on.alias("goes_on"), "part"), by="part")
         self.digital, self.furniture, self.content = (parts.where(F.col("part") == p) for p in ("digital", "furniture", "content"))
         counts = written(word_counts(self.digital).withColumn("kind", F.when(F.col("second").isNull(), "word").otherwise("pair")), by="kind")
