@@ -59,11 +59,13 @@ def cascade_delete(spark: SparkSession, root: str) -> DataFrame:
 
 
 def document_cache_diff(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "offer_documents").select("url", "name", "file_type", "ingested_at", "swept_at")
-    early = cdc.newest_per_key(rows.where(F.col("ingested_at") < F.lit(CUT).cast("timestamp")), ["url"], ["ingested_at"])
-    whole = cdc.newest_per_key(rows, ["url"], ["ingested_at"]).where("swept_at IS NULL")
-    hashed = [x.select("url", F.sha2(F.concat_ws("\x1f", F.coalesce("name", F.lit("")), F.coalesce("file_type", F.lit(""))), 256).alias("hash")) for x in (whole, early)]
-    return cdc.diff_actions(hashed[0], hashed[1], ["url"])
+    """What the documents of each offer, by address, become from the early deliveries to all of them."""
+    keys = [*KEY, "url"]
+    rows = table(spark, root, "offer_documents").select(*keys, "name", "file_type", "ingested_at", "swept_at")
+    early = cdc.newest_per_key(rows.where(F.col("ingested_at") < F.lit(CUT).cast("timestamp")), keys, ["ingested_at"])
+    whole = cdc.newest_per_key(rows, keys, ["ingested_at"]).where("swept_at IS NULL")
+    hashed = [x.select(*keys, F.sha2(F.concat_ws("\x1f", F.coalesce("name", F.lit("")), F.coalesce("file_type", F.lit(""))), 256).alias("hash")) for x in (whole, early)]
+    return cdc.diff_actions(hashed[0], hashed[1], keys)
 
 
 def retention_prune(spark: SparkSession, root: str) -> DataFrame:
@@ -125,11 +127,12 @@ ORACLES = {
         SELECT DISTINCT id AS file_id, offer_document_id AS document_id FROM offer_files WHERE offer_document_id IN (SELECT id FROM d)
     """,
     "document_cache_diff": f"""
-        WITH r AS (SELECT url, sha256(coalesce(name, '') || chr(31) || coalesce(file_type, '')) AS h, ingested_at, swept_at FROM offer_documents),
-        e AS (SELECT url, arg_max(h, ingested_at) AS h FROM r WHERE {_EARLY} GROUP BY 1),
-        w AS (SELECT url, arg_max(h, ingested_at) AS h FROM r GROUP BY 1 HAVING arg_max(swept_at IS NULL, ingested_at))
-        SELECT coalesce(w.url, e.url) AS url, CASE WHEN e.url IS NULL THEN 'insert' WHEN w.url IS NULL THEN 'delete' WHEN w.h = e.h THEN 'skip' ELSE 'update' END AS action
-        FROM w FULL JOIN e ON w.url = e.url
+        WITH r AS (SELECT consultation_id AS c, org_acronyme AS o, url AS u, sha256(coalesce(name, '') || chr(31) || coalesce(file_type, '')) AS h, ingested_at, swept_at FROM offer_documents),
+        e AS (SELECT c, o, u, arg_max(h, ingested_at) AS h, true AS e FROM r WHERE {_EARLY} GROUP BY 1, 2, 3),
+        w AS (SELECT c, o, u, arg_max(h, ingested_at) AS h, true AS w FROM r GROUP BY 1, 2, 3 HAVING arg_max(swept_at IS NULL, ingested_at))
+        SELECT CASE WHEN w THEN w.c ELSE e.c END AS consultation_id, CASE WHEN w THEN w.o ELSE e.o END AS org_acronyme, CASE WHEN w THEN w.u ELSE e.u END AS url,
+               CASE WHEN e IS NULL THEN 'insert' WHEN w IS NULL THEN 'delete' WHEN w.h = e.h THEN 'skip' ELSE 'update' END AS action
+        FROM w FULL JOIN e ON w.c IS NOT DISTINCT FROM e.c AND w.o IS NOT DISTINCT FROM e.o AND w.u IS NOT DISTINCT FROM e.u
     """,
     "retention_prune": """
         WITH r AS (SELECT * FROM offer_files QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1)

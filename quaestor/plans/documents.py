@@ -43,8 +43,14 @@ def table_islands(spark: SparkSession, root: str) -> DataFrame:
     return op.table_islands(op.distinct_blocks(spark, root), table(spark, root, "doc_pages"))
 
 
+#: How far the boxes of neighbours are widened to meet, in points.
+NEAR = 10.0
+
+
 def overlapping_blocks(spark: SparkSession, root: str) -> DataFrame:
-    return op.overlapping(op.distinct_blocks(spark, root), least=0.0)
+    """How much the boxes of one page overlap once they are widened, so that neighbours do."""
+    b = op.distinct_blocks(spark, root)
+    return op.overlapping(b.withColumns({c: F.col(c) + (NEAR if c[1] == "1" else -NEAR) for c in ("x0", "y0", "x1", "y1")}), least=0.0)
 
 
 def blocks_per_page(spark: SparkSession, root: str) -> DataFrame:
@@ -114,8 +120,8 @@ ORACLES = {
             SELECT (doc_id, id) FROM band WHERE type IN {_TYPES} AND ({_PAGE_NO} OR (doc_id, key) IN (SELECT (doc_id, key) FROM rep)))
     """,
     "overlapping_blocks": f"""
-        WITH {_B}, i AS (SELECT a.doc_id, a.page, a.id AS a, c.id AS b, greatest(least(a.x1, c.x1) - greatest(a.x0, c.x0), 0) * greatest(least(a.y1, c.y1) - greatest(a.y0, c.y0), 0) AS i,
-            (a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) AS s FROM b a JOIN b c ON a.doc_id = c.doc_id AND a.page = c.page AND a.id < c.id)
+        WITH {_B}, g AS (SELECT doc_id, page, id, x0 - 10 AS x0, y0 - 10 AS y0, x1 + 10 AS x1, y1 + 10 AS y1 FROM b), i AS (SELECT a.doc_id, a.page, a.id AS a, c.id AS b, greatest(least(a.x1, c.x1) - greatest(a.x0, c.x0), 0) * greatest(least(a.y1, c.y1) - greatest(a.y0, c.y0), 0) AS i,
+            (a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) AS s FROM g a JOIN g c ON a.doc_id = c.doc_id AND a.page = c.page AND a.id < c.id)
         SELECT doc_id, page, a, b, round(i / nullif(s - i, 0), 6) AS iou FROM i WHERE round(i / nullif(s - i, 0), 6) > 0
     """,
     "blocks_per_page": f"WITH {_B} SELECT doc_id, page, count(*) AS n FROM b GROUP BY 1, 2",
