@@ -12,10 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
-
-
 def newest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the last by ``order``; an aggregate that combines map-side, no window."""
     others = [c for c in rows.columns if c not in keys]

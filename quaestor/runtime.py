@@ -48,12 +48,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def tables_dir(spark: SparkSession) -> str:
     """The folder of this application's written tables, inside the shared one."""
     return os.path.join(checkpoint_dir(spark), f"quaestor-tables-{spark.sparkContext.applicationId}")

@@ -98,3 +98,8 @@ def test_small_text_functions(spark):
     assert [tuple(r) for r in got] == [(["A", "b", "a"], "x@y.z", True, True, "1 Ko", None, True, "3 x 4 x"), ([], None, False, False, "", None, False, "3 x 4 x")]
     assert spark.range(1).select(text.error_text(F.lit("E"), F.lit("x" * 900))).collect()[0][0] == "E: " + "x" * 497
     assert [r[0] for r in spark.createDataFrame([("a", "httpx"), ("a", "application/ZIP")], "x string, t string").select(ids.archive_like(F.lit(None).cast("binary"), F.col("t"))).collect()] == [False, True]
+
+
+def test_durations(spark):
+    df = spark.createDataFrame([(10.0, 12.25), (10.0, None), (None, None)], "s double, f double")
+    assert [r[0] for r in df.select(dates.duration(F.col("s"), F.col("f"), F.lit(20.0))).collect()] == [2.2, 10.0, None]
