@@ -31,6 +31,11 @@ def html_documents(spark: SparkSession, root: str) -> DataFrame:
     return html.download_documents(pages)
 
 
+def html_forms(spark: SparkSession, root: str) -> DataFrame:
+    form = "<form><input type=hidden name=state value='x y'><input name=q><input type=checkbox name=off><input type=radio name=r value=2 checked><select name=s><option value=a><option value=b selected></select><input type=submit name=go></form>"
+    return html.forms(spark.createDataFrame([(1, form), (2, None)], "page_id bigint, html string"))
+
+
 def html_tables(spark: SparkSession, root: str) -> DataFrame:
     return tb.laid_out(html.raw_cells(spark.createDataFrame([(1, TABLE), (2, "")], "table_id bigint, html string")))
 
@@ -86,7 +91,7 @@ def archive_members(spark: SparkSession, root: str) -> DataFrame:
     return archives.members(spark.createDataFrame([("a.zip", held.getvalue()), ("b.zip", b"none")], "path string, content binary"))
 
 
-QUERIES = {f.__name__: f for f in (html_documents, html_tables, html_table_texts, fused_tables, split_tables, swept_candidates, table_extents, table_markdown, archive_members, sync_stream)}
+QUERIES = {f.__name__: f for f in (html_documents, html_forms, html_tables, html_table_texts, fused_tables, split_tables, swept_candidates, table_extents, table_markdown, archive_members, sync_stream)}
 
 _LINES = r"""x AS (SELECT doc_id, id, list_filter(string_split(text, chr(10)), lambda v: trim(v) <> '' AND NOT regexp_full_match(v, '[\s|:-]+')) AS ls FROM (SELECT DISTINCT ON (doc_id, id) * FROM blocks) WHERE type = 'table'),
         l AS (SELECT doc_id, id, r, string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|') AS cells FROM (SELECT doc_id, id, unnest(ls) AS line, unnest(range(0, len(ls))) AS r FROM x))"""
@@ -95,6 +100,7 @@ ORACLES = {
     "html_documents": """SELECT * FROM (VALUES
         (1::BIGINT, 'https://www.marchespublics.gov.ma/telechargement?f=1&org=A', 'Dossier de consultation', 'dossier'),
         (1, 'https://www.marchespublics.gov.ma/reglement.pdf', 'Règlement', 'regulation')) AS t(page_id, url, name, file_type)""",
+    "html_forms": "SELECT * FROM (VALUES (1::BIGINT, 'state', 'x y'), (1, 'q', ''), (1, 'r', '2'), (1, 's', 'b')) AS t(page_id, name, value)",
     "html_tables": """SELECT * FROM (VALUES (1::BIGINT, 0, 0, 2, 1, 'N', true), (1, 0, 1, 1, 2, 'Prix', true), (1, 1, 1, 1, 1, 'HT', true), (1, 1, 2, 1, 1, 'TTC', true),
         (1, 2, 0, 1, 1, '1', false), (1, 2, 1, 1, 1, '10', false), (1, 2, 2, 1, 1, '12', false), (1, 3, 0, 1, 1, '2', false), (1, 3, 1, 1, 1, '20', false), (1, 3, 2, 1, 1, '24|5', false)
         ) AS t(table_id, row, col, row_span, col_span, text, is_header)""",

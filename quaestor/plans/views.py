@@ -9,7 +9,8 @@ from quaestor.functions import dates, ids, text
 from quaestor.operators import blocks as bl
 from quaestor.operators import cdc, figures, layout
 from quaestor.plans.changes import _EARLY, _HASH, KEY, _hashed, _newest, _snapshot
-from quaestor.plans.scalars import _POINT_HASH, _UUID, SQL_DEADLINE, SPACES
+from quaestor.plans.scalars import _POINT_HASH, _UUID, SPACES, SQL_DEADLINE, sql_normal
+from quaestor.plans.scalars import ORACLES as SCALARS
 from quaestor.runtime import table
 
 PORTAL_MARK = "EntrepriseDemandeTelechargement"
@@ -30,6 +31,16 @@ def offer_details(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def offer_points(spark: SparkSession, root: str) -> DataFrame:
+    """Each delivered offer as the row of the search index that it becomes."""
+    o = table(spark, root, "offers").withColumn("deadline", dates.parse_deadline(F.col("date_limite")))
+    return o.select(
+        "offer_row", ids.point_id(F.col("consultation_id"), F.col("org_acronyme")).alias("point_id"), text.normalize_text(F.col("categorie")).alias("category"),
+        F.array_join(text.normalize_locations(F.col("lieu_execution")), "§").alias("locations"), "deadline",
+        ids.content_hash(F.col("objet"), F.col("categorie"), F.col("lieu_execution"), ids.epoch_text(F.col("deadline"))).alias("hash"),
+    )
+
+
 def _newest_documents(spark: SparkSession, root: str) -> DataFrame:
     return cdc.newest_per_key(table(spark, root, "offer_documents").select("id", *KEY, "name", "url", "file_type", "ingested_at", "swept_at"), ["id"], ["ingested_at"])
 
@@ -171,7 +182,7 @@ def parsed_documents(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (offer_details, offer_document_views, public_enterprises, file_labels, download_errors, place_lists, text_layers, document_results, synced_index, replaced_files, orphan_folders, resumed_runs,
+    for f in (offer_points, offer_details, offer_document_views, public_enterprises, file_labels, download_errors, place_lists, text_layers, document_results, synced_index, replaced_files, orphan_folders, resumed_runs,
               layout_blocks, region_scores, sweep, pruned_documents, routed_figures, signatures, parsed_documents)
 }
 
@@ -182,6 +193,10 @@ _FILES = "fs AS (SELECT * FROM offer_files QUALIFY row_number() OVER (PARTITION
 _SIZE = "CASE WHEN size IS NULL THEN '' WHEN size < 1048576 THEN greatest(1, floor(size / 1024 + 0.5)::BIGINT) || ' Ko' ELSE printf('%.1f', size / 1048576) || ' Mo' END"
 
 ORACLES = {
+    "offer_points": f"""
+        SELECT offer_row, point_id, {sql_normal("categorie")} AS category, locations, deadline, hash FROM offers JOIN ({SCALARS["point_ids"]}) USING (offer_row) JOIN ({SCALARS["normalize_locations"]}) USING (offer_row)
+        JOIN ({SCALARS["parse_deadline"]}) USING (offer_row) JOIN ({SCALARS["content_hash"]}) USING (offer_row)
+    """,
     "offer_details": f"""
         WITH {_ACTIVE}, w AS (SELECT DISTINCT {_UUID} AS offer_id FROM (SELECT {_POINT_HASH} AS h FROM offer_documents))
         SELECT offer_id AS id, reference, objet AS object, coalesce(categorie, '') AS category, acheteur_public AS buyer, procedure, lieu_execution AS location, date_publication AS publication_date, date_limite AS deadline, source_url
