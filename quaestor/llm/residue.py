@@ -20,7 +20,7 @@ such pages are content: they match no detector, and stand among typical terms.
 The typical terms are broadcast: at most ``1 / TYPICAL_SHARE`` times the mean number of
 distinct terms of a document, whatever the corpus size. Sentences are compared by 64-bit hashes.
 
-Defined results: null and empty texts are not residue; repeated rows give one row; whole
+Defined results: null and empty texts are not residue; rows without an id are left out; repeated rows give one row; whole
 texts are read; ties are of no effect (thresholds are inclusive); extra columns are never
 read; an empty table gives no rows; a corpus without rich documents has no typical terms, so
 its suspects are told by the mismatch alone.
