@@ -193,31 +193,38 @@ def chosen_readings(flagged: DataFrame, values: DataFrame) -> DataFrame:
     return options.groupBy("token").agg(F.min_by("repaired", first).alias("repaired"))
 
 
-def house_form(values: DataFrame) -> DataFrame:
-    """Adds ``normal`` to distinct (source_table, record_key, field, pos, value) rows."""
+KEYS = ["source_table", "record_key", "field", "pos", "value"]
+
+
+def repaired_values(values: DataFrame) -> DataFrame:
+    """The distinct values with a character that is not surely plain, and their ``normal`` form."""
     first_stage = F.pandas_udf(_first_stage, "struct<plain:string,tokens:array<string>>")
     substitute = F.pandas_udf(_substitute, "string")
-    keys = ["source_table", "record_key", "field", "pos", "value"]
-    rows = values.select(*keys)
-    plain = rows.where(F.col("value").isNull() | ~F.col("value").rlike(SUSPECT)).withColumn("normal", F.col("value"))
+    rows = values.select(*KEYS).where(F.col("value").isNotNull())
     # a few per cent of the values; written to the shared folder since three branches read them
     flagged = written(rows.where(F.col("value").rlike(SUSPECT)).distinct().withColumn("s", first_stage("value")))
-    repairs = chosen_readings(flagged, rows.where(F.col("value").isNotNull()))
+    repairs = chosen_readings(flagged, rows)
     per_value = (
         flagged.where(F.size("s.tokens") > 0)
-        .select(*keys, F.explode("s.tokens").alias("token"))
+        .select(*KEYS, F.explode("s.tokens").alias("token"))
         .join(repairs, "token")
-        .groupBy(*keys)
+        .groupBy(*KEYS)
         .agg(F.collect_list(F.struct("token", "repaired")).alias("repairs"))
     )
-    joined = flagged.join(per_value, keys, "left").withColumn("normal", substitute(F.col("s.plain"), F.col("repairs")))
-    return plain.distinct().unionByName(joined.select(*keys, "normal"))
+    return flagged.join(per_value, KEYS, "left").select(*KEYS, substitute(F.col("s.plain"), F.col("repairs")).alias("normal"))
+
+
+def house_form(values: DataFrame) -> DataFrame:
+    """Adds ``normal`` to distinct (source_table, record_key, field, pos, value) rows."""
+    rows = values.select(*KEYS)
+    plain = rows.where(F.col("value").isNull() | ~F.col("value").rlike(SUSPECT)).withColumn("normal", F.col("value"))
+    return plain.distinct().unionByName(repaired_values(rows))
 
 
 def unlike_house_form(spark: SparkSession, root: str) -> DataFrame:
-    """(source_table, record_key, field) of the fields with a value not in house form."""
+    """(source_table, record_key, field) of the fields with a value not in house form; values of plain characters never are."""
     return (
-        house_form(text_values(spark, root))
+        repaired_values(text_values(spark, root))
         .where(F.col("normal") != F.col("value"))
         .select("source_table", "record_key", "field")
         .distinct()
