@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import dates, ids, text
 from quaestor.functions.text import normalize_locations, normalize_text
-from quaestor.operators import cdc
+from quaestor.operators import bags, cdc
 from quaestor.operators import retrieval as r
 from quaestor.plans.scalars import ORACLES as ORACLES_OF_SCALARS
 from quaestor.plans.scalars import SQL_DEADLINE, sql_normal
@@ -28,7 +28,7 @@ def bm25_statistics(spark: SparkSession, root: str) -> DataFrame:
 def _lexical(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", r.terms(F.col("text")).alias("terms"))
     queries = docs.where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), F.array_distinct("terms").alias("terms"))
-    return r.search(spread(docs, "doc_id", rows_per_task=r.ROWS_PER_TASK), queries, "doc_id", "query_id")
+    return bags.search(docs, queries, "doc_id", "query_id")
 
 
 def _dense(spark: SparkSession, root: str) -> DataFrame:
